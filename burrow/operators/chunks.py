@@ -85,8 +85,10 @@ def with_halo(
     )
 
 
-def keep_home(df: DataFrame) -> DataFrame:
-    return df.where("_home").drop("_home", CHUNK)
+def keep_home(df: DataFrame, drop_chunk: bool = True) -> DataFrame:
+    """Drop the halo. Keeping the chunk keeps the partitioning for a next window."""
+    kept = df.where("_home").drop("_home")
+    return kept.drop(CHUNK) if drop_chunk else kept
 
 
 def previous_row(

@@ -1,0 +1,203 @@
+"""Session metrics, metric batteries and progressions over sessions."""
+
+from __future__ import annotations
+
+import inspect
+from collections.abc import Callable, Mapping, Sequence
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from burrow.operators import paths as P
+from burrow.operators.chunks import with_ordinal
+from burrow.session import materialise
+
+KEYS = ("session_id",)
+METRIC_SCHEMA = ("session_id", "metric", "path_id", "value")
+
+
+def natural_key(column: str | Column) -> Column:
+    """Sort key in which session_2 comes before session_10."""
+    text = F.lower(F.col(column) if isinstance(column, str) else column)
+    pieces = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.transform(
+        pieces,
+        lambda t: F.when(t.rlike(r"^\d"), F.lpad(F.regexp_replace(t, r"^0+(?=\d)", ""), 20, "0")).otherwise(t),
+    )
+
+
+def exploration(
+    frames: DataFrame,
+    column: str,
+    total: int | None = None,
+    graph_totals: tuple[int, int] | None = None,
+    keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """Distinct values visited over all there are, in percent.
+
+    Without a total the graph's node or edge count is used, picked by the
+    column name; with neither, the plain count comes back.
+    """
+    keys = list(keys)
+    if column not in frames.columns:
+        return frames.groupBy(*keys).agg(F.lit(0.0).alias("exploration"))
+    values = frames.groupBy(*keys, column).agg(F.lit(1).alias("_one"))
+    counted = values.groupBy(*keys).agg(F.count(column).alias("_n"))
+    if total is None and graph_totals is not None:
+        nodes, edges = graph_totals
+        total = nodes if "node" in column.lower() else edges if "edge" in column.lower() else None
+    if total is None:
+        share = F.col("_n").cast("double")
+    elif total == 0:
+        share = F.lit(0.0)
+    else:
+        share = F.col("_n") / F.lit(total) * 100
+    return counted.withColumn("exploration", share).drop("_n")
+
+
+def frame_count(frames: DataFrame, sessions: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Frames per session; listed sessions without frames count 0."""
+    counted = frames.groupBy(*keys).agg(F.count("*").alias("num_frames"))
+    if sessions is None:
+        return counted
+    return sessions.select(*keys).join(counted, list(keys), "left").withColumn(
+        "num_frames", F.coalesce("num_frames", F.lit(0).cast("bigint"))
+    )
+
+
+# -- user metrics ------------------------------------------------------------
+
+SESSION_METRICS: dict[str, Callable[..., DataFrame]] = {}
+CROSS_METRICS: dict[str, Callable[..., DataFrame]] = {}
+
+
+def session_metric(name: str):
+    """Register ``f(frames, context, **args) -> (session_id, path_id, value)``."""
+
+    def add(fn):
+        SESSION_METRICS[name] = fn
+        return fn
+
+    return add
+
+
+def cross_session_metric(name: str):
+    """Register ``f(metrics, **args) -> DataFrame``."""
+
+    def add(fn):
+        CROSS_METRICS[name] = fn
+        return fn
+
+    return add
+
+
+class Context:
+    """What a metric may need besides frames: sessions, graph size, shared paths."""
+
+    def __init__(self, frames, sessions=None, graph_totals=None):
+        self.frames = frames
+        self.sessions = sessions
+        self.graph_totals = graph_totals
+        self._paths: dict[tuple, DataFrame] = {}
+
+    def paths(self, start_column, start_value, end_column, end_value, min_unique_values=None):
+        """Paths of one specification, searched once and shared by all metrics."""
+        spec = (start_column, start_value, end_column, end_value, tuple(sorted((min_unique_values or {}).items())))
+        if spec not in self._paths:
+            found = P.transitions(
+                self.frames, start_column, start_value, end_column, end_value, min_distinct=min_unique_values
+            )
+            self._paths[spec] = materialise(found, "paths")
+        return self._paths[spec]
+
+
+def _value(df: DataFrame, column: str) -> DataFrame:
+    return df.select("session_id", "path_id", F.col(column).cast("double").alias("value"))
+
+
+@session_metric("time_a_to_b")
+def _time(frames, context, **spec):
+    return _value(P.time_in_path(context.paths(**spec), context.sessions), "seconds")
+
+
+@session_metric("velocity_a_to_b")
+def _velocity(frames, context, x_column="x", y_column="y", pixel_to_meter=None, **spec):
+    moved = P.velocity_in_path(
+        frames,
+        context.paths(**spec),
+        x_column,
+        y_column,
+        sessions=context.sessions,
+        pixel_to_meter=pixel_to_meter,
+    )
+    return _value(moved, "velocity")
+
+
+@session_metric("num_values_in_path")
+def _values(frames, context, count_column, mode="unique", total_values=None, **spec):
+    counted = P.values_in_path(
+        frames,
+        context.paths(**spec),
+        count_column,
+        mode,
+        total=total_values,
+        graph_totals=context.graph_totals,
+    )
+    return _value(counted, "value")
+
+
+@session_metric("exploration_percentage")
+def _exploration(frames, context, location_column, total_locations=None):
+    share = exploration(frames, location_column, total_locations, context.graph_totals)
+    return share.select(
+        "session_id", F.lit(None).cast("bigint").alias("path_id"), F.col("exploration").alias("value")
+    )
+
+
+def battery(context: Context, wanted: Mapping[str, tuple[str, Mapping]]) -> DataFrame:
+    """All wanted metrics of all sessions as (session_id, metric, path_id, value).
+
+    ``wanted`` maps a result name to (metric, arguments). Argument names are
+    checked at once. A metric that cannot be planned, such as one naming a
+    missing column, gives NULL for every session and the others go on.
+    """
+    parts = []
+    for name, (metric, args) in wanted.items():
+        fn = SESSION_METRICS[metric]
+        inspect.signature(fn).bind(context.frames, context, **args)
+        try:
+            part = fn(context.frames, context, **args)
+            if set(part.columns) != {"session_id", "path_id", "value"}:
+                raise ValueError(f"metric {metric} returned {part.columns}")
+        except (AnalysisException, ValueError):
+            part = context.frames.select("session_id").distinct().select(
+                "session_id",
+                F.lit(None).cast("bigint").alias("path_id"),
+                F.lit(None).cast("double").alias("value"),
+            )
+        parts.append(part.withColumn("metric", F.lit(name)).select(*METRIC_SCHEMA))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def if_many_sessions(df: DataFrame, sessions: DataFrame, least: int = 2) -> DataFrame:
+    """Rows only when there are at least ``least`` sessions."""
+    enough = sessions.select(F.count_distinct("session_id").alias("n")).scalar() >= least
+    return df.where(enough)
+
+
+@cross_session_metric("learning_progression")
+def learning_progression(metrics: DataFrame, metric_name: str) -> DataFrame:
+    """Values of one metric in natural session order, sessions without one left out.
+
+    ``pos`` numbers the sessions; a session with many paths keeps all its values.
+    """
+    values = metrics.where((F.col("metric") == metric_name) & F.col("value").isNotNull())
+    # The key follows the value's order at the end, so equal spellings stay apart.
+    ids = values.select("session_id").distinct().withColumn("_all", F.lit(0))
+    order = [F.to_json(F.array(natural_key(F.col("session_id").cast("string")))), F.col("session_id")]
+    numbered = with_ordinal(ids, ["_all"], order, "pos").drop("_all")
+    return values.join(numbered, ["session_id"]).select("pos", "session_id", "path_id", "value")

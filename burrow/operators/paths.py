@@ -11,7 +11,6 @@ from burrow.operators.chunks import (
     CHUNK,
     CHUNK_FRAMES,
     chunk_window,
-    keep_home,
     previous_row,
     with_chunk,
     with_halo,
@@ -209,15 +208,15 @@ def _scan(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _pair(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    # A row that closes one path and opens the next belongs to the next one;
-    # the closed path already holds its end.
+    # No row is both a start and an end here: a start that cuts off an open path
+    # leaves that path with the end it has already seen.
     frame = F.col(FRAME)
     return (
         rows.where("_start or _end")
         .groupBy(*keys, "path_id")
         .agg(
             F.min(F.when(F.col("_start"), frame)).alias("start_frame"),
-            F.max(F.when(F.col("_end") & ~F.col("_start"), frame)).alias("end_frame"),
+            F.max(F.when(F.col("_end"), frame)).alias("end_frame"),
         )
         .where("end_frame is not null")
     )
@@ -228,6 +227,7 @@ def in_paths(
     paths: DataFrame,
     columns: Sequence[str] = (),
     *,
+    previous: Sequence[str] = (),
     keys: Sequence[str] = KEYS,
     chunk_frames: int = CHUNK_FRAMES,
 ) -> DataFrame:
@@ -235,11 +235,14 @@ def in_paths(
 
     A path leaves one marker row at its start and one at the head of every
     further chunk it covers. The last marker seen decides the path of a frame,
-    so no frame × path pairs are formed. The result stays chunked.
+    so no frame × path pairs are formed. The result stays chunked. Columns in
+    ``previous`` also come as ``_prev_{name}``, taken from the frame before.
     """
     keys = list(keys)
     size = F.lit(chunk_frames)
-    rows = frames.select(*keys, FRAME, *columns).transform(with_chunk, FRAME, chunk_frames)
+    rows = frames.select(*keys, FRAME, *columns).transform(
+        with_halo, FRAME, before=1 if previous else 0, size=chunk_frames
+    )
     rows = rows.withColumn("_is_row", F.lit(1))
     path = F.struct("path_id", "start_frame", "end_frame")
     marks = paths.select(
@@ -257,10 +260,22 @@ def in_paths(
     both = rows.unionByName(marks, allowMissingColumns=True)
     window = Window.partitionBy(*keys, CHUNK).orderBy(FRAME, "_is_row")
     seen = F.last("_path", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
+    lagged = {}
+    if previous:
+        row = F.when(F.col("_is_row") == 1, F.struct(*previous))
+        before = window.rowsBetween(Window.unboundedPreceding, -1)
+        lagged["_prev"] = F.last(row, ignorenulls=True).over(before)
     return (
-        both.withColumn("_path", seen)
-        .where((F.col("_is_row") == 1) & (F.col(FRAME) <= F.col("_path.end_frame")))
-        .select(*keys, CHUNK, FRAME, *columns, "_path.*")
+        both.withColumns({"_path": seen, **lagged})
+        .where(F.col("_home") & (F.col("_is_row") == 1) & (F.col(FRAME) <= F.col("_path.end_frame")))
+        .select(
+            *keys,
+            CHUNK,
+            FRAME,
+            *columns,
+            *[F.col(f"_prev.{c}").alias(f"_prev_{c}") for c in previous],
+            "_path.*",
+        )
     )
 
 
@@ -365,15 +380,10 @@ def distance_in_path(
 ) -> DataFrame:
     """Sum of Euclidean steps between adjacent frames; steps with a gap are skipped."""
     keys = list(keys)
-    window = chunk_window(keys, FRAME)
-    haloed = frames.select(*keys, FRAME, x_column, y_column).transform(
-        with_halo, FRAME, before=1, size=chunk_frames
-    )
-    dx = F.col(x_column) - F.lag(x_column).over(window)
-    dy = F.col(y_column) - F.lag(y_column).over(window)
-    steps = keep_home(haloed.withColumn("_step", F.sqrt(dx * dx + dy * dy)))
-    rows = in_paths(steps, paths, ["_step"], keys=keys, chunk_frames=chunk_frames)
-    inner = F.when(F.col(FRAME) > F.col("start_frame"), F.col("_step"))
+    at = [x_column, y_column]
+    rows = in_paths(frames, paths, at, previous=at, keys=keys, chunk_frames=chunk_frames)
+    dx, dy = (F.col(c) - F.col(f"_prev_{c}") for c in at)
+    inner = F.when(F.col(FRAME) > F.col("start_frame"), F.sqrt(dx * dx + dy * dy))
     out = rows.groupBy(*keys, "path_id", "start_frame", "end_frame").agg(
         F.coalesce(F.sum(inner), F.lit(0.0)).alias("distance")
     )
