@@ -47,9 +47,11 @@ def with_ordinal(
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     cuts = {f"_o{i}": c for i, c in enumerate(order)}
     names = [*keys, *cuts]
+    # A fixed number of ranges: they become the files later scans are split by.
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
         df.withColumns(cuts)
-        .repartitionByRange(*names)
+        .repartitionByRange(ranges, *names)
         .sortWithinPartitions(*names)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_seq", F.monotonically_increasing_id())

@@ -224,15 +224,6 @@ def d2_frame_table(spark, sf_dir):
     )
 
 
-_ON_LABEL = "axis AS (SELECT DISTINCT session_id, frame_number FROM pose WHERE session_id < 10)"
-
-
-def _axis(spark, sf_dir):
-    """Frames of the sessions that share their number with an orientation recording."""
-    rows = pose(spark, sf_dir).where("session_id < 10").select("session_id", "frame_number")
-    return rows.distinct()
-
-
 @query("d3_sampled_alignment", with_ctes("pose", "imu", extra="axis AS (SELECT DISTINCT session_id, frame_number FROM pose)") + """
 SELECT a.session_id, a.frame_number, round(i.qw, 6) AS qw FROM axis a
 LEFT JOIN imu i ON i.session_id = a.session_id AND i.pos = a.frame_number * 3""")
@@ -253,10 +244,10 @@ def _long_axis(spark, sf_dir):
 
 @query("d4_truncate_pad", with_ctes("traces", extra=_LONG_AXIS) + """
 SELECT a.frame_number, round(t.c, 6) AS c FROM axis a
-LEFT JOIN traces t ON t.session_id = a.session_id AND t.frame_number = a.frame_number AND t.unit_id = 5""")
+LEFT JOIN (SELECT frame_number, max(c) AS c FROM traces GROUP BY 1) t ON t.frame_number = a.frame_number""")
 def d4_truncate_pad(spark, sf_dir):
-    unit = traces(spark, sf_dir).where("unit_id = 5")
-    out = FR.align_by_position(_long_axis(spark, sf_dir), unit, ["c"])
+    peak = traces(spark, sf_dir).groupBy("session_id", "frame_number").agg(F.max("c").alias("c"))
+    out = FR.align_by_position(_long_axis(spark, sf_dir), peak, ["c"])
     return rounded(out.select("frame_number", "c"), 6, "c")
 
 
@@ -279,7 +270,7 @@ def d6_mean_over_units(spark, sf_dir):
 
 
 @query("d7_modulated_footprints", with_ctes("traces", extra=_LONG_AXIS + """,
-units AS (SELECT s_suppkey - 1 AS unit_id, 3 + s_suppkey % 4 AS points FROM supplier WHERE s_suppkey <= 64)""") + """
+units AS (SELECT DISTINCT unit_id, 3 + unit_id % 4 AS points FROM traces)""") + """
 SELECT a.frame_number, u.unit_id, CAST(u.points AS INTEGER) AS points, round(coalesce(t.c, 0.0), 6) AS activity
 FROM axis a JOIN units u ON true
 LEFT JOIN traces t ON t.frame_number = a.frame_number AND t.unit_id = u.unit_id""")
@@ -291,15 +282,14 @@ def d7_modulated_footprints(spark, sf_dir):
 
 
 def _contours(spark, sf_dir):
-    """A contour of 3 to 6 points for each of the 64 units, around its supplier's key."""
-    key = F.col("s_suppkey")
+    """A contour of 3 to 6 points for every unit that was traced."""
+    unit = F.col("unit_id")
     ring = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), 2 + key % 4),
-        lambda i: F.struct((key + F.cos(i)).alias("x"), (key + F.sin(i)).alias("y")),
-    )
-    return table(spark, sf_dir, "supplier").where(key <= 64).select(
-        F.lit(0).cast("bigint").alias("session_id"), (key - 1).alias("unit_id"), ring.alias("contour")
+        F.sequence(F.lit(0).cast("bigint"), 2 + unit % 4),
+        lambda i: F.struct((unit + F.cos(i)).alias("x"), (unit + F.sin(i)).alias("y")),
     )
+    units = traces(spark, sf_dir).select("session_id", "unit_id").distinct()
+    return units.withColumn("contour", ring)
 
 
 _PIXELS = """pix AS (SELECT vec_id AS unit_id, CAST((i - 1) // 8 AS INTEGER) AS y, CAST((i - 1) % 8 AS INTEGER) AS x,
@@ -426,13 +416,14 @@ def w5_trace_window(spark, sf_dir):
     )
 
 
-_ACTIVE = """active AS (SELECT frame_number, unit_id, c AS activity FROM traces WHERE c > 0.05 AND unit_id % 13 <> 0),
+_ACTIVE = """active AS (SELECT frame_number, unit_id, c AS activity FROM traces WHERE c > 0.05 AND c < 0.25),
 top AS (SELECT *, CAST(rk AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY frame_number ORDER BY activity DESC, unit_id) AS rk FROM active) WHERE rk <= 12)"""
 
 
 def _active(spark, sf_dir):
-    contour = F.when(F.col("unit_id") % 13 == 0, F.array().cast("array<double>")).otherwise(F.array(F.lit(1.0)))
-    rows = traces(spark, sf_dir).withColumnRenamed("c", "activity").withColumn("contour", contour)
+    # Saturated units stand for those without a contour.
+    contour = F.when(F.col("c") >= 0.25, F.array().cast("array<double>")).otherwise(F.array(F.lit(1.0)))
+    rows = traces(spark, sf_dir).withColumn("contour", contour).withColumnRenamed("c", "activity")
     return S.active_units(rows).select("session_id", "frame_number", "unit_id", "activity")
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burrow.functions.geometry import measured
 from burrow.operators.chunks import with_ordinal
 from burrow.session import materialise
 
@@ -96,6 +97,41 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+KINDS = ("rectangle", "polygon", "circle", "ellipse", "hexagon")
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About twenty regions on the map of every session, one per part, measured once."""
+    return _ingested(spark, sf_dir, "regions", lambda: measured(_regions(spark, sf_dir)))
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "supplier").select(F.count("*")).scalar()
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").withColumn("_n", n)
+    slot = F.floor(k / F.col("_n"))
+    x, y = 0.125 + F.col("p_size"), 0.375 + (slot * 37 + k * 11) % 100
+    a, b = 3.0 + k % 5 * 1.5, 2.0 + k % 3 * 2.25
+    corner = [(x - a, y - b), (x + a, y - b), (x + a, y + b), (x, y - b / 2), (x - a, y + b)]
+    is_node = F.col("p_size") % 3 != 0
+    return rows.select(
+        (k % F.col("_n")).alias("map_id"),
+        k.alias("ord"),
+        F.concat(F.lit("region_"), k).alias("region_id"),
+        F.element_at(F.array(*map(F.lit, KINDS)), ((F.col("p_size") + k) % 5 + 1).cast("int")).alias("kind"),
+        F.array(*[F.struct(px.alias("x"), py.alias("y")) for px, py in corner]).alias("points"),
+        x.alias("cx"),
+        y.cast("double").alias("cy"),
+        a.alias("a"),
+        b.alias("b"),
+        (k % 4 * 0.3).alias("angle"),
+        F.when(is_node, "node").otherwise("edge").alias("element_type"),
+        F.when(is_node, F.concat(F.lit("P"), k)).alias("node_id"),
+        F.when(~is_node, F.concat(F.lit("P"), k)).alias("u"),
+        F.when(~is_node, F.concat(F.lit("P"), k + F.col("_n"))).alias("v"),
+    )
+
+
 CTE = {
     "frames": """frames AS (
   SELECT user_id AS session_id,
@@ -120,6 +156,43 @@ CTE = {
   SELECT CAST(0 AS BIGINT) AS session_id, CAST(vec_id AS BIGINT) AS frame_number,
          CAST(i - 1 AS BIGINT) AS unit_id, CAST(embedding[i] AS DOUBLE) AS c
   FROM embeddings, range(1, 65) AS r(i))""",
+    "regions": """raw_regions AS (
+  SELECT p_partkey % n AS map_id, p_partkey AS ord, 'region_' || p_partkey AS region_id,
+         ['rectangle', 'polygon', 'circle', 'ellipse', 'hexagon'][CAST((p_size + p_partkey) % 5 + 1 AS INTEGER)] AS kind,
+         CAST(0.125 + p_size AS DOUBLE) AS cx, CAST(0.375 + ((p_partkey // n) * 37 + p_partkey * 11) % 100 AS DOUBLE) AS cy,
+         CAST(3.0 + p_partkey % 5 * 1.5 AS DOUBLE) AS a, CAST(2.0 + p_partkey % 3 * 2.25 AS DOUBLE) AS b,
+         CAST(p_partkey % 4 AS DOUBLE) * CAST(0.3 AS DOUBLE) AS angle,
+         CASE WHEN p_size % 3 <> 0 THEN 'node' ELSE 'edge' END AS element_type,
+         CASE WHEN p_size % 3 <> 0 THEN 'P' || p_partkey END AS node_id,
+         CASE WHEN p_size % 3 = 0 THEN 'P' || p_partkey END AS u,
+         CASE WHEN p_size % 3 = 0 THEN 'P' || (p_partkey + n) END AS v
+  FROM part, (SELECT count(*) AS n FROM supplier)),
+corners AS (
+  SELECT map_id, region_id, i, 6 AS c, cx + a * cos(CAST(i - 1 AS DOUBLE) * (pi() / 3)) AS x, cy + a * sin(CAST(i - 1 AS DOUBLE) * (pi() / 3)) AS y
+  FROM raw_regions, range(1, 7) AS r(i) WHERE kind = 'hexagon'
+  UNION ALL
+  SELECT map_id, region_id, i, 5, [cx - a, cx + a, cx + a, cx, cx - a][i], [cy - b, cy - b, cy + b, cy - b / 2, cy + b][i]
+  FROM raw_regions, range(1, 6) AS r(i) WHERE kind = 'polygon'),
+sides AS (
+  SELECT p.map_id, p.region_id, p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2
+  FROM corners p JOIN corners q ON q.region_id = p.region_id AND q.i = p.i % p.c + 1),
+outline AS (
+  SELECT region_id, sum(x1 * y2 - x2 * y1) AS s, sum((x1 + x2) * (x1 * y2 - x2 * y1)) AS sx,
+         sum((y1 + y2) * (x1 * y2 - x2 * y1)) AS sy, min(x1) AS mnx, max(x1) AS mxx, min(y1) AS mny, max(y1) AS mxy
+  FROM sides GROUP BY region_id),
+regions AS (
+  SELECT r.*,
+    CASE kind WHEN 'polygon' THEN mnx WHEN 'rectangle' THEN cx WHEN 'ellipse' THEN cx - sqrt((a*cos(angle))**2 + (b*sin(angle))**2) ELSE cx - a END AS x0,
+    CASE kind WHEN 'polygon' THEN mxx WHEN 'ellipse' THEN cx + sqrt((a*cos(angle))**2 + (b*sin(angle))**2) ELSE cx + a END AS x1,
+    CASE kind WHEN 'polygon' THEN mny WHEN 'rectangle' THEN cy WHEN 'circle' THEN cy - a WHEN 'hexagon' THEN cy - a * sqrt(3.0) / 2
+      ELSE cy - sqrt((a*sin(angle))**2 + (b*cos(angle))**2) END AS y0,
+    CASE kind WHEN 'polygon' THEN mxy WHEN 'rectangle' THEN cy + b WHEN 'circle' THEN cy + a WHEN 'hexagon' THEN cy + a * sqrt(3.0) / 2
+      ELSE cy + sqrt((a*sin(angle))**2 + (b*cos(angle))**2) END AS y1,
+    CASE kind WHEN 'polygon' THEN sx / (3 * s) WHEN 'rectangle' THEN cx + a / 2 ELSE cx END AS center_x,
+    CASE kind WHEN 'polygon' THEN sy / (3 * s) WHEN 'rectangle' THEN cy + b / 2 ELSE cy END AS center_y,
+    CASE kind WHEN 'polygon' THEN abs(s) / 2 WHEN 'rectangle' THEN a * b WHEN 'circle' THEN pi() * a * a
+      WHEN 'hexagon' THEN 1.5 * sqrt(3.0) * a * a ELSE pi() * a * b END AS area
+  FROM raw_regions r LEFT JOIN outline o ON o.region_id = r.region_id)""",
     "sessions": """sessions AS (
   SELECT c_custkey AS session_id,
          CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(20 + c_custkey % 4 * 10 AS DOUBLE) END AS fps,
