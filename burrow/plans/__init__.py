@@ -1,2 +1,2 @@
-from burrow.plans import frame_queries, path_queries, place_queries  # noqa: F401
+from burrow.plans import frame_queries, network_queries, path_queries, place_queries  # noqa: F401
 from burrow.plans.registry import ORACLES, QUERIES  # noqa: F401
