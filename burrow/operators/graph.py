@@ -544,7 +544,8 @@ def sampled_walks(
     )
     for step in range(max_steps):
         walks = _one_step(walks, arcs, step, backtrack, stop_at_target, seed, small, target_rows)
-        if (step + 1) % STEPS_PER_TABLE == 0:
+        # The shuffled form looks at its input twice, so each of its steps is stored.
+        if not small or (step + 1) % STEPS_PER_TABLE == 0:
             walks = materialise(walks, "walks")
             if walks.where(_going(stop_at_target)).isEmpty():
                 break
