@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burrow.operators.chunks import CHUNK, previous_row, running_sum, with_chunk, with_ordinal
@@ -448,10 +448,10 @@ def is_connected(labels: DataFrame) -> DataFrame:
 # -- walks --------------------------------------------------------------------
 
 WALK_BROADCAST_ROWS = 500_000
-STEPS_PER_TABLE = 10
+STEPS_PER_TABLE = 6
 
 
-def _walk_arcs(edges: DataFrame, weighted: bool) -> DataFrame:
+def _walk_arcs(edges: DataFrame, weighted: bool, small_rows: int) -> DataFrame:
     """Arcs with their stretch [lo, hi) of the tail's total weight.
 
     The total is cut into as many slots as the tail has arcs, and an arc is
@@ -466,9 +466,16 @@ def _walk_arcs(edges: DataFrame, weighted: bool) -> DataFrame:
         .where("_w > 0")
     )
     keys = [GRAPH, "u"]
-    placed = with_ordinal(arcs, keys, ["v"], "_nth").transform(with_chunk, "_nth")
-    summed = running_sum(placed, keys, "_nth", "_w", "hi")
-    summed = materialise(previous_row(summed, keys, "_nth", {"hi": "lo"}).drop(CHUNK), "stretches")
+    arcs = materialise(arcs, "arcs")
+    if arcs.count() <= small_rows:
+        # The whole graph is small, and so are the arcs of any node.
+        upto = Window.partitionBy(*keys).orderBy("v")
+        summed = arcs.withColumn("hi", F.sum("_w").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+        summed = summed.withColumn("lo", F.lag("hi").over(upto))
+    else:
+        placed = with_ordinal(arcs, keys, ["v"], "_nth").transform(with_chunk, "_nth")
+        summed = running_sum(placed, keys, "_nth", "_w", "hi")
+        summed = materialise(previous_row(summed, keys, "_nth", {"hi": "lo"}).drop(CHUNK), "stretches")
     summed = summed.withColumn("lo", F.coalesce("lo", F.lit(0.0)))
     ends = summed.groupBy(*keys).agg(F.max("hi").alias("total"), F.count("*").alias("arcs"))
     back = summed.select(GRAPH, F.col("v").alias("u"), F.col("u").alias("v"), F.col("lo").alias("back_lo"), F.col("hi").alias("back_hi"))
@@ -495,11 +502,6 @@ def _slot(at: Column, total: Column, slots: Column) -> Column:
     return F.least(F.floor(at / total * slots), slots - 1)
 
 
-def _draw(seed: int, *parts) -> Column:
-    """Number in [0, 1) that depends on its inputs only, so reruns agree."""
-    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 53)) / F.lit(float(1 << 53))
-
-
 def sampled_walks(
     edges: DataFrame,
     starts: DataFrame,
@@ -522,7 +524,7 @@ def sampled_walks(
         raise ValueError(f"backtrack must be -1 or in [0, 1], got {backtrack}")
     if max_steps is None or max_steps < 0:
         raise ValueError("max_steps is required")
-    arcs = materialise(_walk_arcs(edges, weighted), "walkarcs")
+    arcs = materialise(_walk_arcs(edges, weighted, broadcast_rows), "walkarcs")
     small = arcs.count() <= broadcast_rows
     stop = F.col("target") if "target" in starts.columns else F.lit(None).cast("string")
     ends = arcs.select(GRAPH, F.col("next").alias("start"), F.col("v_total").alias("total"), F.col("v_arcs").alias("arcs")).distinct()
@@ -552,62 +554,49 @@ def sampled_walks(
     return walks.select(GRAPH, "walk_id", "path")
 
 
-def _going(stop_at_target: bool) -> Column:
-    going = F.col("total").isNotNull()
-    if stop_at_target:
-        going = going & ~F.coalesce(F.col("node") == F.col("_stop"), F.lit(False))
-    return going
+def _going(stop_at_target: bool) -> str:
+    going = "total is not null"
+    return f"{going} and coalesce(node <> _stop, true)" if stop_at_target else going
 
 
 def _one_step(walks, arcs, step, backtrack, stop_at_target, seed, small, target_rows):
-    total, lo, hi = F.col("total"), F.col("back_lo"), F.col("back_hi")
-    u1 = _draw(seed, "walk_id", F.lit(step), F.lit(1))
-    u2 = _draw(seed, "walk_id", F.lit(step), F.lit(2))
+    # Written as SQL text: a walk has many steps, and each is planned anew.
+    # The draws depend on seed, walk and step only, so reruns agree.
+    u1, u2 = (
+        f"(pmod(xxhash64({seed}, walk_id, {step}, {n}), {1 << 53}L) / {float(1 << 53)}D)" for n in (1, 2)
+    )
     if backtrack == -1:
-        at = u1 * total
+        at = f"{u1} * total"
     else:
         # Draw among the other arcs by leaving out the stretch of the way back.
-        width = hi - lo
-        other = u1 * (total - width)
-        other = F.when(other < lo, other).otherwise(other + width)
-        only = F.col("arcs") == 1
-        back = (lo + hi) / 2
-        at = (
-            F.when(lo.isNull(), u1 * total)
-            .when(only | (u2 < F.lit(float(backtrack))), back)
-            .otherwise(other)
-        )
-    walks = walks.withColumn("_at", F.when(_going(stop_at_target), at))
-    walks = walks.withColumn("slot", _slot(F.col("_at"), total, F.col("arcs"))).drop("back_lo", "back_hi")
+        other = f"{u1} * (total - (back_hi - back_lo))"
+        at = f"""case when back_lo is null then {u1} * total
+            when arcs = 1 or {u2} < {float(backtrack)}D then (back_lo + back_hi) / 2
+            when {other} < back_lo then {other} else {other} + (back_hi - back_lo) end"""
+    walks = walks.selectExpr(
+        GRAPH, "walk_id", "_stop", "node", "total", "arcs", "path",
+        f"case when {_going(stop_at_target)} then {at} end as _at",
+    ).selectExpr("*", "least(floor(_at / total * arcs), arcs - 1) as slot")
     keys = [GRAPH, "node", "slot"]
-    moving = F.col("_at").isNotNull()
     if small:
-        ahead = F.broadcast(arcs).alias("a")
-        here = walks.alias("w")
-        hit = (
-            (F.col("w.graph_id") == F.col("a.graph_id"))
-            & (F.col("w.node") == F.col("a.node"))
-            & (F.col("w.slot") == F.col("a.slot"))
-            & (F.col("_at") >= F.col("a.lo"))
-            & (F.col("_at") < F.col("a.hi"))
-        )
-        joined = here.join(ahead, hit, "left").drop(F.col("a.graph_id"), F.col("a.node"), F.col("a.slot"))
+        hit = " and ".join(f"w.{k} = a.{k}" for k in keys) + " and _at >= a.lo and _at < a.hi"
+        joined = walks.alias("w").join(F.broadcast(arcs).alias("a"), F.expr(hit), "left")
+        side = "w."
     else:
-        rest = walks.where(~moving)
-        joined = salted_join(walks.where(moving), arcs, keys, ["walk_id"], "inner", target_rows)
-        joined = joined.where((F.col("_at") >= F.col("lo")) & (F.col("_at") < F.col("hi")))
-        joined = joined.unionByName(rest, allowMissingColumns=True)
-    moved = F.col("next").isNotNull()
-    return joined.select(
-        GRAPH,
+        joined = salted_join(walks.where("_at is not null"), arcs, keys, ["walk_id"], "inner", target_rows)
+        joined = joined.where("_at >= lo and _at < hi")
+        joined = joined.unionByName(walks.where("_at is null"), allowMissingColumns=True)
+        side = ""
+    return joined.selectExpr(
+        f"{side}{GRAPH}",
         "walk_id",
         "_stop",
-        F.coalesce("next", "node").alias("node"),
-        F.when(moved, F.col("v_total")).otherwise(total).alias("total"),
-        F.when(moved, F.col("v_arcs")).otherwise(F.col("arcs")).alias("arcs"),
+        f"coalesce(next, {side}node) as node",
+        "if(next is null, total, v_total) as total",
+        "if(next is null, arcs, v_arcs) as arcs",
         "back_lo",
         "back_hi",
-        F.when(moved, F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"),
+        "if(next is null, path, concat(path, array(next))) as path",
     )
 
 

@@ -326,22 +326,29 @@ def overlapping_regions(regions: DataFrame, samples: int = 10) -> DataFrame:
     """
     rows = regions.select(MAP, "ord", "region_id", *[c for c in G.SHAPE if c != "points"], *G.MEASURES)
     pairs = _box_pairs(rows, rows).where(F.col("p.ord") < F.col("q.ord"))
+    # Few bytes but much work per pair: keep the pairs spread over all tasks.
+    tasks = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.repartition(tasks, "p.region_id", "q.region_id")
     p, q = F.col("p"), F.col("q")
     left, right = F.greatest(p["x0"], q["x0"]), F.least(p["x1"], q["x1"])
     low, high = F.greatest(p["y0"], q["y0"]), F.least(p["y1"], q["y1"])
-    steps = F.sequence(F.lit(0), F.lit(samples * samples - 1))
     last = samples - 1
 
     def place(start: Column, stop: Column, i: Column) -> Column:
         return F.when(i == last, stop).otherwise(start + (stop - start) / last * i)
 
-    hit = F.exists(
-        steps,
-        lambda i: G.contains(place(left, right, F.floor(i / samples)), place(low, high, i % samples), "p.")
-        & G.contains(place(left, right, F.floor(i / samples)), place(low, high, i % samples), "q."),
+    spots = pairs.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(samples * samples - 1)))).withColumns(
+        {
+            "_x": place(left, right, F.floor(F.col("_i") / samples)),
+            "_y": place(low, high, F.col("_i") % samples),
+        }
     )
-    return pairs.where(hit).select(
-        MAP, F.col("p.region_id").alias("region1"), F.col("q.region_id").alias("region2"), F.lit(1.0).alias("severity")
+    x, y = F.col("_x"), F.col("_y")
+    return (
+        spots.where(G.contains(x, y, "p.") & G.contains(x, y, "q."))
+        .select(MAP, F.col("p.region_id").alias("region1"), F.col("q.region_id").alias("region2"))
+        .distinct()
+        .withColumn("severity", F.lit(1.0))
     )
 
 
