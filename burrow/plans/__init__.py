@@ -1,2 +1,8 @@
-from burrow.plans import frame_queries, network_queries, path_queries, place_queries  # noqa: F401
+from burrow.plans import (  # noqa: F401
+    frame_queries,
+    network_queries,
+    path_queries,
+    place_queries,
+    source_queries,
+)
 from burrow.plans.registry import ORACLES, QUERIES  # noqa: F401
