@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burrow.functions.angles import quaternion_angles
+from burrow.functions import angles as A
 from burrow.functions.projective import inverse, project
 from burrow.operators.chunks import CHUNK_FRAMES, chunk_window, keep_home, with_halo
+from burrow.operators.skew import salted_join
 
 LIKELIHOOD = 0.3
 KEYS = ("session_id",)
@@ -134,9 +135,7 @@ def align_sampled(frames: DataFrame, samples: DataFrame, skip: int, columns: Seq
 
 def head_orientation(samples: DataFrame, offset: float | None = None, direction: float | None = None) -> DataFrame:
     """yaw, pitch and roll of each sample; yaw is calibrated when an offset is given."""
-    from burrow.functions import angles as A
-
-    turned = quaternion_angles(*[F.col(c) for c in ("qw", "qx", "qy", "qz")])
+    turned = A.quaternion_angles(*[F.col(c) for c in ("qw", "qx", "qy", "qz")])
     if offset is not None:
         turned["yaw"] = A.calibrated_yaw(turned["yaw"], offset, A.YAW_DIRECTION if direction is None else direction)
     return samples.withColumns(turned)
@@ -178,17 +177,10 @@ def mean_over_units(traces: DataFrame, function: str = "mean", keys: Sequence[st
 def modulated_footprints(frames: DataFrame, traces: DataFrame, contours: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Contour and activity of every unit in every frame; no activity counts as 0.
 
-    The units of a session come as one array per session, so every frame row
-    grows into its units without a pairing join.
+    Each frame meets the contours of its own session; long sessions are salted.
     """
     keys = list(keys)
-    units = contours.groupBy(*keys).agg(F.collect_list(F.struct("unit_id", "contour")).alias("_units"))
-    grown = (
-        frames.select(*keys, FRAME)
-        .join(units, keys)
-        .select(*keys, FRAME, F.explode("_units").alias("_u"))
-        .select(*keys, FRAME, "_u.*")
-    )
+    grown = salted_join(frames.select(*keys, FRAME), contours.select(*keys, "unit_id", "contour"), keys, [FRAME])
     activity = traces.select(*keys, FRAME, "unit_id", F.col("c").alias("activity"))
     return grown.join(activity, [*keys, FRAME, "unit_id"], "left").withColumn(
         "activity", F.coalesce("activity", F.lit(0.0))
