@@ -36,7 +36,8 @@ def route_scores(
 
     The first value of a path is compared with the second of the route, so a
     perfect path that includes its start has one deviation. ``strike_levels``
-    only switches strikes on. The route is a shortest path, hence short.
+    only switches strikes on. The route is a shortest path, hence short; values
+    are compared with it as text, the form node ids have.
     """
     keys = list(keys)
     per_path = [*keys, "path_id"]
@@ -46,7 +47,7 @@ def route_scores(
     spot = F.lit(-1)
     # Read backwards, so that a value's first place on the route wins.
     for i in range(last, -1, -1):
-        spot = F.when(F.col("value") == F.lit(route[i]), F.lit(i)).otherwise(spot)
+        spot = F.when(F.col("value").cast("string") == F.lit(str(route[i])), F.lit(i)).otherwise(spot)
     size = F.lit(piece)
     pieces = (
         seen.select(*per_path, "pos", spot.alias("spot"), F.floor(F.col("pos") / size).alias("_piece"))

@@ -9,8 +9,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from burrow.operators import graph as GR
 from burrow.operators import paths as P
 from burrow.operators.chunks import with_ordinal
+from burrow.operators.efficiency import route_scores
 from burrow.session import materialise
 
 KEYS = ("session_id",)
@@ -93,13 +95,27 @@ def cross_session_metric(name: str):
 
 
 class Context:
-    """What a metric may need besides frames: sessions, graph size, shared paths."""
+    """What a metric may need besides frames: sessions, the graph, shared paths."""
 
-    def __init__(self, frames, sessions=None, graph_totals=None):
+    def __init__(self, frames, sessions=None, graph_totals=None, edges=None):
         self.frames = frames
         self.sessions = sessions
         self.graph_totals = graph_totals
+        self.edges = edges
         self._paths: dict[tuple, DataFrame] = {}
+        self._routes: dict[tuple[str, str], list[str]] = {}
+
+    def route(self, start_node, end_node) -> list[str]:
+        """Nodes of the shortest path in the graph; empty when there is none."""
+        ends = (str(start_node), str(end_node))
+        if ends not in self._routes:
+            pair = self.edges.select(F.col(GR.GRAPH)).limit(1).select(
+                GR.GRAPH, F.lit(ends[0]).alias("source"), F.lit(ends[1]).alias("target")
+            )
+            reached = GR.shortest_paths(self.edges, pair.select(GR.GRAPH, "source"))
+            found = GR.path_nodes(pair, reached).first()
+            self._routes[ends] = list(found.path) if found else []
+        return self._routes[ends]
 
     def paths(self, start_column, start_value, end_column, end_value, min_unique_values=None):
         """Paths of one specification, searched once and shared by all metrics."""
@@ -155,6 +171,25 @@ def _exploration(frames, context, location_column, total_locations=None):
     )
 
 
+@session_metric("shortest_path_efficiency")
+def _efficiency(
+    frames, context, path_column, start_node, end_node, strike_levels=None, max_strikes=0, measure="efficiency", **spec
+):
+    """One measure of route_scores per path; without a graph no path has any."""
+    found = context.paths(**spec)
+    if context.edges is None:
+        return _value(found.where(F.lit(False)), "start_frame")
+    scores = route_scores(
+        frames,
+        found,
+        path_column,
+        context.route(start_node, end_node),
+        strike_levels=strike_levels,
+        max_strikes=max_strikes,
+    )
+    return _value(scores.withColumn("completed", F.col("completed").cast("int")), measure)
+
+
 def battery(context: Context, wanted: Mapping[str, tuple[str, Mapping]]) -> DataFrame:
     """All wanted metrics of all sessions as (session_id, metric, path_id, value).
 

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from burrow.operators.chunks import (
     CHUNK,
@@ -32,7 +33,9 @@ def matches(column: str, value) -> Column:
     col = F.col(column)
     if isinstance(value, Column):
         return F.coalesce(value, F.lit(False))
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
+    if isinstance(value, bool):
+        return F.coalesce(col.cast("boolean") == F.lit(value), F.lit(False))
+    if isinstance(value, (int, float)):
         return F.coalesce(col == F.lit(value), F.lit(False))
     if isinstance(value, tuple):
         u, v = value
@@ -40,6 +43,13 @@ def matches(column: str, value) -> Column:
     return F.coalesce(col.cast("string") == F.lit(str(value)), F.lit(False))
 
 
+def _mask(frames: DataFrame, column: str, value) -> Column:
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    if number and isinstance(frames.schema[column].dataType, StringType):
+        return F.lit(False)  # text is never equal to a number
+    return matches(column, value)
+
+
 def transitions(
     frames: DataFrame,
     start_column: str,
@@ -69,8 +79,8 @@ def transitions(
         frames.select(
             *keys,
             FRAME,
-            matches(start_column, start_value).alias("_s"),
-            matches(end_column, end_value).alias("_e"),
+            _mask(frames, start_column, start_value).alias("_s"),
+            _mask(frames, end_column, end_value).alias("_e"),
         )
         .where("_s or _e")
         .transform(with_chunk, FRAME, chunk_frames)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from burrow.operators import graph as GR
+from burrow.operators import metrics as M
 from burrow.operators import paths as P
 from burrow.operators.efficiency import route_scores
 from tests.test_paths import frames_of, table, whole
@@ -234,3 +235,14 @@ def test_route_scores_over_pieces(spark, strikes):
         scores = route_scores(df, paths, "node", route, strike_levels=[1], max_strikes=strikes, piece=piece, chunk_frames=chunk)
         got = {r.session_id: (r.progress, r.deviations, r.strikes_used, r.actual_length) for r in scores.collect()}
         assert got == want
+
+
+def test_efficiency_as_a_session_metric(spark):
+    df = frames_of(spark, {"node": ("int", [0, 2, 1, 3]), "state": ("string", ["a", None, None, "b"])})
+    edges = table(spark, EDGES, [("g", "0", "1", 1.0), ("g", "1", "3", 1.0), ("g", "0", "2", 1.0)])
+    spec = {"start_column": "state", "start_value": "a", "end_column": "state", "end_value": "b"}
+    args = spec | {"path_column": "node", "start_node": 0, "end_node": 3}
+    wanted = {name: ("shortest_path_efficiency", args | {"measure": name}) for name in ("efficiency", "deviations", "completed")}
+    got = {r.metric: r.value for r in M.battery(M.Context(df, edges=edges), wanted).collect()}
+    assert got == {"efficiency": pytest.approx(200 / 3), "deviations": 2.0, "completed": 1.0}
+    assert M.battery(M.Context(df), wanted).isEmpty()

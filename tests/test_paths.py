@@ -179,3 +179,14 @@ def test_paths_over_many_chunks_equal_one_chunk(spark):
         return out
 
     assert answers(6) == answers(10_000)
+
+
+def test_value_types(spark):
+    df = frames_of(spark, {
+        "text": ("string", ["3", "b", "3", "b"]),
+        "number": ("double", [1, 2, 1, 2]),
+        "flag": ("boolean", [True, False, True, False]),
+    })
+    assert pairs(P.transitions(df, "text", 3, "text", "b")) == []
+    assert pairs(P.transitions(df, "number", 1, "number", "2.0")) == [(0, 1), (2, 3)]
+    assert pairs(P.transitions(df, "flag", True, "flag", False)) == [(0, 1), (2, 3)]
