@@ -1,5 +1,6 @@
 from burrow.plans import (  # noqa: F401
     frame_queries,
+    live_queries,
     network_queries,
     path_queries,
     place_queries,

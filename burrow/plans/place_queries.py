@@ -357,3 +357,31 @@ def r20_calibration_quality(spark, sf_dir):
         (F.col("y") + 1).alias("dst_y"),
     )
     return rounded(L.reprojection_error(pairs, calibration(spark, sf_dir)), 5, "error")
+
+
+# Stored and present builders of each map come from its supplier's keys; the present
+# graph lacks the largest parts.
+@query("r19_builder_mismatches", with_ctes("regions", extra="""built AS (
+  SELECT s_suppkey AS map_id, CASE s_nationkey % 2 WHEN 0 THEN 'tree' ELSE 'star' END AS b1, CASE s_suppkey % 3 WHEN 0 THEN 'star' ELSE 'tree' END AS b2,
+         s_nationkey % 4 AS h1, s_suppkey % 4 AS h2 FROM supplier),
+known AS (SELECT p_partkey % n AS map_id, 'P' || p_partkey AS node_id FROM part, (SELECT count(*) AS n FROM supplier) WHERE p_size < 45)""") + """
+SELECT map_id, 'builder' AS reason, b1 || '/' || b2 AS detail FROM built WHERE b1 <> b2
+UNION ALL SELECT map_id, 'parameter', 'height' FROM built WHERE b1 = b2 AND h1 <> h2
+UNION ALL SELECT DISTINCT r.map_id, 'unknown node', r.node_id FROM regions r
+WHERE r.element_type = 'node' AND NOT EXISTS (SELECT 1 FROM known k WHERE k.map_id = r.map_id AND k.node_id = r.node_id)""")
+def r19_builder_mismatches(spark, sf_dir):
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+
+    def builders(is_tree, height):
+        return table(spark, sf_dir, "supplier").select(
+            key.alias("map_id"),
+            F.when(is_tree, "tree").otherwise("star").alias("builder"),
+            F.create_map(F.lit("height"), height.cast("string")).alias("params"),
+        )
+
+    n = table(spark, sf_dir, "supplier").select(F.count("*")).scalar()
+    small = table(spark, sf_dir, "part").withColumn("_n", n).where("p_size < 45")
+    nodes = small.select((F.col("p_partkey") % F.col("_n")).alias("map_id"), F.concat(F.lit("P"), "p_partkey").alias("node_id"))
+    return L.builder_mismatches(
+        builders(nation % 2 == 0, nation % 4), builders(key % 3 != 0, key % 4), regions(spark, sf_dir), nodes
+    )
