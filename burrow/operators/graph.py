@@ -276,10 +276,19 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int | None = None, directed: bool = False, target: int = TARGET_ROWS) -> DataFrame:
+def shortest_paths(
+    edges: DataFrame,
+    sources: DataFrame,
+    max_depth: int | None = None,
+    directed: bool = False,
+    target: int = TARGET_ROWS,
+    until: DataFrame | None = None,
+) -> DataFrame:
     """Steps from each source to every node it reaches, and the parent on the way.
 
     ``sources`` is (graph_id, source). Among equal parents the smallest id wins.
+    ``until`` (graph_id, source, target) ends the search once all of its targets
+    are reached; nodes farther away are then left out.
     """
     arcs = _Arcs((edges if directed else both_ways(edges)).select(GRAPH, "u", "v").distinct(), target)
     start = sources.select(
@@ -290,6 +299,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int | None =
         F.lit(None).cast("string").alias("parent"),
     ).distinct()
     levels = [materialise(start, "level")]
+    if until is not None:
+        until = until.select(GRAPH, "source", "target").where("source <> target")
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
@@ -309,6 +320,11 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int | None =
         if level.isEmpty():
             break
         levels.append(level)
+        if until is not None:
+            met = level.select(GRAPH, "source", F.col("node").alias("target"))
+            until = materialise(until.join(met, [GRAPH, "source", "target"], "left_anti"), "until")
+            if until.isEmpty():
+                break
     return _union(levels)
 
 

@@ -112,7 +112,7 @@ class Context:
             pair = self.edges.select(F.col(GR.GRAPH)).limit(1).select(
                 GR.GRAPH, F.lit(ends[0]).alias("source"), F.lit(ends[1]).alias("target")
             )
-            reached = GR.shortest_paths(self.edges, pair.select(GR.GRAPH, "source"))
+            reached = GR.shortest_paths(self.edges, pair.select(GR.GRAPH, "source"), until=pair)
             found = GR.path_nodes(pair, reached).first()
             self._routes[ends] = list(found.path) if found else []
         return self._routes[ends]

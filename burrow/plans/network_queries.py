@@ -405,8 +405,8 @@ def _route(spark, sf_dir) -> list[int]:
         g0().alias("graph_id"), n.cast("string").alias("u"), (n + 1).cast("string").alias("v")
     )
     source = spark.range(1).select(g0().alias("graph_id"), F.lit("0").alias("source"))
-    reached = GR.shortest_paths(row.distinct(), source)
     pair = source.withColumn("target", F.lit("3"))
+    reached = GR.shortest_paths(row.distinct(), source, until=pair)
     # One shortest path of a maze: a handful of nodes.
     return [int(n) for n in GR.path_nodes(pair, reached).first().path]
 

@@ -93,6 +93,16 @@ def test_all_shortest_paths(spark):
     assert {r.target: r.length for r in GR.path_lengths(pairs, reached).collect()} == {"e": 3.0, "y": float("inf"), "a": 0.0}
 
 
+def test_search_ends_at_its_targets(spark):
+    edges = table(spark, EDGES, [("g", str(i), str(i + 1), 1.0) for i in range(8)])
+    source = table(spark, "graph_id string, source string", [("g", "0")])
+    pairs = table(spark, "graph_id string, source string, target string", [("g", "0", "2"), ("g", "0", "3"), ("g", "0", "0")])
+    near = GR.shortest_paths(edges, source, until=pairs)
+    assert {r.node: r.distance for r in near.collect()} == {str(i): i for i in range(4)}
+    far = pairs.selectExpr("graph_id", "source", "'none' as target")
+    assert GR.shortest_paths(edges, source, until=far).count() == 9
+
+
 def test_directed_paths(spark):
     rows = [("g", "a", "b", 1.0), ("g", "b", "c", 1.0), ("g", "c", "a", 5.0)]
     edges = table(spark, EDGES, rows)
