@@ -28,8 +28,10 @@ from burrow.llm.common import scan
 
 #: Fixed value: the public pattern that splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KNOWN_CHUNKS = 300_000
-_NEVER = np.int64(1) << 40
+KNOWN_CHUNKS = 400_000
+KNOWN_WORDS = 400_000
+_NONE = 1 << 40
+_NEVER = np.int64(_NONE)
 
 
 def byte_letters() -> dict[str, int]:
@@ -67,8 +69,14 @@ class ByteBpe:
             self.merge[a, b] = made
             number.setdefault(whole, made)
         self.number = number
-        self.longest = max(map(len, number))
+        # The longest token by its first four bytes; others have three at most.
+        self.longest: dict[bytes, int] = {}
+        for whole in number:
+            if len(whole) > 3:
+                self.longest[whole[:4]] = max(len(whole), self.longest.get(whole[:4], 0))
+        self.known: dict[bytes, bytes] = {}
         self.ids = np.array([vocabulary[b] for b in self.bytes_of], np.uint32)
+        self._ids = self.ids.tolist()
         self.specials = {t["content"]: t["id"] for t in parsed["added_tokens"] if t["special"]}
         self.text_of = {int(i): b for i, b in zip(self.ids, self.bytes_of, strict=True)} | {
             i: s.encode() for s, i in self.specials.items()
@@ -86,6 +94,22 @@ class ByteBpe:
         """Merge a word's bytes, the earliest merge first, leftmost on ties."""
         tokens = list(word)
         n = len(tokens)
+        return self._merged_long(tokens, n) if n > 100 else self._merged_short(tokens, n)
+
+    def _merged_short(self, tokens: list[int], n: int) -> list[int]:
+        merge = self.merge.get
+        offers = [merge(pair, _NONE) for pair in zip(tokens, tokens[1:], strict=False)]
+        while offers and (made := min(offers)) < _NONE:
+            i = offers.index(made)
+            tokens[i] = made
+            del tokens[i + 1], offers[i]
+            if i:
+                offers[i - 1] = merge((tokens[i - 1], made), _NONE)
+            if i < len(offers):
+                offers[i] = merge((made, tokens[i + 1]), _NONE)
+        return tokens
+
+    def _merged_long(self, tokens: list[int], n: int) -> list[int]:
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m, i) for i in range(n - 1) if (m := self.merge.get((tokens[i], tokens[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -108,11 +132,11 @@ class ByteBpe:
 
     def proposed(self, word: bytes) -> list[int]:
         """Greedy longest match."""
-        number, out, at, n = self.number, [], 0, len(word)
+        number, longest, out, at, n = self.number, self.longest.get, [], 0, len(word)
         if (whole := number.get(word)) is not None:
             return [whole]
         while at < n:
-            end = min(n, at + self.longest)
+            end = min(n, at + longest(word[at : at + 4], 3))
             while (token := number.get(word[at:end])) is None:
                 end -= 1
             out.append(token)
@@ -178,9 +202,17 @@ class ByteBpe:
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk as little-endian unsigned 32-bit integers."""
         split = [[w.encode() for w in self.split(c)] for c in chunks]
-        distinct = list(dict.fromkeys(w for s in split for w in s))
-        tokens = dict(zip(distinct, self.encode_words(distinct), strict=True))
-        return [self.ids[[t for w in s for t in tokens[w]]].tobytes() if s else b"" for s in split]
+        wanted = {w for s in split for w in s}
+        missing = wanted - self.known.keys()
+        if len(self.known) + len(missing) > KNOWN_WORDS:
+            self.known.clear()
+            missing = wanted
+        missing = list(missing)
+        self.known.update(zip(missing, map(self._packed, self.encode_words(missing)), strict=True))
+        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+
+    def _packed(self, tokens: list[int]) -> bytes:
+        return array("I", map(self._ids.__getitem__, tokens)).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(BatchEncoder(self).encode([text])[0], np.uint32)
