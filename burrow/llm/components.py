@@ -1,0 +1,54 @@
+"""Connected components by alternating stars, with DataFrame operations only.
+
+Every round rewrites the links so that a node points at smaller ids: first all
+larger neighbours of a node, then all smaller ones, are tied to the smallest.
+The number of links never grows, a node's links are reduced to a minimum
+before they are shuffled, and the rounds are about the logarithm of the
+longest chain.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from burrow.session import materialise
+
+
+def _tied(links: DataFrame, smallest: DataFrame) -> DataFrame:
+    """(u, v) with the smallest node tied to u."""
+    return links.join(smallest, "u")
+
+
+def _large_star(links: DataFrame) -> DataFrame:
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    smallest = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
+    return _tied(both.where("v > u"), smallest).select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    # Here every link points from the larger to the smaller node.
+    smallest = links.groupBy("u").agg(F.min("v").alias("_m"))
+    tied = _tied(links, smallest)
+    down = tied.where("v <> _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
+    return down.unionByName(smallest.select("u", F.col("_m").alias("v"))).distinct()
+
+
+def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+    """``u, component`` for every node that has a link to another node;
+    ``component`` is the smallest id of its component. Links count both ways;
+    nulls, loops and repeated links don't matter. Nodes without links are left
+    out: each is a component of its own.
+    """
+    start = links.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v")
+    now = materialise(start.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    mark = None
+    while True:
+        # At a fixed point the links are stars, and two rounds agree.
+        row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if tuple(row) == mark or not row[0]:
+            return now.select("u", F.col("v").alias("component")).unionByName(
+                now.select(F.col("v").alias("u"), F.col("v").alias("component")).distinct()
+            )
+        mark = tuple(row)
+        now = materialise(_small_star(_large_star(now)), "links")

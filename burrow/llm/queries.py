@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from burrow.llm import bpe, fertility, packing
+from burrow.llm import bm25, bpe, extraction, fertility, packing, quality, secret_scan, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,99 @@ def op10_quality_rules(spark, sf_dir):
         public_tokenizers.path("byte_bpe_50k.json"),
         public_tokenizers.path("piece_bpe_32k.model"),
     )
+
+
+@query("op2_quality_classifier")
+def op2_quality_classifier(spark, sf_dir):
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_main_text")
+def op4_main_text(spark, sf_dir):
+    return extraction.extracted(table(spark, sf_dir, "pages"))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark, sf_dir):
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark, sf_dir):
+    return secret_scan.scanned(table(spark, sf_dir, "documents"))
+
+
+_TOP_K = 10
+
+
+@query(
+    "op1_bm25_top_k",
+    f"""
+WITH words AS (SELECT doc_id, text, unnest(regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-/:-@\\[-`{{-\\x7f]+')) AS word
+               FROM (SELECT DISTINCT doc_id, text FROM documents)),
+  tf AS (SELECT doc_id, text, word, count(*) AS n FROM words GROUP BY ALL),
+  len AS (SELECT doc_id, text, sum(n) AS length FROM tf GROUP BY ALL),
+  whole AS (SELECT (SELECT count(*) FROM documents) AS docs, (SELECT sum(length) FROM len) AS length),
+  df AS (SELECT word, count(*) AS n FROM tf GROUP BY word),
+  q AS (SELECT doc_id AS query_id, word, ln((docs - df.n + 0.5) / (df.n + 0.5) + 1) AS idf
+        FROM tf JOIN df USING (word), whole WHERE doc_id % 100 = 0),
+  gains AS (SELECT query_id, tf.doc_id, CAST(round(idf * (tf.n * 2.2 / (tf.n + 1.2 * (0.25 + 0.75 * len.length / (whole.length / docs)))) * 1000000) AS BIGINT) AS gain
+            FROM q JOIN tf USING (word) JOIN len USING (doc_id, text), whole),
+  best AS (SELECT query_id, doc_id, sum(gain) AS units FROM gains GROUP BY ALL),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY units DESC, doc_id) AS rank FROM best)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(units AS DOUBLE) / 1000000 AS score FROM ranked WHERE rank <= {_TOP_K}""",
+)
+def op1_bm25_top_k(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = bm25.top_k(docs, docs.where("doc_id % 100 = 0"), _TOP_K)
+    return found.select("query_id", "rank", "doc_id", "score")
+
+
+_ADDRESS = """CASE WHEN {0} LIKE '%://%' AND translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'x', 'x') <> ''
+  THEN translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    || CASE WHEN regexp_extract(regexp_replace({0}, '(?s)#.*$', ''), '(?s)^.*?://[^/?#]*(.*)$', 1) = '' THEN '/'
+       ELSE regexp_extract(regexp_replace({0}, '(?s)#.*$', ''), '(?s)^.*?://[^/?#]*(.*)$', 1) END END"""
+_HOST = "coalesce(translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+_PATH = "coalesce(regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+
+
+def _rules_sql(what: int) -> str:
+    """CASE for the longest fitting rule: its name (0) or verdict (1)."""
+    whens = []
+    for host, path, verdict in sorted(url_filter.RULES, key=lambda r: -len(r[0] + r[1])):
+        value = (host + path, verdict)[what]
+        whens.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN '{value}'")
+    return "CASE " + " ".join(whens) + " END"
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_URL_SQL = f"""
+WITH RECURSIVE tags AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, {_quoted(url_filter._HIDDEN)}, '', 'g'), {_quoted(url_filter._TAGS)})) AS tag
+    FROM pages WHERE regexp_matches(html, '(?i)canonical|refresh') AND url IS NOT NULL),
+  links AS (SELECT url, replace(trim(CASE WHEN regexp_matches(tag, {_quoted(url_filter._CANONICAL)})
+      THEN regexp_extract(tag, {_quoted(url_filter._HREF)}, 1) || regexp_extract(tag, {_quoted(url_filter._HREF)}, 2) || regexp_extract(tag, {_quoted(url_filter._HREF)}, 3)
+      ELSE regexp_extract(tag, {_quoted(url_filter._TARGET)}, 1) END), '&amp;', '&') AS link
+    FROM tags WHERE regexp_matches(tag, {_quoted(url_filter._CANONICAL)}) OR regexp_matches(tag, {_quoted(url_filter._REFRESH)})),
+  whole AS (SELECT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+      WHEN starts_with(link, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || link
+      WHEN starts_with(link, '/') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || '://' || regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) || link
+      WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:|^#|^$') THEN NULL
+      ELSE rtrim(regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1), '/') || '/' || link END AS target FROM links),
+  edges AS (SELECT {_ADDRESS.format("url")} AS u, {_ADDRESS.format("target")} AS v FROM whole),
+  arcs AS (SELECT u, v FROM edges WHERE u <> v UNION SELECT v, u FROM edges WHERE u <> v),
+  reach AS (SELECT u, v FROM arcs UNION SELECT r.u, a.v FROM reach r JOIN arcs a ON r.v = a.u),
+  spoken AS (SELECT u, bool_or(said = 'allow') AS allowed, bool_or(said = 'block') AS blocked FROM (
+      SELECT u, {_rules_sql(1)} AS said FROM (
+        SELECT u, {_HOST.format("'x://' || v")} AS host, {_PATH.format("'x://' || v")} AS path FROM reach)) GROUP BY u),
+  judged AS (SELECT page_id, {_ADDRESS.format("url")} AS u, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path FROM pages)
+SELECT page_id, host, path, {_rules_sql(0)} AS rule,
+  coalesce({_rules_sql(1)}, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' END, 'allow') AS verdict
+FROM judged LEFT JOIN spoken USING (u)"""
+
+
+@query("op5_url_filter", _URL_SQL)
+def op5_url_filter(spark, sf_dir):
+    return url_filter.judged(table(spark, sf_dir, "pages"))

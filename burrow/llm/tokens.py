@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
 from array import array
 
-#: Words a task remembers before it starts anew; bounds its memory.
+#: Words a worker remembers before it starts anew; bounds its memory.
 KNOWN_WORDS = 300_000
 
 
