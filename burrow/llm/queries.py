@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from burrow.llm import bm25, bpe, extraction, fertility, packing, quality, secret_scan, toxicity, url_filter
+from burrow.llm import bm25, bpe, extraction, fertility, forest_join, packing, quality, secret_scan, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +138,8 @@ FROM judged LEFT JOIN spoken USING (u)"""
 @query("op5_url_filter", _URL_SQL)
 def op5_url_filter(spark, sf_dir):
     return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
+@query("op3_jaccard_join")
+def op3_jaccard_join(spark, sf_dir):
+    return forest_join.linked(table(spark, sf_dir, "documents"))
