@@ -4,11 +4,12 @@ Base rules count words, symbols, repeated lines and repeated 5-word windows.
 Fertility measures each text with two public vocabularies: characters per
 token of a byte-level one, and the byte-fallback share and token entropy of
 one with byte fallback. Tokens are those of the single words. A text is
-rejected if a measure leaves the band of its language (of its script, where
-the language is null) and of its length class, the binary logarithm of its
-number of tokens. A band is the median of all documents of that group plus or
-minus ``WIDTH`` times the distance to the near quartile, and at least the
-``LEAST`` distance.
+rejected if a measure leaves the band of its language and of its length class,
+the binary logarithm of its number of tokens. Where the language is null or
+not among the ``LANGUAGES`` commonest, its script takes its place, so that the
+number of bands is bounded. A band is the median of all documents of that
+group plus or minus ``WIDTH`` times the distance to the near quartile, and at
+least the ``LEAST`` distance.
 
 Empty and null texts have no words, fail the base rules and are not kept.
 Repeated rows are measured one by one. Columns that are not used don't matter.
@@ -16,6 +17,7 @@ Repeated rows are measured one by one. Columns that are not used don't matter.
 
 from __future__ import annotations
 
+import functools
 from array import array
 
 import numpy as np
@@ -28,11 +30,14 @@ from burrow.llm.common import scan
 from burrow.llm.tokens import KnownWords
 from burrow.session import materialise
 
+LANGUAGES = 1_000
 WIDTH = 8.0
 #: Least half width of a band: chars per token (as a share of the median),
 #: byte-fallback share, entropy in bits (as a share of the median).
 LEAST = {"chars_per_token": 0.25, "fallback_share": 0.05, "token_entropy": 0.25}
 
+#: Words a worker remembers for each vocabulary.
+KNOWN = 400_000
 MIN_WORDS = 10
 MAX_REPEATED = 0.2
 WINDOW = 5
@@ -116,34 +121,7 @@ def measured(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str, keep=
     of the tokenizers library, ``piece_vocabulary`` one of sentencepiece."""
 
     def prepare():
-        import sentencepiece
-        from tokenizers import Tokenizer
-
-        whole = Tokenizer.from_file(byte_vocabulary)
-        whole.encode_special_tokens = True
-        pieces = sentencepiece.SentencePieceProcessor(model_file=piece_vocabulary)
-        fallback = np.array([pieces.is_byte(i) for i in range(len(pieces))])
-        lengths = KnownWords(lambda w: len(whole.encode(" " + w.decode(), add_special_tokens=False).ids))
-        ids = KnownWords(lambda w: array("H", pieces.encode(w.decode())).tobytes())
-
-        def one(raw: bytes) -> tuple:
-            words = raw.split()
-            counts = base_counts(raw, words)
-            if not words:
-                return *counts, 0, 0.0, 0.0, 0.0, "none"
-            whole_tokens = sum(map(lengths.__getitem__, words))
-            seen = np.bincount(np.frombuffer(b"".join(map(ids.__getitem__, words)), np.uint16), minlength=len(fallback))
-            used = seen[seen > 0]
-            total = int(used.sum())
-            share = used / max(1, total)
-            return (
-                *counts,
-                whole_tokens,
-                counts[1] / max(1, whole_tokens),
-                float(seen[fallback].sum()) / max(1, total),
-                float(-(share * np.log2(share)).sum()) + 0.0,
-                script_of(raw),
-            )
+        one = _meter(byte_vocabulary, piece_vocabulary)
 
         def compute(texts):
             columns = zip(*map(one, texts), strict=True)
@@ -154,6 +132,41 @@ def measured(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str, keep=
     return scan(docs, list(keep), FIELDS, prepare)
 
 
+@functools.lru_cache(maxsize=2)
+def _meter(byte_vocabulary: str, piece_vocabulary: str):
+    """The measures of one text. A worker keeps the words it knows."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(byte_vocabulary)
+    whole.encode_special_tokens = True
+    pieces = sentencepiece.SentencePieceProcessor(model_file=piece_vocabulary)
+    fallback = np.array([pieces.is_byte(i) for i in range(len(pieces))])
+    lengths = KnownWords(lambda w: len(whole.encode(" " + w.decode(), add_special_tokens=False).ids), KNOWN)
+    ids = KnownWords(lambda w: array("H", pieces.encode(w.decode())).tobytes(), KNOWN)
+
+    def one(raw: bytes) -> tuple:
+        words = raw.split()
+        counts = base_counts(raw, words)
+        if not words:
+            return *counts, 0, 0.0, 0.0, 0.0, "none"
+        whole_tokens = sum(map(lengths.__getitem__, words))
+        seen = np.bincount(np.frombuffer(b"".join(map(ids.__getitem__, words)), np.uint16), minlength=len(fallback))
+        used = seen[seen > 0]
+        total = int(used.sum())
+        share = used / max(1, total)
+        return (
+            *counts,
+            whole_tokens,
+            counts[1] / max(1, whole_tokens),
+            float(seen[fallback].sum()) / max(1, total),
+            float(-(share * np.log2(share)).sum()) + 0.0,
+            script_of(raw),
+        )
+
+    return one
+
+
 def bands(measures: DataFrame, group: str = "_group", size: str = "_size") -> DataFrame:
     """Low and high bound of every measure for each group and length class,
     from all documents that pass the base rules."""
@@ -170,25 +183,28 @@ def bands(measures: DataFrame, group: str = "_group", size: str = "_size") -> Da
     return quartiles.select(group, size, *bounds)
 
 
-def judged(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str) -> DataFrame:
-    """One row per document: its base counts, whether they fail, its fertility
-    and whether it is kept."""
+def judged(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str, keep=("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of every document, its base counts, whether they
+    fail, its fertility and whether it is kept."""
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
+    named = docs.select(*keep, F.col("lang").alias("_lang"), "text")
     measures = materialise(
-        measured(docs, byte_vocabulary, piece_vocabulary).withColumns(
-            {
-                "base_failed": failed,
-                "_group": F.coalesce("lang", "script"),
-                "_size": F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"),
-            }
+        measured(named, byte_vocabulary, piece_vocabulary, [*keep, "_lang"]).withColumns(
+            {"base_failed": failed, "_size": F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")}
         ),
         "fertility",
     )
+    languages = measures.where("_lang IS NOT NULL").groupBy("_lang").count().orderBy(F.desc("count"), "_lang")
+    languages = languages.limit(LANGUAGES).select("_lang", F.col("_lang").alias("_group"))
+    grouped = measures.join(F.broadcast(languages), "_lang", "left").withColumn(
+        "_group", F.coalesce("_group", F.concat(F.lit("script "), "script"))
+    )
     inside = F.lit(True)
     for c in BANDED:
         inside = inside & F.coalesce(F.col(c).between(F.col(f"_low_{c}"), F.col(f"_high_{c}")), F.lit(True))
-    return measures.join(bands(measures), ["_group", "_size"], "left").select(
-        "doc_id",
+    # At most one band per language or script and power of two.
+    return grouped.join(F.broadcast(bands(grouped)), ["_group", "_size"], "left").select(
+        *keep,
         *[f.name for f in FIELDS[:5]],
         "base_failed",
         (~F.col("base_failed") & inside).alias("kept"),

@@ -94,23 +94,23 @@ def _described(match: Column, before: Column, after: Column) -> Column:
 
 
 def with_candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep``, the arrays ``_pieces`` between candidates, ``_matches`` and
-    their description ``_found``."""
+    """``keep``, the arrays ``_burrow_pieces`` between candidates, ``_burrow_matches`` and
+    their description ``_burrow_found``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     matched = docs.select(
-        *[F.col(f"`{c}`") for c in keep], text.alias("_text"), F.regexp_extract_all(text, F.lit(PATTERN), 0).alias("_matches")
+        *[F.col(f"`{c}`") for c in keep], text.alias("_burrow_text"), F.regexp_extract_all(text, F.lit(PATTERN), 0).alias("_burrow_matches")
     )
-    pieces = F.when(F.size("_matches") > 0, F.split("_text", PATTERN, -1)).otherwise(F.array("_text"))
-    beside = matched.withColumn("_pieces", pieces).drop("_text")
+    pieces = F.when(F.size("_burrow_matches") > 0, F.split("_burrow_text", PATTERN, -1)).otherwise(F.array("_burrow_text"))
+    beside = matched.withColumn("_burrow_pieces", pieces).drop("_burrow_text")
     found = F.transform(
-        "_matches",
+        "_burrow_matches",
         lambda m, k: _described(
             m,
-            F.substring(F.get("_pieces", k), F.greatest(F.length(F.get("_pieces", k)) - NEAR + 1, F.lit(1)), F.lit(NEAR)),
-            F.substring(F.get("_pieces", k + 1), F.lit(1), F.lit(NEAR)),
+            F.substring(F.get("_burrow_pieces", k), F.greatest(F.length(F.get("_burrow_pieces", k)) - NEAR + 1, F.lit(1)), F.lit(NEAR)),
+            F.substring(F.get("_burrow_pieces", k + 1), F.lit(1), F.lit(NEAR)),
         ),
     )
-    return beside.withColumn("_found", found)
+    return beside.withColumn("_burrow_found", found)
 
 
 # -- labelled findings -----------------------------------------------------------
@@ -187,12 +187,12 @@ def findings(spark: SparkSession) -> DataFrame:
 
 def forest(spark: SparkSession) -> list:
     """The trees fitted on the labelled findings."""
-    table = with_candidates(findings(spark), ["label"]).select("label", F.inline("_found"))
+    table = with_candidates(findings(spark), ["label"]).select("label", F.inline("_burrow_found"))
     return fitted(table, FEATURES, "label", TREES, DEPTH)
 
 
 def with_votes(docs: DataFrame, keep: list[str], trees: list | None = None) -> DataFrame:
-    """``with_candidates`` and ``_scores``: the share of trees for each."""
+    """``with_candidates`` and ``_burrow_scores``: the share of trees for each."""
     trees = forest(docs.sparkSession) if trees is None else trees
 
     def score(found):
@@ -202,14 +202,14 @@ def with_votes(docs: DataFrame, keep: list[str], trees: list | None = None) -> D
             total = total + vote
         return F.round(total / len(votes), 4)
 
-    return with_candidates(docs, keep).withColumn("_scores", F.transform("_found", score))
+    return with_candidates(docs, keep).withColumn("_burrow_scores", F.transform("_burrow_found", score))
 
 
 def scanned(docs: DataFrame, trees: list | None = None) -> DataFrame:
     """One row per candidate: ``doc_id, nth`` (its place among the document's
     candidates, from 1), ``secret, score, is_secret``."""
     voted = with_votes(docs, ["doc_id"], trees)
-    rows = voted.select("doc_id", F.posexplode(F.arrays_zip(F.col("_found.secret").alias("secret"), F.col("_scores").alias("score"))))
+    rows = voted.select("doc_id", F.posexplode(F.arrays_zip(F.col("_burrow_found.secret").alias("secret"), F.col("_burrow_scores").alias("score"))))
     return rows.select(
         "doc_id",
         (F.col("pos") + 1).alias("nth"),
@@ -224,14 +224,14 @@ def masked(docs: DataFrame, trees: list | None = None) -> DataFrame:
     counted anew. A null text stays null; other columns stay."""
     voted = with_votes(docs, docs.columns, trees)
     shown = F.transform(
-        F.arrays_zip(F.col("_matches").alias("m"), F.col("_found.secret").alias("s"), F.col("_scores").alias("v")),
+        F.arrays_zip(F.col("_burrow_matches").alias("m"), F.col("_burrow_found.secret").alias("s"), F.col("_burrow_scores").alias("v")),
         lambda x: F.when(
             x["v"] > THRESHOLD,
             F.concat(F.substring(x["m"], F.lit(1), F.length(x["m"]) - F.length(x["s"])), F.lit(MASK)),
         ).otherwise(x["m"]),
     )
-    text = F.array_join(F.zip_with("_pieces", shown, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    changed = F.exists("_scores", lambda v: v > THRESHOLD)
+    text = F.array_join(F.zip_with("_burrow_pieces", shown, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+    changed = F.exists("_burrow_scores", lambda v: v > THRESHOLD)
     out = {"text": F.when(changed, text).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
