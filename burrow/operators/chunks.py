@@ -71,19 +71,28 @@ def with_ordinal(
 
 
 def with_halo(
-    df: DataFrame, order: str, before: int = 0, after: int = 0, size: int = CHUNK_FRAMES
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    before: int = 0,
+    after: int = 0,
+    size: int = CHUNK_FRAMES,
 ) -> DataFrame:
     """Copy border rows into the neighbouring chunks; ``_home`` marks originals.
 
-    ``order`` must be dense, so that a halo of n frames is n rows. Windows up to
+    Rows are numbered first and the chunks are cut by that number, so a halo of
+    n is n rows however large the gaps in ``order`` are. Windows up to
     ``before`` rows back and ``after`` rows ahead are then exact per chunk.
     """
-    frame = F.col(order)
-    low = F.floor((frame - after) / F.lit(size))
-    high = F.floor((frame + before) / F.lit(size))
+    counted = with_chunk(df, order, size).withColumn("_one", F.lit(1))
+    counted = running_sum(counted, keys, order, "_one", "_nth").drop("_one", CHUNK)
+    row = F.col("_nth") - 1
+    low = F.floor((row - after) / F.lit(size))
+    high = F.floor((row + before) / F.lit(size))
     return (
-        df.withColumn(CHUNK, F.explode(F.sequence(F.greatest(low, F.lit(0)), high)))
-        .withColumn("_home", F.col(CHUNK) == F.floor(frame / F.lit(size)))
+        counted.withColumn(CHUNK, F.explode(F.sequence(F.greatest(low, F.lit(0)), high)))
+        .withColumn("_home", F.col(CHUNK) == F.floor(row / F.lit(size)))
+        .drop("_nth")
     )
 
 
@@ -107,11 +116,7 @@ def previous_row(
         {columns[c]: F.lag(c).over(window) for c in sources}
         | {"_head": F.row_number().over(window) == 1}
     )
-    last = F.max_by(F.struct(*[F.col(c).alias(f"_p_{c}") for c in sources]), order)
-    tails = df.groupBy(*keys, CHUNK).agg(last.alias("_tail"))
-    ahead = Window.partitionBy(*keys).orderBy(CHUNK)
-    tails = tails.withColumn("_tail", F.lag("_tail").over(ahead))
-    joined = local.join(tails, [*keys, CHUNK])
+    joined = local.join(last_before(df, keys, order, sources, "_p_"), [*keys, CHUNK])
     return joined.withColumns(
         {
             columns[c]: F.when(F.col("_head"), F.col(f"_tail._p_{c}")).otherwise(F.col(columns[c]))
@@ -120,6 +125,16 @@ def previous_row(
     ).drop("_head", "_tail")
 
 
+def last_before(
+    df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], prefix: str = ""
+) -> DataFrame:
+    """One row per chunk with ``_tail``: the columns of the last row before it."""
+    last = F.max_by(F.struct(*[F.col(c).alias(f"{prefix}{c}") for c in columns]), order)
+    tails = df.groupBy(*keys, CHUNK).agg(last.alias("_tail"))
+    ahead = Window.partitionBy(*keys).orderBy(CHUNK)
+    return tails.withColumn("_tail", F.lag("_tail").over(ahead))
+
+
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: str, value: str, name: str
 ) -> DataFrame:

@@ -235,7 +235,7 @@ def frame_speed(
     """
     back, ahead = window // 2, (window - 1) // 2
     rows = frames.select(*keys, FRAME, x, y).transform(
-        with_halo, FRAME, before=back + 1, after=ahead, size=chunk_frames
+        with_halo, keys, FRAME, before=back + 1, after=ahead, size=chunk_frames
     )
     over = chunk_window(keys, FRAME)
     dx, dy = (F.col(c) - F.lag(c).over(over) for c in (x, y))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from burrow.operators import stars
 from burrow.operators.chunks import CHUNK, previous_row, running_sum, with_chunk, with_ordinal
 from burrow.operators.skew import TARGET_ROWS, hot_keys, salted_join
 from burrow.session import materialise
@@ -420,39 +421,19 @@ def path_nodes(pairs: DataFrame, reached: DataFrame, edges: DataFrame | None = N
     return _union(done)
 
 
-def components(nodes: DataFrame, edges: DataFrame, target: int = TARGET_ROWS) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Component of every node, named by its smallest node id.
 
-    Labels move along edges and then jump to the label of their label, so the
-    number of rounds grows with the logarithm of long chains. Directed edges
-    count in both directions.
+    The number of rounds grows with the logarithm of the longest chain.
+    Directed edges count in both directions.
     """
-    arcs = _Arcs(both_ways(edges).select(GRAPH, "u", "v").where("u <> v").distinct(), target)
-    labels = materialise(nodes.select(GRAPH, "node_id", F.col("node_id").alias("component")).distinct(), "labels")
-    while True:
-        tails = labels.select(GRAPH, F.col("node_id").alias("u"), "component")
-        offers = (
-            arcs.step(tails).groupBy(GRAPH, F.col("v").alias("node_id")).agg(F.min("component").alias("_offer"))
-        )
-        lowered = materialise(
-            labels.join(offers, [GRAPH, "node_id"], "left").select(
-                GRAPH,
-                "node_id",
-                F.least("component", F.coalesce("_offer", "component")).alias("component"),
-                (F.col("_offer") < F.col("component")).alias("_moved"),
-            ),
-            "labels",
-        )
-        if lowered.where("_moved").isEmpty():
-            return lowered.drop("_moved")
-        labels = materialise(_jumped(lowered.drop("_moved"), target), "labels")
-
-
-def _jumped(labels: DataFrame, target: int) -> DataFrame:
-    # A big component is one hot label, so the join on labels is salted.
-    names = labels.select(GRAPH, F.col("node_id").alias("component"), F.col("component").alias("_next"))
-    return salted_join(labels, names, [GRAPH, "component"], ["node_id"], "left", target).select(
-        GRAPH, "node_id", F.least("component", F.coalesce("_next", "component")).alias("component")
+    links = edges.select(*[F.struct(GRAPH, F.col(c).alias("node_id")).alias(c) for c in ("u", "v")])
+    found = stars.linked_components(links).select("u.*", F.col("component.node_id").alias("component"))
+    return (
+        nodes.select(GRAPH, "node_id")
+        .distinct()
+        .join(found, [GRAPH, "node_id"], "left")
+        .withColumn("component", F.coalesce("component", "node_id"))
     )
 
 

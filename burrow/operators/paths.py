@@ -12,9 +12,9 @@ from burrow.operators.chunks import (
     CHUNK,
     CHUNK_FRAMES,
     chunk_window,
+    last_before,
     previous_row,
     with_chunk,
-    with_halo,
 )
 
 KEYS = ("session_id",)
@@ -246,13 +246,12 @@ def in_paths(
     A path leaves one marker row at its start and one at the head of every
     further chunk it covers. The last marker seen decides the path of a frame,
     so no frame × path pairs are formed. The result stays chunked. Columns in
-    ``previous`` also come as ``_prev_{name}``, taken from the frame before.
+    ``previous`` also come as ``_prev_{name}``, taken from the row before.
     """
     keys = list(keys)
     size = F.lit(chunk_frames)
-    rows = frames.select(*keys, FRAME, *columns).transform(
-        with_halo, FRAME, before=1 if previous else 0, size=chunk_frames
-    )
+    rows = frames.select(*keys, FRAME, *columns).transform(with_chunk, FRAME, chunk_frames)
+    tails = last_before(rows, keys, FRAME, previous) if previous else None
     rows = rows.withColumn("_is_row", F.lit(1))
     path = F.struct("path_id", "start_frame", "end_frame")
     marks = paths.select(
@@ -275,9 +274,14 @@ def in_paths(
         row = F.when(F.col("_is_row") == 1, F.struct(*previous))
         before = window.rowsBetween(Window.unboundedPreceding, -1)
         lagged["_prev"] = F.last(row, ignorenulls=True).over(before)
+    inside = both.withColumns({"_path": seen, **lagged}).where(
+        (F.col("_is_row") == 1) & (F.col(FRAME) <= F.col("_path.end_frame"))
+    )
+    if previous:
+        # The first row of a chunk follows the last row of an earlier one.
+        inside = inside.join(tails, [*keys, CHUNK]).withColumn("_prev", F.coalesce("_prev", "_tail"))
     return (
-        both.withColumns({"_path": seen, **lagged})
-        .where(F.col("_home") & (F.col("_is_row") == 1) & (F.col(FRAME) <= F.col("_path.end_frame")))
+        inside
         .select(
             *keys,
             CHUNK,

@@ -13,7 +13,6 @@ from burrow.operators.chunks import (
     chunk_window,
     keep_home,
     running_sum,
-    with_chunk,
     with_halo,
 )
 
@@ -29,7 +28,7 @@ def unwrap(
 ) -> DataFrame:
     """Remove jumps of half a turn or more by adding whole turns."""
     over = chunk_window(keys, order)
-    rows = df.transform(with_halo, order, before=1, size=chunk_frames)
+    rows = df.transform(with_halo, keys, order, before=1, size=chunk_frames)
     step = F.col(angle) - F.lag(angle).over(over)
     rows = keep_home(rows.withColumn("_d", step), drop_chunk=False)
     short = F.pmod(F.col("_d") + 180.0, F.lit(360.0)) - 180.0
@@ -59,7 +58,7 @@ def gradient(
     sample positions for an uneven one.
     """
     over = chunk_window(keys, order)
-    rows = df.transform(with_halo, order, before=1, after=1, size=chunk_frames)
+    rows = df.transform(with_halo, keys, order, before=1, after=1, size=chunk_frames)
     here, back, ahead = F.col(value), F.lag(value).over(over), F.lead(value).over(over)
     at = F.col(position) if position else F.col(order).cast("double") * dt
     first, last = F.lag(order).over(over).isNull(), F.lead(order).over(over).isNull()
@@ -81,7 +80,7 @@ def smooth(
 ) -> DataFrame:
     """Moving sum of ``size`` samples over ``size``; beyond the ends counts as zero."""
     back, ahead = size // 2, (size - 1) // 2
-    rows = df.transform(with_halo, order, before=back, after=ahead, size=chunk_frames)
+    rows = df.transform(with_halo, keys, order, before=back, after=ahead, size=chunk_frames)
     over = chunk_window(keys, order).rowsBetween(-back, ahead)
     return keep_home(rows.withColumn(name, F.sum(value).over(over) / F.lit(size)))
 
@@ -110,19 +109,16 @@ def trail(
 ) -> DataFrame:
     """The last ``length`` points up to each row, oldest first, with recency weights.
 
-    Rows are numbered first, because the filtered points leave gaps in the
-    frame axis and the trail counts points, not frames.
+    The trail counts points, not frames.
     """
-    counted = points.transform(with_chunk, order, chunk_frames).withColumn("_one", F.lit(1))
-    counted = running_sum(counted, keys, order, "_one", "_nth").drop("_one", CHUNK)
-    rows = counted.transform(with_halo, "_nth", before=length - 1, size=chunk_frames)
-    over = chunk_window(keys, "_nth").rowsBetween(-(length - 1), 0)
+    rows = points.transform(with_halo, keys, order, before=length - 1, size=chunk_frames)
+    over = chunk_window(keys, order).rowsBetween(-(length - 1), 0)
     rows = keep_home(rows.withColumn("_points", F.collect_list(F.struct("x", "y")).over(over)))
     size = F.size("_points")
     weighted = F.transform(
         "_points", lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), ((i + 1) / size).alias("weight"))
     )
-    return rows.withColumn("trail", weighted).drop("_points", "_nth")
+    return rows.withColumn("trail", weighted).drop("_points")
 
 
 def trace_window(
@@ -137,7 +133,7 @@ def trace_window(
     chunk_frames=CHUNK_FRAMES,
 ) -> DataFrame:
     """Current value, vertical range and left edge of the last ``size`` samples."""
-    rows = df.transform(with_halo, order, before=size - 1, size=chunk_frames)
+    rows = df.transform(with_halo, keys, order, before=size - 1, size=chunk_frames)
     over = chunk_window(keys, order).rowsBetween(-(size - 1), 0)
     low, high = F.min(value).over(over), F.max(value).over(over)
     rows = keep_home(rows.withColumns({"_low": low, "_high": high}))

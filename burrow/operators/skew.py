@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from burrow.session import materialise
+
 TARGET_ROWS = 2_000_000
 MAX_HOT_KEYS = 20_000
 
@@ -16,23 +18,18 @@ def hot_keys(
 ) -> tuple[DataFrame | None, int]:
     """Keys with more than ``target`` rows and the number of salts each needs.
 
-    At most ``limit`` keys come back; when more are found the target is doubled,
-    so that the list always stays small enough to broadcast. Keys under the
-    target need no salt.
+    The target is at least one part in ``limit`` of all rows, so that no more
+    than ``limit`` keys can have more; the list is small enough to broadcast,
+    and a key under the target is a small share of the whole.
     """
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    while True:
-        hot = (
-            counts.where(F.col("_n") > target)
-            .select(*keys, F.ceil(F.col("_n") / F.lit(target)).cast("int").alias("_salts"))
-            .limit(limit + 1)
-        )
-        rows = hot.collect()
-        if not rows:
-            return None, target
-        if len(rows) <= limit:
-            return df.sparkSession.createDataFrame(rows, hot.schema), target
-        target *= 2
+    counts = materialise(counts, "counts")
+    rows = counts.agg(F.sum("_n")).first()[0] or 0
+    target = max(target, -(-rows // limit))
+    hot = counts.where(F.col("_n") > target).select(
+        *keys, F.ceil(F.col("_n") / F.lit(target)).cast("int").alias("_salts")
+    )
+    return (None, target) if hot.isEmpty() else (hot, target)
 
 
 def salted_join(

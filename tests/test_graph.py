@@ -67,7 +67,7 @@ def test_paths_and_components_on_random_graphs(spark, target):
                 better = [u for u in adj[g, v] if want[g, s, u] + (adj[g, v][u] if weighted else 1.0) == want[g, s, v]]
                 assert r.parent == min(better)
     nodes, _ = GR.from_edge_list(edges)
-    for r in GR.components(nodes, edges, target=target).collect():
+    for r in GR.components(nodes, edges).collect():
         assert r.component == min(lengths(adj, r.graph_id, r.node_id))
 
 
@@ -81,6 +81,20 @@ def test_long_chain_is_one_component(spark):
     assert GR.is_connected(labels).first().connected
 
 
+@pytest.mark.parametrize("order", ("far", "shuffled"))
+def test_components_take_few_rounds(spark, order, monkeypatch):
+    n = 1024
+    ids = list(range(n))
+    ids.reverse() if order == "far" else random.Random(3).shuffle(ids)
+    edges = table(spark, EDGES, [("g", f"{a:04}", f"{b:04}", 1.0) for a, b in zip(ids, ids[1:])])
+    written = []
+    kept = GR.stars.materialise
+    monkeypatch.setattr(GR.stars, "materialise", lambda df, label: written.append(label) or kept(df, label))
+    labels = GR.components(GR.from_edge_list(edges)[0], edges)
+    assert labels.where("component = '0000'").count() == n
+    assert len(written) <= 30
+
+
 def test_all_shortest_paths(spark):
     rows = [("g", *e, 1.0) for e in [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("x", "y")]]
     edges = table(spark, EDGES, rows)

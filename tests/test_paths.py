@@ -181,6 +181,14 @@ def test_paths_over_many_chunks_equal_one_chunk(spark):
     assert answers(6) == answers(10_000)
 
 
+@pytest.mark.parametrize("chunk", (4, 8, 131_072))
+def test_distance_over_gaps(spark, chunk):
+    rows = [("s", f, float(i), 0.0) for i, f in enumerate((0, 1, 5, 9, 13, 17, 21))]
+    df = table(spark, "session_id string, frame_number bigint, x double, y double", rows)
+    found = table(spark, "session_id string, path_id bigint, start_frame bigint, end_frame bigint", [("s", 0, 0, 21)])
+    assert P.distance_in_path(df, found, chunk_frames=chunk).first().distance == 6.0
+
+
 def test_value_types(spark):
     df = frames_of(spark, {
         "text": ("string", ["3", "b", "3", "b"]),

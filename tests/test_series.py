@@ -137,7 +137,7 @@ def test_salted_join_keeps_every_row(spark):
         assert sorted(map(str, salted_join(big, small, ["k"], ["i"], how, 50).collect())) == want
     many = table(spark, "k string, i bigint", [(f"k{i % 30}", i) for i in range(900)])
     hot, target = hot_keys(many, ["k"], 10, limit=5)
-    assert hot is None and target > 20
+    assert hot is None and target == 180  # a fifth of all rows
 
 
 def test_mask_and_derived_bodypart(spark):
@@ -204,3 +204,26 @@ def test_user_metrics_and_bad_arguments(spark):
     one = table(spark, "session_id string", [("s",)])
     assert M.if_many_sessions(out, one).isEmpty()
     assert not M.if_many_sessions(out, df).isEmpty()
+
+
+@pytest.mark.parametrize("chunk", (4, 8, 131_072))
+def test_rows_not_frames_are_counted_over_gaps(spark, chunk):
+    at = [0, 1, 5, 9, 13, 17, 21, 40, 41, 90]
+    xs = [float(i * i % 7) for i in range(len(at))]
+    df = table(spark, "session_id string, frame_number bigint, x double, y double", [("s", f, x, 0.0) for f, x in zip(at, xs)])
+    speed = {r.frame_number: r for r in FR.frame_speed(df, window=3, chunk_frames=chunk).collect()}
+    steps = [None] + [abs(b - a) for a, b in zip(xs, xs[1:])]
+    assert [speed[f].speed for f in at] == steps
+    for i in range(2, len(at) - 1):
+        assert speed[at[i]].smooth_speed == pytest.approx(sum(steps[i - 1:i + 2]) / 3)
+    window = {r.frame_number: r for r in S.trace_window(df, "x", "frame_number", 3, margin=0.0, fixed=None, chunk_frames=chunk).collect()}
+    for i, f in enumerate(at):
+        seen = xs[max(0, i - 2):i + 1]
+        if min(seen) != max(seen):
+            assert (window[f].y_low, window[f].y_high) == (min(seen), max(seen))
+    smooth = {r.frame_number: r.smoothed for r in S.smooth(df, "x", "frame_number", 3, chunk_frames=chunk).collect()}
+    for i, f in enumerate(at):
+        assert smooth[f] == pytest.approx(sum(xs[max(0, i - 1):i + 2]) / 3)
+    turned = {r.frame_number: r.unwrapped for r in S.unwrap(df.withColumn("a", F.col("x") * 170), "a", "frame_number", chunk_frames=chunk).collect()}
+    for a, b in zip(at, at[1:]):
+        assert abs(turned[b] - turned[a]) <= 180
