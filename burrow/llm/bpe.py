@@ -12,6 +12,7 @@ so that a smaller number is an earlier merge.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from burrow.llm.common import scan
+from burrow.llm.tokens import byte_letters
 
 #: Fixed value: the public pattern that splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -34,18 +36,6 @@ _NONE = 1 << 40
 _NEVER = np.int64(_NONE)
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in byte-level vocabularies:
-    printable bytes stand for themselves, the others follow from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters, spare = {chr(b): b for b in plain}, 256
-    for b in range(256):
-        if b not in plain:
-            letters[chr(spare)] = b
-            spare += 1
-    return letters
-
-
 class ByteBpe:
     """The vocabulary in the tokenizers file ``path``."""
 
@@ -273,6 +263,12 @@ class BatchEncoder:
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(tokenizer: str) -> BatchEncoder:
+    """A worker keeps what it knows from task to task."""
+    return BatchEncoder(ByteBpe(tokenizer))
+
+
 FIELDS = [
     T.StructField("n_tokens", T.LongType()),
     T.StructField("ids_sha256", T.StringType()),
@@ -284,7 +280,7 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     """The ids of every whole text: ``doc_id, ids``. Null texts have none."""
 
     def prepare():
-        encoder = BatchEncoder(ByteBpe(tokenizer))
+        encoder = encoder_of(tokenizer)
 
         def compute(texts):
             ids = encoder.encode([raw.decode() for raw in texts])
@@ -303,8 +299,8 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """
 
     def prepare():
-        bpe = ByteBpe(tokenizer)
-        encoder = BatchEncoder(bpe)
+        encoder = encoder_of(tokenizer)
+        bpe = encoder.bpe
 
         def compute(texts):
             ids = encoder.encode([raw.decode() for raw in texts])

@@ -4,10 +4,23 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 from array import array
 
 #: Words a worker remembers before it starts anew; bounds its memory.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 600_000
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in byte-level vocabularies:
+    printable bytes stand for themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters, spare = {chr(b): b for b in plain}, 256
+    for b in range(256):
+        if b not in plain:
+            letters[chr(spare)] = b
+            spare += 1
+    return letters
 
 
 class KnownWords(dict):
@@ -24,18 +37,38 @@ class KnownWords(dict):
         return value
 
 
+#: A word, its last letter or digit, and the marks behind it: no token and no
+#: normal form reaches over that border.
+_WITH_MARKS = re.compile(rb"(.*[A-Za-z0-9])([.,;:!?]+)", re.S)
+
+
+@functools.lru_cache(maxsize=4)
 def library_words(path: str, limit: int = KNOWN_WORDS) -> KnownWords:
     """Ids as little-endian unsigned 32-bit integers, by the tokenizer in file
-    ``path``. For vocabularies that drop white space: the ids of a text are
-    then those of its words, one after the other."""
+    ``path``. For byte-level vocabularies that lower letters and drop white
+    space: the ids of a text are then those of its words, one after the other.
+    A worker keeps what it knows from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_padding()
     tokenizer.no_truncation()
+    merged = tokenizer.model.tokenize
+    letter_of = {b: c for c, b in byte_letters().items()}
 
     def make(word: bytes) -> bytes:
-        return array("I", tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        if (parts := _WITH_MARKS.fullmatch(word)) and b"<|" not in word:
+            return known[parts[1]] + known[parts[2]]
+        text = word.decode()
+        # Latin letters alone are one word of the vocabulary's own splitting.
+        if text.isalpha() and max(text) < "\u0250" and (low := text.lower()).isalpha():
+            if low != text:
+                return known[low.encode()]
+            if not text.isascii():
+                text = "".join(map(letter_of.__getitem__, word))
+            return array("I", [t.id for t in merged(text)]).tobytes()
+        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    return KnownWords(make, limit)
+    known = KnownWords(make, limit)
+    return known
