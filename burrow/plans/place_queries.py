@@ -14,16 +14,16 @@ from burrow.plans.standins import pose, regions, table, with_ctes
 
 # Every point of a session with the regions of the same session that hold it.
 def _hits(points: str) -> str:
-    return f"""near AS (
+    return f"""near AS MATERIALIZED (
   SELECT p.*, r.region_id, r.kind, r.ord, r.element_type, r.node_id, r.u, r.v, r.area, r.center_x, r.center_y, r.cx, r.cy, r.a, r.b, r.angle
   FROM {points} p JOIN regions r ON r.map_id = p.session_id AND p.x BETWEEN r.x0 - 1e-6 AND r.x1 + 1e-6 AND p.y BETWEEN r.y0 - 1e-6 AND r.y1 + 1e-6),
-outlined AS (
+outlined AS MATERIALIZED (
   SELECT n.session_id, n.frame_number, n.bodypart, n.region_id
   FROM near n JOIN sides s ON s.region_id = n.region_id
   GROUP BY ALL HAVING count(*) FILTER (WHERE (s.y1 > n.y) <> (s.y2 > n.y) AND n.x < (s.x2 - s.x1) * (n.y - s.y1) / (s.y2 - s.y1) + s.x1) % 2 = 1
      OR bool_or((s.x2 - s.x1) * (n.y - s.y1) = (s.y2 - s.y1) * (n.x - s.x1) AND n.x BETWEEN least(s.x1, s.x2) AND greatest(s.x1, s.x2)
                 AND n.y BETWEEN least(s.y1, s.y2) AND greatest(s.y1, s.y2))),
-hits AS (
+hits AS MATERIALIZED (
   SELECT * FROM near WHERE kind = 'rectangle' AND x BETWEEN cx AND cx + a AND y BETWEEN cy AND cy + b
      OR kind = 'circle' AND (x - cx) ** 2 + (y - cy) ** 2 <= a * a
      OR kind = 'ellipse' AND (((x - cx) * cos(angle) + (y - cy) * sin(angle)) / a) ** 2 + (((y - cy) * cos(angle) - (x - cx) * sin(angle)) / b) ** 2 <= 1
@@ -118,11 +118,13 @@ def r6_cell_of_point(spark, sf_dir):
 
 
 def _located_sql(order: str, unmapped: str = "NULL", points: str = "pose", extra: str = "") -> str:
+    """Every point with the hit whose list of ``order`` values is smallest."""
     return places_sql(
-        f"""SELECT p.session_id, p.frame_number, p.bodypart,
-  CASE WHEN p.x IS NULL OR p.y IS NULL THEN NULL ELSE coalesce(w.node_id, {unmapped}) END AS graph_node, w.u AS graph_u, w.v AS graph_v
-FROM {points} p LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY session_id, frame_number, bodypart ORDER BY {order}) AS rk FROM hits) w
-  ON w.session_id = p.session_id AND w.frame_number = p.frame_number AND w.bodypart = p.bodypart AND w.rk = 1""",
+        f""", won AS MATERIALIZED (SELECT session_id, frame_number, bodypart,
+    arg_min(struct_pack(node := node_id, u := u, v := v), row({order})) AS w FROM hits GROUP BY session_id, frame_number, bodypart)
+SELECT p.session_id, p.frame_number, p.bodypart,
+  CASE WHEN p.x IS NULL OR p.y IS NULL THEN NULL ELSE coalesce(w.w.node, {unmapped}) END AS graph_node, w.w.u AS graph_u, w.w.v AS graph_v
+FROM {points} p LEFT JOIN won w ON w.session_id = p.session_id AND w.frame_number = p.frame_number AND w.bodypart = p.bodypart""",
         points,
         extra,
     )
@@ -143,7 +145,7 @@ def r8_node_priority(spark, sf_dir):
     return _place(spark, sf_dir, "node_priority")
 
 
-@query("r8_edge_priority", _located_sql(f"{_KIND} DESC, ord", "'nowhere'"))
+@query("r8_edge_priority", _located_sql(f"-({_KIND}), ord", "'nowhere'"))
 def r8_edge_priority(spark, sf_dir):
     return _place(spark, sf_dir, "edge_priority", unmapped="nowhere")
 
@@ -153,7 +155,7 @@ def r8_smallest_region(spark, sf_dir):
     return _place(spark, sf_dir, "smallest_region")
 
 
-@query("r8_largest_region", _located_sql(f"area DESC, {_KIND}, ord"))
+@query("r8_largest_region", _located_sql(f"-area, {_KIND}, ord"))
 def r8_largest_region(spark, sf_dir):
     return _place(spark, sf_dir, "largest_region")
 
@@ -168,7 +170,7 @@ def r8_first_found(spark, sf_dir):
     return _place(spark, sf_dir, "first_found")
 
 
-@query("u4_custom_rule", _located_sql("length(region_id), ord DESC"))
+@query("u4_custom_rule", _located_sql("length(region_id), -ord"))
 def u4_custom_rule(spark, sf_dir):
     return _place(spark, sf_dir, lambda x, y: [F.length("region_id"), -F.col("ord")])
 
