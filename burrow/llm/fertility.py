@@ -9,7 +9,9 @@ the binary logarithm of its number of tokens. Where the language is null or
 not among the ``LANGUAGES`` commonest, its script takes its place, so that the
 number of bands is bounded. A band is the median of all documents of that
 group plus or minus ``WIDTH`` times the distance to the near quartile, and at
-least the ``LEAST`` distance.
+least the ``LEAST`` distance. A length class with fewer than ``ENOUGH``
+documents takes the language's band, except for entropy, which grows with
+length; a language with fewer rejects nothing.
 
 Empty and null texts have no words, fail the base rules and are not kept.
 Repeated rows are measured one by one. Columns that are not used don't matter.
@@ -31,6 +33,7 @@ from burrow.llm.tokens import KnownWords
 from burrow.session import materialise
 
 LANGUAGES = 1_000
+ENOUGH = 30
 WIDTH = 8.0
 #: Least half width of a band: chars per token (as a share of the median),
 #: byte-fallback share, entropy in bits (as a share of the median).
@@ -167,20 +170,25 @@ def _meter(byte_vocabulary: str, piece_vocabulary: str):
     return one
 
 
-def bands(measures: DataFrame, group: str = "_group", size: str = "_size") -> DataFrame:
-    """Low and high bound of every measure for each group and length class,
-    from all documents that pass the base rules."""
-    sound = measures.where(~F.col("base_failed"))
-    quartiles = sound.groupBy(group, size).agg(
-        *[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(c) for c in BANDED]
+def bands(measures: DataFrame, keys: list[str], names=BANDED, mark: str = "") -> DataFrame:
+    """Low and high bound of every measure for each group of ``keys``, from
+    all documents that pass the base rules, where there are enough."""
+    quartiles = (
+        measures.where(~F.col("base_failed"))
+        .groupBy(*keys)
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            *[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(c) for c in names],
+        )
+        .where(F.col("_n") >= ENOUGH)
     )
     bounds = []
-    for c in BANDED:
+    for c in names:
         low, mid, high = (F.col(c)[k] for k in range(3))
         least = F.lit(LEAST[c]) * (F.lit(1.0) if c == "fallback_share" else mid)
-        bounds.append((mid - F.greatest(WIDTH * (mid - low), least)).alias(f"_low_{c}"))
-        bounds.append((mid + F.greatest(WIDTH * (high - mid), least)).alias(f"_high_{c}"))
-    return quartiles.select(group, size, *bounds)
+        bounds.append((mid - F.greatest(WIDTH * (mid - low), least)).alias(f"_low{mark}_{c}"))
+        bounds.append((mid + F.greatest(WIDTH * (high - mid), least)).alias(f"_high{mark}_{c}"))
+    return quartiles.select(*keys, *bounds)
 
 
 def judged(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str, keep=("doc_id",)) -> DataFrame:
@@ -201,9 +209,14 @@ def judged(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str, keep=("
     )
     inside = F.lit(True)
     for c in BANDED:
-        inside = inside & F.coalesce(F.col(c).between(F.col(f"_low_{c}"), F.col(f"_high_{c}")), F.lit(True))
-    # At most one band per language or script and power of two.
-    return grouped.join(F.broadcast(bands(grouped)), ["_group", "_size"], "left").select(
+        tests = [F.col(c).between(F.col(f"_low_{c}"), F.col(f"_high_{c}"))]
+        if c != "token_entropy":
+            tests.append(F.col(c).between(F.col(f"_low_all_{c}"), F.col(f"_high_all_{c}")))
+        inside = inside & F.coalesce(*tests, F.lit(True))
+    # At most one band per language or script, and power of two.
+    narrow, wide = bands(grouped, ["_group", "_size"]), bands(grouped, ["_group"], BANDED[:2], "_all")
+    banded = grouped.join(F.broadcast(narrow), ["_group", "_size"], "left").join(F.broadcast(wide), "_group", "left")
+    return banded.select(
         *keep,
         *[f.name for f in FIELDS[:5]],
         "base_failed",

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from burrow.llm.common import RAW, raw_text, scan
-from burrow.llm.components import components
+from burrow.operators.stars import linked_components as components
 from burrow.session import materialise
 
 SHINGLE = 5

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burrow.llm.components import components
+from burrow.operators.stars import linked_components as components
 
 #: (host with its subdomains, start of the path, verdict)
 RULES = (
