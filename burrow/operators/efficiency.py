@@ -24,7 +24,7 @@ def route_scores(
     frames: DataFrame,
     paths: DataFrame,
     column: str,
-    route: Sequence,
+    route: Sequence | DataFrame,
     *,
     strike_levels: Sequence | None = None,
     max_strikes: int = 0,
@@ -36,43 +36,57 @@ def route_scores(
 
     The first value of a path is compared with the second of the route, so a
     perfect path that includes its start has one deviation. ``strike_levels``
-    only switches strikes on. The route is a shortest path, hence short; values
-    are compared with it as text, the form node ids have.
+    only switches strikes on. The route is a list for all paths, or rows of
+    (keys, pos, node) with a route for each key; keys that have none (or only a
+    row with a null pos) get paths without progress. Values are compared with
+    nodes as text, the form node ids have.
     """
     keys = list(keys)
     per_path = [*keys, "path_id"]
     strikes = max_strikes if strike_levels and max_strikes > 0 else 0
-    last = len(route) - 1
     seen = P.sequence_in_path(frames, paths, column, keys=keys, chunk_frames=chunk_frames)
-    spot = F.lit(-1)
-    # Read backwards, so that a value's first place on the route wins.
-    for i in range(last, -1, -1):
-        spot = F.when(F.col("value").cast("string") == F.lit(str(route[i])), F.lit(i)).otherwise(spot)
+    if isinstance(route, DataFrame):
+        # A node's first place on the route wins.
+        spots = route.where("pos IS NOT NULL").groupBy(*keys, F.col("node").cast("string").alias("_node"))
+        spots = spots.agg(F.min("pos").cast("int").alias("_spot"))
+        lasts = route.groupBy(*keys).agg(F.coalesce(F.max("pos").cast("int"), F.lit(-1)).alias("_last"))
+        seen = seen.withColumn("_node", F.col("value").cast("string")).join(spots, [*keys, "_node"], "left")
+        seen = seen.join(lasts, keys, "left").withColumn("_last", F.coalesce("_last", F.lit(-1)))
+        paths = paths.join(lasts, keys, "left").withColumn("_last", F.coalesce("_last", F.lit(-1)))
+        spot = F.coalesce("_spot", F.lit(-1))
+    else:
+        spot = F.lit(-1)
+        # Read backwards, so that a value's first place on the route wins.
+        for i in range(len(route) - 1, -1, -1):
+            spot = F.when(F.col("value").cast("string") == F.lit(str(route[i])), F.lit(i)).otherwise(spot)
+        seen, paths = (df.withColumn("_last", F.lit(len(route) - 1)) for df in (seen, paths))
+    last = F.col("_last")
     size = F.lit(piece)
     pieces = (
-        seen.select(*per_path, "pos", spot.alias("spot"), F.floor(F.col("pos") / size).alias("_piece"))
-        .groupBy(*per_path, "_piece")
+        seen.select(*per_path, "pos", spot.alias("spot"), "_last", F.floor(F.col("pos") / size).alias("_piece"))
+        .groupBy(*per_path, "_piece", "_last")
         .agg(
             F.transform(F.array_sort(F.collect_list(F.struct("pos", "spot"))), lambda r: r["spot"]).alias("_spots"),
             F.count("*").alias("_n"),
         )
     )
-    states = F.array(*[_state(p, s) for p in range(max(last, 0) + 1) for s in range(strikes + 1)])
+    places = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+    states = F.flatten(F.transform(places, lambda p: F.array(*[_state(p, s) for s in range(strikes + 1)])))
     entry = F.when(F.col("_piece") == 0, F.array(_state(0, 0))).otherwise(states)
     folded = F.aggregate(
         "_spots", entry, lambda acc, spot: F.transform(acc, lambda st: _visit(st, spot, last, strikes))
     )
-    tables = pieces.select(*per_path, "_piece", folded.alias("_table"), "_n")
+    tables = pieces.select(*per_path, "_piece", "_last", folded.alias("_table"), "_n")
     # Pieces of a path, then groups of pieces: every list stays short.
     tables = tables.withColumn("_group", F.floor(F.col("_piece") / size))
-    groups = _chained(tables, [*per_path, "_group"], "_piece", F.col("_group") == 0, states, strikes)
-    whole = _chained(groups, per_path, "_group", F.lit(True), states, strikes)
-    out = paths.join(whole, per_path, "left")
+    groups = _chained(tables, [*per_path, "_last", "_group"], "_piece", F.col("_group") == 0, states, strikes)
+    whole = _chained(groups, [*per_path, "_last"], "_group", F.lit(True), states, strikes)
+    out = paths.join(whole.drop("_last"), per_path, "left")
     end = F.col("_table")[0]
     zero = F.lit(0).cast("bigint")
     visited = F.coalesce("_n", zero)
     actual = F.greatest(visited - 1, zero)
-    optimal = max(last, 0)
+    optimal = F.greatest(last, F.lit(0))
     progress = F.coalesce(end["progress"], F.lit(0))
     return out.select(
         *keys,
@@ -81,23 +95,23 @@ def route_scores(
         F.coalesce(end["deviations"], zero).alias("deviations"),
         F.coalesce(end["used"], zero).alias("strikes_used"),
         (progress == last).alias("completed"),
-        F.lit(optimal).alias("optimal_length"),
+        optimal.alias("optimal_length"),
         actual.alias("actual_length"),
-        F.when(actual > 0, F.lit(optimal) / actual * 100).otherwise(F.lit(0.0)).alias("efficiency"),
+        F.when(actual > 0, optimal / actual * 100).otherwise(F.lit(0.0)).alias("efficiency"),
     )
 
 
-def _state(progress: int, strikes: int) -> Column:
+def _state(progress: int | Column, strikes: int) -> Column:
     zero = F.lit(0).cast("bigint")
     return F.struct(
-        F.lit(progress).alias("progress"),
+        (progress if isinstance(progress, Column) else F.lit(progress)).alias("progress"),
         F.lit(strikes).alias("strikes"),
         zero.alias("deviations"),
         zero.alias("used"),
     )
 
 
-def _visit(st: Column, spot: Column, last: int, strikes: int) -> Column:
+def _visit(st: Column, spot: Column, last: Column, strikes: int) -> Column:
     """State after one more visited value; ``spot`` is its place on the route or -1."""
     progress, run = st["progress"], st["strikes"]
     under_way = progress < last

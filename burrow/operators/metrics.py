@@ -5,7 +5,8 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,22 +34,30 @@ def exploration(
     frames: DataFrame,
     column: str,
     total: int | None = None,
-    graph_totals: tuple[int, int] | None = None,
+    graph_totals: tuple[int, int] | DataFrame | None = None,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """Distinct values visited over all there are, in percent.
 
     Without a total the graph's node or edge count is used, picked by the
-    column name; with neither, the plain count comes back.
+    column name; with neither, the plain count comes back. ``graph_totals`` is
+    one pair for all, or rows of (keys, nodes, edges) with each session's own.
     """
     keys = list(keys)
     if column not in frames.columns:
         return frames.groupBy(*keys).agg(F.lit(0.0).alias("exploration"))
     values = frames.groupBy(*keys, column).agg(F.lit(1).alias("_one"))
     counted = values.groupBy(*keys).agg(F.count(column).alias("_n"))
-    if total is None and graph_totals is not None:
-        nodes, edges = graph_totals
-        total = nodes if "node" in column.lower() else edges if "edge" in column.lower() else None
+    side = P.graph_side(column) if total is None and graph_totals is not None else None
+    if side and isinstance(graph_totals, DataFrame):
+        counted = counted.join(graph_totals.select(*keys, F.col(side).alias("_total")), keys, "left")
+        known = F.col("_total").isNotNull()
+        share = F.when(~known, F.col("_n").cast("double")).otherwise(
+            F.coalesce(F.try_divide(F.col("_n"), F.col("_total")) * 100, F.lit(0.0))
+        )
+        return counted.withColumn("exploration", share).drop("_n", "_total")
+    if side:
+        total = graph_totals[("nodes", "edges").index(side)]
     if total is None:
         share = F.col("_n").cast("double")
     elif total == 0:
@@ -95,26 +104,48 @@ def cross_session_metric(name: str):
 
 
 class Context:
-    """What a metric may need besides frames: sessions, the graph, shared paths."""
+    """What a metric may need besides frames: sessions, graphs, shared paths.
 
-    def __init__(self, frames, sessions=None, graph_totals=None, edges=None):
+    ``edges`` may hold several graphs; ``graphs`` (session_id, graph_id) then
+    tells which one a session has. Counts and routes come from that graph.
+    ``graph_totals`` gives counts without edges.
+    """
+
+    def __init__(self, frames, sessions=None, graph_totals=None, edges=None, graphs=None):
         self.frames = frames
         self.sessions = sessions
-        self.graph_totals = graph_totals
         self.edges = edges
+        self.graphs = graphs
+        self.failures: dict[str, str] = {}
+        if edges is not None and graphs is None:
+            ids = [r[0] for r in edges.select(GR.GRAPH).distinct().limit(2).collect()]
+            if len(ids) > 1:
+                raise ValueError("several graphs: say in `graphs` which one a session has")
+            everyone = frames.select("session_id").distinct()
+            self.graphs = everyone.withColumn(GR.GRAPH, F.lit(ids[0] if ids else None))
+        self.graph_totals = graph_totals
+        if graph_totals is None and graphs is not None:
+            self.graph_totals = graphs.join(graph_counts(edges), GR.GRAPH, "left").drop(GR.GRAPH)
         self._paths: dict[tuple, DataFrame] = {}
-        self._routes: dict[tuple[str, str], list[str]] = {}
+        self._routes: dict[tuple[str, str], DataFrame] = {}
+
+    def route(self, start_node, end_node) -> DataFrame:
+        """(session_id, pos, node) of the shortest path in each session's graph.
 
-    def route(self, start_node, end_node) -> list[str]:
-        """Nodes of the shortest path in the graph; empty when there is none."""
+        A session whose graph lacks one of the nodes has no row; if there is no
+        path between them it has one with a null pos.
+        """
         ends = (str(start_node), str(end_node))
         if ends not in self._routes:
-            pair = self.edges.select(F.col(GR.GRAPH)).limit(1).select(
+            nodes = GR.both_ways(self.edges).select(GR.GRAPH, F.col("u").cast("string").alias("_node"))
+            there = nodes.where(F.col("_node").isin(*ends)).groupBy(GR.GRAPH).agg(F.count_distinct("_node").alias("_n"))
+            pairs = there.where(F.col("_n") == len(set(ends))).select(
                 GR.GRAPH, F.lit(ends[0]).alias("source"), F.lit(ends[1]).alias("target")
             )
-            reached = GR.shortest_paths(self.edges, pair.select(GR.GRAPH, "source"), until=pair)
-            found = GR.path_nodes(pair, reached).first()
-            self._routes[ends] = list(found.path) if found else []
+            reached = GR.shortest_paths(self.edges, pairs.select(GR.GRAPH, "source"), until=pairs)
+            found = GR.path_nodes(pairs, reached).select(GR.GRAPH, "path")
+            rows = pairs.join(found, GR.GRAPH, "left").select(GR.GRAPH, F.posexplode_outer("path").alias("pos", "node"))
+            self._routes[ends] = materialise(self.graphs.join(rows, GR.GRAPH).drop(GR.GRAPH), "routes")
         return self._routes[ends]
 
     def paths(self, start_column, start_value, end_column, end_value, min_unique_values=None):
@@ -175,15 +206,17 @@ def _exploration(frames, context, location_column, total_locations=None):
 def _efficiency(
     frames, context, path_column, start_node, end_node, strike_levels=None, max_strikes=0, measure="efficiency", **spec
 ):
-    """One measure of route_scores per path; without a graph no path has any."""
+    """One measure of route_scores per path; without a graph that has both
+    nodes no path has any."""
     found = context.paths(**spec)
     if context.edges is None:
         return _value(found.where(F.lit(False)), "start_frame")
+    route = context.route(start_node, end_node)
     scores = route_scores(
         frames,
-        found,
+        found.join(route.select("session_id").distinct(), "session_id", "left_semi"),
         path_column,
-        context.route(start_node, end_node),
+        route,
         strike_levels=strike_levels,
         max_strikes=max_strikes,
     )
@@ -194,8 +227,9 @@ def battery(context: Context, wanted: Mapping[str, tuple[str, Mapping]]) -> Data
     """All wanted metrics of all sessions as (session_id, metric, path_id, value).
 
     ``wanted`` maps a result name to (metric, arguments). Argument names are
-    checked at once. A metric that cannot be planned, such as one naming a
-    missing column, gives NULL for every session and the others go on.
+    checked at once. Every metric is written by itself, so that one which fails,
+    in its plan or while it runs, gives NULL for every session and the others go
+    on; ``context.failures`` keeps the reason.
     """
     parts = []
     for name, (metric, args) in wanted.items():
@@ -205,7 +239,9 @@ def battery(context: Context, wanted: Mapping[str, tuple[str, Mapping]]) -> Data
             part = fn(context.frames, context, **args)
             if set(part.columns) != {"session_id", "path_id", "value"}:
                 raise ValueError(f"metric {metric} returned {part.columns}")
-        except (AnalysisException, ValueError):
+            part = materialise(part.select("session_id", "path_id", "value"), "metric")
+        except (PySparkException, Py4JJavaError, ValueError) as error:
+            context.failures[name] = str(error)
             part = context.frames.select("session_id").distinct().select(
                 "session_id",
                 F.lit(None).cast("bigint").alias("path_id"),
@@ -218,6 +254,22 @@ def battery(context: Context, wanted: Mapping[str, tuple[str, Mapping]]) -> Data
     return out
 
 
+def cross_session(metrics: DataFrame, wanted: Mapping[str, tuple[str, Mapping]]) -> dict[str, DataFrame]:
+    """The wanted cross-session metrics of a battery's result, by result name."""
+    out = {}
+    for name, (metric, args) in wanted.items():
+        fn = CROSS_METRICS[metric]
+        inspect.signature(fn).bind(metrics, **args)
+        out[name] = fn(metrics, **args)
+    return out
+
+
+def graph_counts(edges: DataFrame) -> DataFrame:
+    """(graph_id, nodes, edges) of every graph."""
+    nodes = GR.both_ways(edges).groupBy(GR.GRAPH).agg(F.count_distinct("u").alias("nodes"))
+    return nodes.join(edges.groupBy(GR.GRAPH).agg(F.count("*").alias("edges")), GR.GRAPH)
+
+
 def if_many_sessions(df: DataFrame, sessions: DataFrame, least: int = 2) -> DataFrame:
     """Rows only when there are at least ``least`` sessions."""
     enough = sessions.select(F.count_distinct("session_id").alias("n")).scalar() >= least

@@ -455,6 +455,12 @@ def velocity_in_path(
     ).drop("_scale")
 
 
+def graph_side(column: str) -> str | None:
+    """Whether a column name speaks of a graph's nodes or edges."""
+    name = column.lower()
+    return "nodes" if "node" in name else "edges" if "edge" in name else None
+
+
 def values_in_path(
     frames,
     paths,
@@ -462,14 +468,15 @@ def values_in_path(
     mode: str = "unique",
     *,
     total: int | None = None,
-    graph_totals: tuple[int, int] | None = None,
+    graph_totals: tuple[int, int] | DataFrame | None = None,
     keys=KEYS,
     chunk_frames=CHUNK_FRAMES,
 ) -> DataFrame:
     """Per path: distinct values, value changes, or share of a total in percent.
 
     Without ``total`` the share is taken of the graph's node or edge count
-    (``graph_totals``), picked by the column name; failing that, of the distinct
+    (``graph_totals``, one pair for all or rows of (keys, nodes, edges) with
+    each session's own), picked by the column name; failing that, of the distinct
     count of the session's first path, so later paths can exceed 100.
     An unknown mode yields no rows.
     """
@@ -488,14 +495,14 @@ def values_in_path(
         return counted.where(F.lit(False)).withColumn(
             "value", F.col("distinct_values").cast("double")
         ).drop("distinct_values")
-    if total is None and graph_totals is not None:
-        nodes, edges = graph_totals
-        if "node" in column.lower():
-            total = nodes
-        elif "edge" in column.lower():
-            total = edges
+    side = graph_side(column) if total is None and graph_totals is not None else None
+    if side and not isinstance(graph_totals, DataFrame):
+        total = graph_totals[("nodes", "edges").index(side)]
     if total is not None:
         counted = counted.withColumn("_total", F.lit(total).cast("double"))
+    elif side:
+        own = graph_totals.select(*keys, F.col(side).cast("double").alias("_total"))
+        counted = counted.join(own, keys, "left")
     else:
         first = counted.groupBy(*keys).agg(
             F.min_by("distinct_values", "start_frame").cast("double").alias("_total")

@@ -270,3 +270,40 @@ def test_efficiency_as_a_session_metric(spark):
     got = {r.metric: r.value for r in M.battery(M.Context(df, edges=edges), wanted).collect()}
     assert got == {"efficiency": pytest.approx(200 / 3), "deviations": 2.0, "completed": 1.0}
     assert M.battery(M.Context(df), wanted).isEmpty()
+
+
+def test_a_graph_for_each_session(spark):
+    edges = table(spark, EDGES, [("a", str(i), str(i + 1), 1.0) for i in range(3)] + [("b", "0", "3", 1.0), ("b", "7", "8", 1.0), ("c", "0", "1", 1.0), ("c", "3", "4", 1.0), ("d", "8", "9", 1.0)])
+    graphs = table(spark, "session_id string, graph_id string", [("s1", "a"), ("s2", "b"), ("s3", "c"), ("s4", "d")])
+    rows = [(s, i, st, n) for s in ("s1", "s2", "s3", "s4") for i, (st, n) in enumerate([("go", "0"), ("x", "1"), ("x", "2"), ("end", "3")])]
+    df = table(spark, "session_id string, frame_number bigint, state string, node string", rows)
+    spec = {"start_column": "state", "start_value": "go", "end_column": "state", "end_value": "end"}
+    route = {"path_column": "node", "start_node": "0", "end_node": "3", **spec}
+    context = M.Context(df, edges=edges, graphs=graphs)
+    wanted = {
+        "eff": ("shortest_path_efficiency", route),
+        "share": ("exploration_percentage", {"location_column": "node"}),
+        "in_path": ("num_values_in_path", {"count_column": "node", "mode": "percentage", **spec}),
+        "broken": ("num_values_in_path", {"count_column": "missing", **spec}),
+    }
+    got = {(r.session_id, r.metric): r.value for r in M.battery(context, wanted).collect()}
+    assert (got["s1", "eff"], got["s2", "eff"]) == (100.0, pytest.approx(100 / 3))
+    assert got["s3", "eff"] == 0.0 and ("s4", "eff") not in got  # no path; no such node
+    assert [got[s, "share"] for s in ("s1", "s2", "s4")] == [100.0, 100.0, 200.0]
+    assert got["s2", "in_path"] == 100.0 and got["s1", "broken"] is None and "broken" in context.failures
+    with pytest.raises(ValueError):
+        M.Context(df, edges=edges)
+
+
+def test_a_metric_that_fails_while_it_runs(spark):
+    @M.session_metric("breaks")
+    def _breaks(frames, context):
+        return frames.select("session_id", F.lit(1).cast("bigint").alias("path_id"), F.raise_error(F.lit("no")).cast("double").alias("value"))
+
+    try:
+        df = table(spark, "session_id string, frame_number bigint, node string", [("s", 0, "a")])
+        context = M.Context(df)
+        got = {r.metric: r.value for r in M.battery(context, {"bad": ("breaks", {}), "good": ("exploration_percentage", {"location_column": "node"})}).collect()}
+        assert got == {"bad": None, "good": 1.0} and "no" in context.failures["bad"]
+    finally:
+        del M.SESSION_METRICS["breaks"]
