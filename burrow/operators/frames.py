@@ -108,7 +108,7 @@ def derived_bodypart(pose: DataFrame, name: str, sources: Sequence[str], functio
     if not sources:
         return pose
     made = (
-        pose.where(F.col("bodypart").isin(*sources))
+        no_nan(pose.where(F.col("bodypart").isin(*sources)), "x", "y", "likelihood")
         .groupBy("session_id", FRAME)
         .agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.min("likelihood").alias("likelihood"))
         .withColumn("bodypart", F.lit(name))
@@ -171,7 +171,7 @@ def mean_over_units(traces: DataFrame, function: str = "mean", keys: Sequence[st
     """Mean calcium over all units of a frame, missing values left out."""
     if function != "mean":
         raise ValueError(f"unknown derived trace function {function!r}")
-    return traces.groupBy(*keys, FRAME).agg(F.avg("c").alias("mean_c"))
+    return no_nan(traces, "c").groupBy(*keys, FRAME).agg(F.avg("c").alias("mean_c"))
 
 
 def modulated_footprints(frames: DataFrame, traces: DataFrame, contours: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

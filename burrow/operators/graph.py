@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burrow.operators import stars
@@ -448,7 +448,7 @@ WALK_BROADCAST_ROWS = 500_000
 STEPS_PER_TABLE = 6
 
 
-def _walk_arcs(edges: DataFrame, weighted: bool, small_rows: int) -> DataFrame:
+def _walk_arcs(edges: DataFrame, weighted: bool) -> DataFrame:
     """Arcs with their stretch [lo, hi) of the tail's total weight.
 
     The total is cut into as many slots as the tail has arcs, and an arc is
@@ -463,16 +463,10 @@ def _walk_arcs(edges: DataFrame, weighted: bool, small_rows: int) -> DataFrame:
         .where("_w > 0")
     )
     keys = [GRAPH, "u"]
-    arcs = materialise(arcs, "arcs")
-    if arcs.count() <= small_rows:
-        # The whole graph is small, and so are the arcs of any node.
-        upto = Window.partitionBy(*keys).orderBy("v")
-        summed = arcs.withColumn("hi", F.sum("_w").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-        summed = summed.withColumn("lo", F.lag("hi").over(upto))
-    else:
-        placed = with_ordinal(arcs, keys, ["v"], "_nth").transform(with_chunk, "_nth")
-        summed = running_sum(placed, keys, "_nth", "_w", "hi")
-        summed = materialise(previous_row(summed, keys, "_nth", {"hi": "lo"}).drop(CHUNK), "stretches")
+    # One form for every size: sums in another order could move a stretch's end.
+    placed = with_ordinal(arcs, keys, ["v"], "_nth").transform(with_chunk, "_nth")
+    summed = running_sum(placed, keys, "_nth", "_w", "hi")
+    summed = materialise(previous_row(summed, keys, "_nth", {"hi": "lo"}).drop(CHUNK), "stretches")
     summed = summed.withColumn("lo", F.coalesce("lo", F.lit(0.0)))
     ends = summed.groupBy(*keys).agg(F.max("hi").alias("total"), F.count("*").alias("arcs"))
     back = summed.select(GRAPH, F.col("v").alias("u"), F.col("u").alias("v"), F.col("lo").alias("back_lo"), F.col("hi").alias("back_hi"))
@@ -521,7 +515,7 @@ def sampled_walks(
         raise ValueError(f"backtrack must be -1 or in [0, 1], got {backtrack}")
     if max_steps is None or max_steps < 0:
         raise ValueError("max_steps is required")
-    arcs = materialise(_walk_arcs(edges, weighted, broadcast_rows), "walkarcs")
+    arcs = materialise(_walk_arcs(edges, weighted), "walkarcs")
     small = arcs.count() <= broadcast_rows
     stop = F.col("target") if "target" in starts.columns else F.lit(None).cast("string")
     ends = arcs.select(GRAPH, F.col("next").alias("start"), F.col("v_total").alias("total"), F.col("v_arcs").alias("arcs")).distinct()

@@ -159,7 +159,9 @@ def located(
     )
     node = F.col("_won.node_id")
     if rule == "raise_error":
-        node = F.when(F.col("_n") > 1, F.raise_error(F.lit("a point lies in several regions"))).otherwise(node)
+        # In a filter, so that it acts whichever columns are read.
+        fault = F.raise_error(F.lit("a point lies in several regions")).cast("boolean")
+        won = won.where(F.when(F.col("_n") > 1, fault).otherwise(True))
     missing = (px.isNull() | py.isNull())
     return won.select(
         MAP,
@@ -337,18 +339,12 @@ def overlapping_regions(regions: DataFrame, samples: int = 10) -> DataFrame:
     def place(start: Column, stop: Column, i: Column) -> Column:
         return F.when(i == last, stop).otherwise(start + (stop - start) / last * i)
 
-    spots = pairs.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(samples * samples - 1)))).withColumns(
-        {
-            "_x": place(left, right, F.floor(F.col("_i") / samples)),
-            "_y": place(low, high, F.col("_i") % samples),
-        }
-    )
-    x, y = F.col("_x"), F.col("_y")
-    return (
-        spots.where(G.contains(x, y, "p.") & G.contains(x, y, "q."))
-        .select(MAP, F.col("p.region_id").alias("region1"), F.col("q.region_id").alias("region2"))
-        .distinct()
-        .withColumn("severity", F.lit(1.0))
+    def both(i: Column) -> Column:
+        x, y = place(left, right, F.floor(i / samples)), place(low, high, i % samples)
+        return G.contains(x, y, "p.") & G.contains(x, y, "q.")
+
+    return pairs.where(F.exists(F.sequence(F.lit(0), F.lit(samples * samples - 1)), both)).select(
+        MAP, F.col("p.region_id").alias("region1"), F.col("q.region_id").alias("region2"), F.lit(1.0).alias("severity")
     )
 
 

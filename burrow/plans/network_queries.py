@@ -278,13 +278,14 @@ def g4_shortest_path_nodes(spark, sf_dir):
 
 
 @query("g4_all_shortest_paths", f"""WITH RECURSIVE {_SALES}, {_BFS}, way(node, path, distance) AS (
-  SELECT 'S0', 'S0', 0 UNION ALL SELECT a.v, w.path || '>' || a.v, w.distance + 1 FROM way w JOIN sarcs a ON a.u = w.node JOIN near n ON n.node = a.v AND n.distance = w.distance + 1 WHERE w.distance < 2)
-SELECT node AS target, path FROM way WHERE distance = 2""")
+  SELECT 'S0', 'S0', 0 UNION ALL SELECT a.v, w.path || '>' || a.v, w.distance + 1 FROM way w JOIN sarcs a ON a.u = w.node JOIN near n ON n.node = a.v AND n.distance = w.distance + 1)
+SELECT node AS target, count(*) AS paths, min(path) AS first_path FROM way GROUP BY node""")
 def g4_all_shortest_paths(spark, sf_dir):
     edges = sales(spark, sf_dir)
     reached = GR.shortest_paths(edges, _from_s0(spark))
-    pairs = reached.where("distance = 2").select("graph_id", "source", F.col("node").alias("target"))
-    return GR.path_nodes(pairs, reached, edges).select("target", F.array_join("path", ">").alias("path"))
+    pairs = reached.select("graph_id", "source", F.col("node").alias("target"))
+    every = GR.path_nodes(pairs, reached, edges).select("target", F.array_join("path", ">").alias("path"))
+    return every.groupBy("target").agg(F.count("*").alias("paths"), F.min("path").alias("first_path"))
 
 
 @query("g5_components", f"""WITH {_TRADE}, home AS (

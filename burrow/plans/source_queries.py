@@ -65,7 +65,7 @@ def s11_s15_map_documents(spark, sf_dir):
 
 
 @query("s12_session_table", paths_sql(ERROR, PURCHASE, """
-SELECT f.session_id, CAST(0 AS BIGINT) AS part, f.n AS num_frames, l.nodes, CAST(e.value AS VARCHAR) AS explored
+SELECT f.session_id, f.n AS num_frames, l.nodes, CAST(e.value AS VARCHAR) AS explored
 FROM (SELECT session_id, count(*) AS n FROM frames GROUP BY 1) f
 LEFT JOIN (SELECT session_id, CAST(to_json(list(value ORDER BY path_id)) AS VARCHAR) AS nodes FROM battery WHERE metric = 'nodes' GROUP BY 1) l ON l.session_id = f.session_id
 LEFT JOIN battery e ON e.session_id = f.session_id AND e.metric = 'explored'""", ctes=("frames", "sessions"), extra=_BATTERY))

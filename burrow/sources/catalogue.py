@@ -55,7 +55,8 @@ def matched_sources(sessions: DataFrame, files: DataFrame, specs: Sequence[Mappi
     out = None
     for spec in specs:
         if spec.get("path"):
-            hits = files.where(F.col("path").endswith(spec["path"])).select(F.lit(None).cast("string").alias("folder"), "entry", "path")
+            named = spec["path"].lstrip("/")
+            hits = files.where((F.col("path") == spec["path"]) | F.col("path").endswith(f"/{named}")).select(F.lit(None).cast("string").alias("folder"), "entry", "path")
             shared = True
         else:
             shared = bool(spec.get("shared"))

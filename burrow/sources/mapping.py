@@ -15,7 +15,6 @@ DOCUMENT = (
     f"mappings STRUCT<nodes: {_OUTLINES}, edges: {_OUTLINES}>, metadata MAP<STRING, STRING>"
 )
 NO_SHAPE = {c: "CAST(NULL AS DOUBLE)" for c in ("cx", "cy", "a", "b", "angle")}
-MAX_DOCUMENT_REGIONS = 100_000
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -134,8 +133,8 @@ def read_regions(spark: SparkSession, path: str, ord_type: str = "BIGINT") -> Da
 def documents(regions: DataFrame, builders: DataFrame | None = None) -> DataFrame:
     """One map document per map, outlines only: rectangles become four points.
 
-    A document is one value, so maps beyond a size are refused here;
-    write_regions has no such bound and also keeps circles and ellipses.
+    A document is one value that one task makes; write_regions writes a line
+    per region, for maps of any size, and also keeps circles and ellipses.
     """
     x, y, a, b = (F.col(c) for c in ("cx", "cy", "a", "b"))
     corners = F.array(F.array(x, y), F.array(x + a, y), F.array(x + a, y + b), F.array(x, y + b))
@@ -144,10 +143,6 @@ def documents(regions: DataFrame, builders: DataFrame | None = None) -> DataFram
     )
     name = F.when(F.col("element_type") == "edge", F.concat_ws("_", "u", "v")).otherwise(F.col("node_id"))
     rows = regions.select(MAP, "ord", "element_type", name.alias("_name"), outline.alias("_outline")).where("_outline is not null")
-    sizes = rows.groupBy(MAP).agg(F.count("*").alias("_n"))
-    too_big = sizes.where(F.col("_n") > MAX_DOCUMENT_REGIONS).select(MAP).take(1)
-    if too_big:
-        raise ValueError(f"map {too_big[0][0]} is too big for one document, use write_regions")
     per = rows.groupBy(MAP, "element_type", "_name").agg(
         F.min("ord").alias("_at"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "_outline"))), lambda r: r["_outline"]).alias("_outlines")
     )

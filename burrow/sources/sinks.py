@@ -9,29 +9,26 @@ from pyspark.sql import functions as F
 
 from burrow.operators.chunks import CHUNK, CHUNK_FRAMES, with_chunk
 
-VALUES_PER_CELL = 10_000
-
-
 def session_table(metrics: DataFrame, frame_counts: DataFrame, names: Sequence[str]) -> DataFrame:
     """A row per session with num_frames and one column per metric.
 
-    Metrics with a value per path come as a JSON list in path order. A session
-    with very many paths goes on in further rows, numbered by ``part``, so that
-    no cell holds an unbounded list.
+    Metrics with a value per path come as a JSON list in path order. Sessions
+    with very many paths are better read from ``path_values``, a row per value.
     """
-    part = F.floor(F.coalesce(F.col("path_id"), F.lit(0)) / VALUES_PER_CELL)
     entry = F.array_sort(F.collect_list(F.when(F.col("path_id").isNotNull(), F.struct("path_id", "value"))))
     values = F.to_json(F.transform(entry, lambda e: e["value"]))
     single = F.max(F.when(F.col("path_id").isNull(), F.col("value"))).cast("string")
     listed = F.count("path_id") > 0
-    cells = metrics.groupBy("session_id", part.alias("part"), "metric").agg(
+    cells = metrics.groupBy("session_id", "metric").agg(
         F.when(listed, values).otherwise(single).alias("cell")
     )
-    wide = cells.groupBy("session_id", "part").pivot("metric", list(names)).agg(F.first("cell"))
-    out = frame_counts.join(wide, ["session_id"], "left")
-    return out.withColumn("part", F.coalesce("part", F.lit(0).cast("bigint"))).select(
-        "session_id", "part", "num_frames", *names
-    )
+    wide = cells.groupBy("session_id").pivot("metric", list(names)).agg(F.first("cell"))
+    return frame_counts.join(wide, ["session_id"], "left").select("session_id", "num_frames", *names)
+
+
+def path_values(metrics: DataFrame) -> DataFrame:
+    """The values per path as rows, for lists of any length."""
+    return metrics.where("path_id IS NOT NULL").select("session_id", "metric", "path_id", "value")
 
 
 def write_session_table(table: DataFrame, path: str) -> None:

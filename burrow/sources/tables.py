@@ -35,7 +35,9 @@ def long_pose(wide: DataFrame, bodyparts: Sequence[str] | None = None) -> DataFr
         ]
     )
     keys = [c for c in ("session_id", "frame_number") if c in wide.columns]
-    return wide.select(*keys, F.explode(parts).alias("_p")).select(*keys, "_p.*")
+    rows = wide.select(*keys, F.explode(parts).alias("_p")).select(*keys, "_p.*")
+    # NaN becomes NULL, so that missing means one thing.
+    return rows.withColumns({s[1:]: F.nanvl(F.col(s[1:]), F.lit(None).cast("double")) for s in suffixes})
 
 
 def orientation_samples(samples: DataFrame, order: str = "sample_no") -> DataFrame:
@@ -65,9 +67,9 @@ def stream_info(streams: DataFrame) -> DataFrame:
 
 
 def checked_calibration(calibration: DataFrame) -> DataFrame:
-    """Calibration rows; reading a matrix that cannot be used fails the job."""
+    """Calibration rows; a matrix that cannot be used fails the job, whichever columns are read."""
     message = F.concat(F.lit("unusable calibration matrix of session "), F.col("session_id").cast("string"))
-    return calibration.withColumn("h", F.when(is_usable(F.col("h")), F.col("h")).otherwise(F.raise_error(message)))
+    return calibration.where(F.when(is_usable(F.col("h")), True).otherwise(F.raise_error(message).cast("boolean")))
 
 
 def split_calibration(calibration: DataFrame) -> tuple[DataFrame, DataFrame]:
