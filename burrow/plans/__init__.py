@@ -5,5 +5,7 @@ from burrow.plans import (  # noqa: F401
     path_queries,
     place_queries,
     source_queries,
+    file_queries,
+    scale_queries,
 )
 from burrow.plans.registry import ORACLES, QUERIES  # noqa: F401
