@@ -36,9 +36,22 @@ def files_under(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def sessions_of(files: DataFrame) -> DataFrame:
-    """Session folders with their natural sort key; no session at all is an error."""
-    names = files.select(F.col("folder").alias("session_id")).distinct()
+def folders_under(spark: SparkSession, root: str) -> DataFrame:
+    """(folder) of every folder directly in ``root``, also those without files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [(s.getPath().getName(),) for s in listed if s.isDirectory()]
+    return spark.createDataFrame(names, "folder string")
+
+
+def sessions_of(files: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """Session folders with their natural sort key; no session at all is an error.
+
+    ``folders`` adds sessions whose folder has no file; no source matches there.
+    """
+    names = files.select("folder")
+    names = names if folders is None else names.unionByName(folders.select("folder"))
+    names = names.select(F.col("folder").alias("session_id")).distinct()
     kept = names.where(~F.col("session_id").isin(*NOT_SESSIONS) & ~F.col("session_id").startswith("."))
     if kept.isEmpty():
         raise ValueError("no session folders found")

@@ -4,13 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burrow.functions.projective import is_usable
 from burrow.operators.chunks import with_ordinal
 
 
+_HEADER = ("scorer", "bodyparts", "coords")
+
+
+def read_pose(spark: SparkSession, path: str, session_of: Column | None = None) -> DataFrame:
+    """Pose CSV files with header rows for scorer, bodypart and coordinate, as
+    ``session_id, frame_number`` and {bodypart}_{coordinate} columns.
+
+    The header rows may stand in every file but must agree. The session is the
+    folder of a file unless ``session_of`` says otherwise.
+    """
+    raw = spark.read.csv(path).withColumn("_file", F.input_file_name())
+    heads = raw.where(F.col("_c0").isin(*_HEADER)).drop("_file").distinct().limit(len(_HEADER) + 1).collect()
+    named = {r["_c0"]: r for r in heads}
+    if len(heads) > len(named) or not {"bodyparts", "coords"} <= named.keys():
+        raise ValueError(f"pose files need one row each of bodyparts and coords, found {sorted(r['_c0'] for r in heads)}")
+    cells = [c for c in raw.columns if c not in ("_c0", "_file") and named["bodyparts"][c] is not None]
+    values = [F.col(c).cast("double").alias(f"{named['bodyparts'][c]}_{named['coords'][c]}") for c in cells]
+    session = F.element_at(F.split("_file", "/"), -2) if session_of is None else session_of
+    return raw.where(~F.col("_c0").isin(*_HEADER)).select(
+        session.alias("session_id"), F.col("_c0").cast("bigint").alias("frame_number"), *values
+    )
+
+
 def long_pose(wide: DataFrame, bodyparts: Sequence[str] | None = None) -> DataFrame:
     """{bodypart}_x, _y, _likelihood columns as one row per bodypart.
 

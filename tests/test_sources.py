@@ -278,3 +278,58 @@ def test_builder_mismatches(spark):
     nodes = spark.createDataFrame([("c", "1")], "map_id string, node_id string")
     got = sorted((r.map_id, r.reason, r.detail) for r in L.builder_mismatches(stored, now, regions, nodes).collect())
     assert got == [("a", "builder", "tree/star"), ("b", "parameter", "height"), ("c", "unknown node", "9")]
+
+
+def test_pose_header_rows(spark, tmp_path):
+    for session, x in (("s1", "1.5"), ("s2", "2.5")):
+        (tmp_path / session).mkdir()
+        (tmp_path / session / "pose.csv").write_text(
+            f"scorer,net,net,net,net\nbodyparts,Nose,Nose,Nose,Tail\ncoords,x,y,likelihood,x\n0,{x},2,0.9,7\n1,NaN,3,0.1,8\n"
+        )
+    wide = tables.read_pose(spark, str(tmp_path / "*" / "pose.csv"))
+    assert wide.columns == ["session_id", "frame_number", "Nose_x", "Nose_y", "Nose_likelihood", "Tail_x"]
+    got = {(r.session_id, r.frame_number): r for r in tables.long_pose(wide, ["Nose"]).collect()}
+    assert got["s2", 0].x == 2.5 and got["s1", 1].x is None and got["s1", 1].likelihood == 0.1 and len(got) == 4
+    (tmp_path / "s2" / "pose.csv").write_text("scorer,net\nbodyparts,Ear\ncoords,x\n0,1\n")
+    with pytest.raises(ValueError):
+        tables.read_pose(spark, str(tmp_path / "*" / "pose.csv"))
+
+
+def test_folders_without_files_and_whole_names(spark, tmp_path):
+    (tmp_path / "session_1").mkdir()
+    (tmp_path / "session_2").mkdir()
+    (tmp_path / "session_1" / "x_matrix.npy").write_text("a")
+    files = C.files_under(spark, str(tmp_path))
+    sessions = C.sessions_of(files, C.folders_under(spark, str(tmp_path)))
+    specs = [{"source": "any", "pattern": "npy$"}, {"source": "m", "path": "matrix.npy"}]
+    got = {(r.session_id, r.source): r.valid for r in C.matched_sources(sessions, files, specs).collect()}
+    assert got == {("session_1", "any"): True, ("session_2", "any"): False, ("session_1", "m"): False, ("session_2", "m"): False}
+
+
+def test_data_sources(spark):
+    from burrow.operators import hooks
+
+    @hooks.data_source("doubled", ["twice"])
+    def _doubled(frames):
+        return frames.withColumn("twice", F.col("x") * 2)
+
+    @hooks.data_source("lossy", ["y"])
+    def _lossy(frames):
+        return frames.drop("x")
+
+    df = spark.createDataFrame([("s", i * 3, float(i)) for i in range(20)], "session_id string, frame_number bigint, x double")
+    try:
+        assert hooks.with_sources(df, [("doubled", {})]).where("twice = x * 2").count() == 20
+        for name in ("lossy", "nothing"):
+            with pytest.raises(ValueError):
+                hooks.with_sources(df, [(name, {})])
+    finally:
+        del hooks.DATA_SOURCES["doubled"], hooks.DATA_SOURCES["lossy"]
+
+    def summed(rows):
+        rows["near"] = rows["x"].rolling(3, min_periods=1, center=True).sum()
+        return rows
+
+    schema = "session_id string, frame_number bigint, x double, _home boolean, near double"
+    got = {r.frame_number: r.near for r in hooks.per_chunk(df, summed, schema, halo=1, chunk_frames=4).collect()}
+    assert got == {i * 3: float(sum(j for j in (i - 1, i, i + 1) if 0 <= j < 20)) for i in range(20)}
