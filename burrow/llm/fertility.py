@@ -42,7 +42,7 @@ LEAST = {"chars_per_token": 0.25, "fallback_share": 0.05, "token_entropy": 0.25}
 #: Words a worker remembers for each vocabulary.
 KNOWN = 400_000
 MIN_WORDS = 10
-MAX_REPEATED = 0.2
+MAX_REPEATED = 20  # per cent of the words
 WINDOW = 5
 
 _BLANKS = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
@@ -194,7 +194,7 @@ def bands(measures: DataFrame, keys: list[str], names=BANDED, mark: str = "") ->
 def judged(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str, keep=("doc_id",)) -> DataFrame:
     """The columns ``keep`` of every document, its base counts, whether they
     fail, its fertility and whether it is kept."""
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     named = docs.select(*keep, F.col("lang").alias("_lang"), "text")
     measures = materialise(
         measured(named, byte_vocabulary, piece_vocabulary, [*keep, "_lang"]).withColumns(
