@@ -12,7 +12,6 @@ so that a smaller number is an earlier merge.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import json
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from burrow.llm.common import scan
-from burrow.llm.tokens import byte_letters
+from burrow.llm.tokens import byte_letters, kept
 
 #: Fixed value: the public pattern that splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -263,10 +262,9 @@ class BatchEncoder:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def encoder_of(tokenizer: str) -> BatchEncoder:
     """A worker keeps what it knows from task to task."""
-    return BatchEncoder(ByteBpe(tokenizer))
+    return kept(("bytes", tokenizer), lambda: BatchEncoder(ByteBpe(tokenizer)))
 
 
 FIELDS = [

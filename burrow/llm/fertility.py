@@ -19,7 +19,6 @@ Repeated rows are measured one by one. Columns that are not used don't matter.
 
 from __future__ import annotations
 
-import functools
 from array import array
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burrow.llm.common import scan
-from burrow.llm.tokens import KnownWords
+from burrow.llm.tokens import KnownWords, kept
 from burrow.session import materialise
 
 LANGUAGES = 1_000
@@ -40,7 +39,7 @@ WIDTH = 8.0
 LEAST = {"chars_per_token": 0.25, "fallback_share": 0.05, "token_entropy": 0.25}
 
 #: Words a worker remembers for each vocabulary.
-KNOWN = 400_000
+KNOWN = 300_000
 MIN_WORDS = 10
 MAX_REPEATED = 20  # per cent of the words
 WINDOW = 5
@@ -124,7 +123,8 @@ def measured(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str, keep=
     of the tokenizers library, ``piece_vocabulary`` one of sentencepiece."""
 
     def prepare():
-        one = _meter(byte_vocabulary, piece_vocabulary)
+        key = ("fertility", byte_vocabulary, piece_vocabulary)
+        one = kept(key, lambda: _meter(byte_vocabulary, piece_vocabulary))
 
         def compute(texts):
             columns = zip(*map(one, texts), strict=True)
@@ -135,7 +135,6 @@ def measured(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str, keep=
     return scan(docs, list(keep), FIELDS, prepare)
 
 
-@functools.lru_cache(maxsize=2)
 def _meter(byte_vocabulary: str, piece_vocabulary: str):
     """The measures of one text. A worker keeps the words it knows."""
     import sentencepiece

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 from array import array
 
 #: Words a worker remembers before it starts anew; bounds its memory.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -42,12 +41,26 @@ class KnownWords(dict):
 _WITH_MARKS = re.compile(rb"(.*[A-Za-z0-9])([.,;:!?]+)", re.S)
 
 
-@functools.lru_cache(maxsize=4)
+_kept: list = [None, None]
+
+
+def kept(key: tuple, make):
+    """What ``make`` gives, kept by the worker from task to task until it needs
+    something else: one at a time, so that operators don't add up."""
+    if _kept[0] != key:
+        _kept[:] = [None, None]
+        _kept[:] = [key, make()]
+    return _kept[1]
+
+
 def library_words(path: str, limit: int = KNOWN_WORDS) -> KnownWords:
     """Ids as little-endian unsigned 32-bit integers, by the tokenizer in file
     ``path``. For byte-level vocabularies that lower letters and drop white
-    space: the ids of a text are then those of its words, one after the other.
-    A worker keeps what it knows from task to task."""
+    space: the ids of a text are then those of its words, one after the other."""
+    return kept(("words", path, limit), lambda: _library_words(path, limit))
+
+
+def _library_words(path: str, limit: int) -> KnownWords:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 

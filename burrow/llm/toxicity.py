@@ -50,6 +50,7 @@ DISCOUNT = 0.75
 LETTERS = range(5, 11)  # of a beginning
 BEGINS = "*"
 MARKS = 3
+KNOWN = 200_000  # words a task remembers
 STEPS = 8_000  # score classes for the calibration
 RANGE = 1.0  # differences per word beyond this count as this
 THRESHOLD = 0.7
@@ -78,7 +79,7 @@ class Model:
         """Word numbers of all texts in a row, and how many each text has."""
         split = [words_of(raw) for raw in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        self.known = self.known or KnownWords(self._number)
+        self.known = self.known or KnownWords(self._number, KNOWN)
         find = self.known.__getitem__
         return np.fromiter((find(w) for s in split for w in s), np.int64, int(sizes.sum())), sizes
 
