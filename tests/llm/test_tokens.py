@@ -156,6 +156,23 @@ def test_fertility_bands_reject_outliers(spark, documents):
     assert not got[900].base_failed and not got[900].kept and got[900].fallback_share > 0.3
 
 
+def test_fertility_bands_reject_junk_of_common_and_rare_languages(spark, documents):
+    draw = random.Random(6)
+
+    def text(top, n=60):
+        words = ["apple", "river", "stone", "walk", "green", "window", "table", "house"]
+        return " ".join(draw.choice(words) + str(draw.randint(0, top)) for _ in range(n))
+
+    # Junk has shorter tokens than the rest, by an eighth.
+    rows = [(i, text(99)) for i in range(300)]
+    junk = [(900, text(9)), (901, text(9), "xx"), (902, text(9), None)]
+    rare = [(910, rows[0][1] + "a", "xx"), (911, rows[1][1] + "a", None)]
+    got = {r.doc_id: r for r in fertility.judged(documents([*rows, *junk, *rare]), BYTE, PIECE).collect()}
+    assert sum(got[i].kept for i, _ in rows) >= 294 and got[910].kept and got[911].kept
+    for i in (900, 901, 902):
+        assert not got[i].base_failed and not got[i].kept, got[i]
+
+
 @pytest.mark.parametrize("raw, script", [("plain", "latin"), ("слово", "cyrillic"), ("日本語", "east_asian"), ("λόγος", "greek"), ("..", "none")])
 def test_scripts(raw, script):
     assert fertility.script_of(raw.encode()) == script
