@@ -4,8 +4,10 @@ Every distinct set of five-word shingles gets a signature for each of
 ``TREES`` sorted prefix tries. Sets that share a prefix of a trie are
 candidates; they are tied to the first set of their trie node, never paired
 with each other. The prefix starts at the longest length whose expected recall
-at the threshold is ``START`` and is shortened until the recall measured on
-the verified links reaches ``TARGET``. Candidates that hang together are
+at the threshold itself is ``START`` and is shortened until the estimated
+recall reaches ``TARGET``: a link found by a shared prefix stands for one over
+the expected recall at its similarity, so that links whose texts never became
+candidates are counted too. Candidates that hang together are
 compared exactly, in blocks of bounded size: a group too large for one task is
 cut into blocks, and every pair of its blocks is a task. Tasks hand on sums of
 links and spanning ties, not pairs.
@@ -36,7 +38,7 @@ from burrow.session import materialise
 SHINGLE = 5
 THRESHOLD = Fraction(4, 5)
 TREES, LEVELS = 16, 8  # a level is two bytes of a path
-START, TARGET = 0.998, 0.999
+START, TARGET = 0.9999, 0.999
 #: Shingles of one block of a candidate group.
 BLOCK_SHINGLES = 400_000
 #: Cells of a dense slice when sets are compared.
@@ -103,6 +105,11 @@ def expected_recall(depth: int, similarity: float, trees: int = TREES) -> float:
     return 1 - (1 - similarity**depth) ** trees
 
 
+def first_depth(threshold: Fraction = THRESHOLD) -> int:
+    """The longest prefix with an expected recall of START at the threshold."""
+    return next((d for d in range(LEVELS, 1, -1) if expected_recall(d, float(threshold)) >= START), 1)
+
+
 def _ties(batches, depth: int):
     """Rows sorted by (tree, path): ties every set to the first of its trie
     node, and gives the first and last node of the partition."""
@@ -170,14 +177,15 @@ def _verified(batches, depth: int, threshold: Fraction):
 
 def _link_rows(rows):
     columns = list(zip(*rows, strict=True)) or [[], [], [], [], []]
-    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-    names = ["u", "v", "links", "pairs", "met"]
+    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64())
+    names = ["u", "v", "links", "met", "pairs"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def _compared(rows: list[dict], same: bool, depth: int, threshold: Fraction):
-    """(node, the first node of its tie, links to copies, pairs, pairs that
-    share a trie node) of every node with a link in this pair of blocks."""
+    """(node, the first node of its tie, links to copies, pairs that share a
+    trie node, pairs that these stand for) of every node with a link in this
+    pair of blocks."""
     rows = list({(r["_node"], r["block"]): r for r in rows}.values())  # a set's text may come twice
     rows.sort(key=lambda r: (r["block"], r["_node"]))
     n = len(rows)
@@ -219,9 +227,13 @@ def _compared(rows: list[dict], same: bool, depth: int, threshold: Fraction):
             break
         root = lower
     copies = np.array([r["copies"] for r in rows], np.int64)
-    links, pairs, found = linked @ copies, linked.sum(axis=1), (linked & met).sum(axis=1)
+    links = linked @ copies
+    one, two = np.nonzero(linked & met)
+    shared = common[one, two]
+    stand_for = 1 / expected_recall(depth, shared / (sizes[one] + sizes[two] - shared))
+    found, pairs = np.bincount(one, minlength=n), np.bincount(one, stand_for, n)
     return [
-        (rows[k]["_node"], rows[root[k]]["_node"], int(links[k]), int(pairs[k]), int(found[k])) for k in np.flatnonzero(pairs)
+        (rows[k]["_node"], rows[root[k]]["_node"], int(links[k]), int(found[k]), float(pairs[k])) for k in np.flatnonzero(links)
     ]
 
 
@@ -249,7 +261,7 @@ def _links(docs: DataFrame, sets: DataFrame, depth: int, threshold: Fraction, bl
         .repartition(*keys)
         .sortWithinPartitions(*keys)
         .mapInArrow(
-            lambda b: _verified(b, depth, threshold), "u binary, v binary, links bigint, pairs bigint, met bigint"
+            lambda b: _verified(b, depth, threshold), "u binary, v binary, links bigint, met bigint, pairs double"
         ),
         "links",
     )
@@ -274,9 +286,7 @@ def classes(docs: DataFrame, threshold: Fraction = THRESHOLD, block_shingles: in
         .select("_node", "_one.doc_id", "_one._text", "copies", "_size", "_paths"),
         "sets",
     )
-    depth = LEVELS
-    while depth > 1 and expected_recall(depth, float(threshold)) < START:
-        depth -= 1
+    depth = first_depth(threshold)
     while True:
         links = _links(docs, sets, depth, threshold, block_shingles)
         pairs, met = links.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("met"), F.lit(0))).first()

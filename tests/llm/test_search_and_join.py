@@ -3,6 +3,7 @@ import random
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from burrow.llm import bm25, forest_join
@@ -139,6 +140,33 @@ def test_recall_grows_as_the_prefix_shrinks():
     assert recalls == sorted(recalls) and recalls[-1] > forest_join.START
 
 
+def pair_at_the_threshold(draw):
+    """Two sets of 90 shingles with 80 in common, so that 80 of 100 agree."""
+    every = np.array([draw.getrandbits(64) for _ in range(100)], np.uint64)
+    return np.sort(every[:90]), np.sort(every[10:])
+
+
+def test_no_isolated_link_at_the_threshold_is_lost():
+    draw = random.Random(7)
+    depth = forest_join.first_depth()
+    for _ in range(4000):
+        one, two = map(forest_join.paths, pair_at_the_threshold(draw))
+        assert any(a[: 2 * depth] == b[: 2 * depth] for a, b in zip(one, two, strict=True))
+
+
+def test_links_that_share_no_prefix_are_estimated():
+    draw = random.Random(8)
+    while True:
+        sets = pair_at_the_threshold(draw)
+        ways = list(map(forest_join.paths, sets))
+        if any(a == b for a, b in zip(*ways, strict=True)):
+            break
+    rows = [{"_node": b"%d" % k, "block": 0, "set": s.tobytes(), "copies": 1, "_paths": w} for k, (s, w) in enumerate(zip(sets, ways, strict=True))]
+    found = forest_join._compared(rows, True, 8, forest_join.THRESHOLD)
+    assert [r[2:4] for r in found] == [(1, 1)] * 2
+    assert [r[4] for r in found] == pytest.approx([1 / forest_join.expected_recall(8, 0.8)] * 2)
+
+
 def test_runs_over_partition_borders(spark, documents):
     rows = [(i, "one and the same long text for all of them " + ("x " if i % 2 else "y ")) for i in range(60)]
     marks = forest_join.signed(documents(rows)).where("_node IS NOT NULL").withColumnRenamed("_text", "t")
