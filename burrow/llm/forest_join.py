@@ -41,6 +41,8 @@ TREES, LEVELS = 16, 8  # a level is two bytes of a path
 START, TARGET = 0.9999, 0.999
 #: Shingles of one block of a candidate group.
 BLOCK_SHINGLES = 400_000
+#: Texts of one block of a candidate group: short ones have few shingles.
+BLOCK_ROWS = 2_000
 #: Cells of a dense slice when sets are compared.
 CELLS = 4_000_000
 
@@ -200,48 +202,64 @@ def _compared(rows: list[dict], same: bool, depth: int, threshold: Fraction):
     owner, column = owner[keep], number[column[keep]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    common = np.zeros((n, n), np.float32)
+    common, linked = np.zeros((n, n), np.int32), np.zeros((n, n), bool)
     step = max(64, CELLS // n)
+    # Whatever needs wider cells than these is made for a stripe of rows.
+    stripe = max(1, CELLS // 4 // n)
+    stripes = [slice(top, min(n, top + stripe)) for top in range(0, n, stripe)]
     for start in range(0, width, step):
         a, b = np.searchsorted(column, (start, start + step))
         part = np.zeros((n, min(step, width - start)), np.float32)
         part[owner[a:b], column[a:b] - start] = 1
-        common += part @ part.T
-    common = common.astype(np.int64)
-    linked = threshold.denominator * common >= threshold.numerator * (sizes[:, None] + sizes[None, :] - common)
+        for at in stripes:
+            common[at] += (part[at] @ part.T).astype(np.int32)
+    for at in stripes:
+        here = common[at].astype(np.int64)
+        linked[at] = threshold.denominator * here >= threshold.numerator * (sizes[at, None] + sizes[None, :] - here)
     np.fill_diagonal(linked, False)
     if not same:
         block = np.array([r["block"] for r in rows])
         linked &= block[:, None] != block[None, :]
     if not linked.any():
         return []
-    met = np.zeros((n, n), bool)
-    for tree in range(TREES):
-        _, place = np.unique([r["_paths"][tree][: 2 * depth] for r in rows], return_inverse=True)
-        met |= place[:, None] == place[None, :]
+    places = [np.unique([r["_paths"][t][: 2 * depth] for r in rows], return_inverse=True)[1] for t in range(TREES)]
+    copies = np.array([r["copies"] for r in rows], np.int64)
+    links, found, pairs = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+    for at in stripes:
+        links[at] = np.where(linked[at], copies[None, :], 0).sum(axis=1)
+        met = np.zeros((at.stop - at.start, n), bool)
+        for place in places:
+            met |= place[at, None] == place[None, :]
+        one, two = np.nonzero(linked[at] & met)
+        one += at.start
+        shared = common[one, two]
+        stand_for = 1 / expected_recall(depth, shared / (sizes[one] + sizes[two] - shared))
+        found += np.bincount(one, minlength=n)
+        pairs += np.bincount(one, stand_for, n)
     root = np.arange(n)
     while True:
-        lower = np.minimum(root, np.where(linked, root[None, :], n).min(axis=1))
+        near = [np.where(linked[at], root[None, :], n).min(axis=1) for at in stripes]
+        lower = np.minimum(root, np.concatenate(near))
         lower = lower[lower]
         if (lower == root).all():
             break
         root = lower
-    copies = np.array([r["copies"] for r in rows], np.int64)
-    links = linked @ copies
-    one, two = np.nonzero(linked & met)
-    shared = common[one, two]
-    stand_for = 1 / expected_recall(depth, shared / (sizes[one] + sizes[two] - shared))
-    found, pairs = np.bincount(one, minlength=n), np.bincount(one, stand_for, n)
     return [
         (rows[k]["_node"], rows[root[k]]["_node"], int(links[k]), int(found[k]), float(pairs[k])) for k in np.flatnonzero(links)
     ]
 
 
+def block_counts(members: DataFrame, block_shingles: int = BLOCK_SHINGLES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``group, blocks``: so many that a block is bounded in shingles and rows."""
+    parts = F.greatest(F.sum("_size") / block_shingles, F.count(F.lit(1)) / block_rows)
+    return members.groupBy("group").agg(F.ceil(parts).cast("int").alias("blocks"))
+
+
 def _links(docs: DataFrame, sets: DataFrame, depth: int, threshold: Fraction, block_shingles: int) -> DataFrame:
     """Verified links of every set, as sums and spanning ties."""
     groups = materialise(components(candidates(sets, depth)).withColumnsRenamed({"u": "_node", "component": "group"}), "groups")
     members = sets.join(groups, "_node")
-    blocks = members.groupBy("group").agg(F.ceil(F.sum("_size") / block_shingles).cast("int").alias("blocks"))
+    blocks = block_counts(members, block_shingles)
     wanted = members.join(blocks, "group").select("doc_id", "_text", "_node", "_paths", "copies", "group", "blocks")
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", raw_text().alias(RAW))
     texts = texts.withColumn("_text", F.xxhash64(RAW)).join(wanted, ["doc_id", "_text"])

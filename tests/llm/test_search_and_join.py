@@ -1,10 +1,12 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from burrow.llm import bm25, forest_join
 from burrow.operators.stars import linked_components as components
@@ -167,6 +169,22 @@ def test_links_that_share_no_prefix_are_estimated():
     assert [r[4] for r in found] == pytest.approx([1 / forest_join.expected_recall(8, 0.8)] * 2)
 
 
+def test_blocks_of_short_texts_are_bounded(spark):
+    members = spark.range(5000).select(F.lit("one").alias("group"), F.lit(10).cast("long").alias("_size"))
+    assert [tuple(r) for r in forest_join.block_counts(members).collect()] == [("one", 3)]
+    # All pairs of 3,000 near copies, without wide n x n matrices.
+    many = np.arange(10, dtype=np.uint64)
+    way = forest_join.paths(many)
+    rows = [{"_node": b"%06d" % k, "block": 0, "set": np.append(many, np.uint64(100 + k)).tobytes(), "copies": 1, "_paths": way} for k in range(3000)]
+    tracemalloc.start()
+    found = forest_join._compared(rows, True, 3, forest_join.THRESHOLD)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r[:4] for r in found] == [(b"%06d" % k, b"000000", 2999, 2999) for k in range(3000)]
+    print("peak MB", peak >> 20)
+    assert peak < 150 << 20
+
+
 def test_runs_over_partition_borders(spark, documents):
     rows = [(i, "one and the same long text for all of them " + ("x " if i % 2 else "y ")) for i in range(60)]
     marks = forest_join.signed(documents(rows)).where("_node IS NOT NULL").withColumnRenamed("_text", "t")
