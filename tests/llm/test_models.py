@@ -171,6 +171,24 @@ def test_secrets(spark, documents, odd, none_at_all):
     assert secret_scan.scanned(none_at_all).count() == 0 and secret_scan.masked(none_at_all).count() == 0
 
 
+def test_whole_keys_and_aligned_values_are_masked(spark, documents):
+    draw = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    body = ["".join(draw.choice(letters + "0123456789+/") for _ in range(64)) for _ in range(8)] + [letters[:30] + "/a/b"]
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    run = "".join(draw.choice(letters) for _ in range(40))
+    rows = [
+        (1, "\n".join(["before", head, *body, tail, "after it"])), (2, "\n".join([head, *body, "", "and after it"])),
+        (3, "password      = qTrWmZkXvPbN"), (4, "secret => 'kX9mQ2vT7bLw' here"), (5, "api_key := hT4nW8cJ2qZx"),
+        (6, f"the deploy file holds {run} inside"), (7, "use getElementsByTagName here"),
+    ]
+    got = {r.doc_id: r.text for r in secret_scan.masked(documents(rows)).collect()}
+    assert got == {
+        1: "before\n[secret]\nafter it", 2: "[secret]\n\nand after it", 3: "password      = [secret]", 4: "secret => '[secret]' here",
+        5: "api_key := [secret]", 6: "the deploy file holds [secret] inside", 7: rows[6][1],
+    }
+
+
 def test_the_forest_knows_its_findings(spark):
     rows = secret_scan.scanned(secret_scan.findings(spark).withColumn("doc_id", F.col("label")))
     right = rows.where(F.col("is_secret") == (F.col("doc_id") == 1)).count()
