@@ -31,6 +31,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Markup in which a link doesn't count.
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script|<style\b.*?</style"
 _TAGS = r"(?is)<(?:link|meta)\b[^>]*>"
+#: The first base that has an address.
+_BASE = r"(?is)<base\b[^>]*\bhref\b[^>]*>"
 _CANONICAL = r"(?is)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"
 _REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?\s*refresh\b"
 _HREF = r"(?is)\bhref\s*=\s*(?:\"([^\">]*)\"|'([^'>]*)'|([^\s\"'>]+))"
@@ -56,24 +58,58 @@ def with_rule(df: DataFrame, rules=RULES, host: str = "host", path: str = "path"
     return df.withColumns({"rule": rule, "_own": verdict})
 
 
+def _without_dots(path: Column) -> Column:
+    """RFC 3986, 5.2.4: a path without the segments ``.`` and ``..``."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda done, part: F.when(part == ".", done)
+        .when(part == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.least(F.size(done), F.lit(1)))))
+        .otherwise(F.concat(done, F.array(part))),
+    )
+    whole = F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))
+    return F.when(path.contains("/."), whole).otherwise(path)
+
+
 def address(url: Column) -> Column:
     """What two spellings of one address share: host and the rest without
-    scheme and fragment. Null where there is no host."""
+    scheme, dot segments and fragment. Null where there is no host."""
     text = F.regexp_replace(url, r"(?s)#.*$", "")
     host = F.translate(F.regexp_extract(text, r"(?s)^.*?://([^/?#]*)", 1), _UPPER, _LOWER)
-    rest = F.regexp_extract(text, r"(?s)^.*?://[^/?#]*(.*)$", 1)
-    return F.when(host != "", F.concat(host, F.when(rest == "", F.lit("/")).otherwise(rest)))
+    path = _without_dots(F.regexp_extract(text, r"(?s)^.*?://[^/?#]*([^?]*)", 1))
+    query = F.regexp_extract(text, r"(?s)^.*?://[^/?#]*[^?]*(.*)$", 1)
+    return F.when(host != "", F.concat(host, F.when(path == "", F.lit("/")).otherwise(path), query))
+
+
+def _decoded(link: Column) -> Column:
+    """``link`` with its numeric references and ``&amp;`` as characters."""
+
+    def character(found):
+        code = F.when(found.rlike("(?i)x"), F.conv(F.regexp_extract(found, r"([0-9a-fA-F]+);", 1), 16, 10)).otherwise(
+            F.regexp_extract(found, r"([0-9]+);", 1)
+        ).cast("int")
+        known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        said = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(code == 38, "&amp;").when(known, said).otherwise(found)
+
+    found = F.array_distinct(F.regexp_extract_all(link, F.lit(r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), 0))
+    plain = F.aggregate(found, link, lambda done, one: F.replace(done, one, character(one)))
+    return F.replace(plain, F.lit("&amp;"), F.lit("&"))
 
 
 def _absolute(link: Column, url: Column) -> Column:
+    """RFC 3986, 5.2.2; dot segments go in ``address``."""
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
     host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
+    page = F.regexp_extract(url, r"(?s)^(.*?://[^?#]*)", 1)
     folder = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
         .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host, link))
         .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:|^#|^$"), F.lit(None))
+        .when(link.startswith("?"), F.concat(page, link))
         .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), link))
     )
 
@@ -81,13 +117,17 @@ def _absolute(link: Column, url: Column) -> Column:
 def alias_edges(pages: DataFrame) -> DataFrame:
     """``u, v``: addresses that a page ties together by a canonical link or an
     immediate redirect in its html."""
-    tags = F.regexp_extract_all(F.regexp_replace(F.coalesce("html", F.lit("")), _HIDDEN, ""), F.lit(_TAGS), 0)
+    shown = F.regexp_replace(F.coalesce("html", F.lit("")), _HIDDEN, "")
+    tags = F.regexp_extract_all(shown, F.lit(_TAGS), 0)
+    named = F.regexp_extract(shown, _BASE, 0)
+    base = _decoded(F.trim(F.concat(*[F.regexp_extract(named, _HREF, k) for k in (1, 2, 3)])))
     marked = F.filter(tags, lambda t: t.rlike(_CANONICAL) | t.rlike(_REFRESH))
     found = (
         pages.where(F.col("html").rlike(r"(?i)canonical|refresh") & F.col("url").isNotNull())
-        .select("url", F.explode(marked).alias("_tag"))
+        .select("url", base.alias("_base"), F.explode(marked).alias("_tag"))
         .select(
             "url",
+            F.coalesce(_absolute(F.col("_base"), F.col("url")), "url").alias("_from"),
             F.trim(
                 F.when(
                     F.col("_tag").rlike(_CANONICAL),
@@ -96,7 +136,7 @@ def alias_edges(pages: DataFrame) -> DataFrame:
             ).alias("_link"),
         )
     )
-    target = address(_absolute(F.replace("_link", F.lit("&amp;"), F.lit("&")), F.col("url")))
+    target = address(_absolute(_decoded(F.col("_link")), F.col("_from")))
     return found.select(address(F.col("url")).alias("u"), target.alias("v")).where("u <> v")
 
 

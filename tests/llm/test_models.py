@@ -145,6 +145,19 @@ def test_rules_and_aliases(spark):
     assert verdicts(spark, []) == {}
 
 
+def test_relative_links_are_resolved(spark):
+    link = '<link rel="canonical" href="{}">'
+    blocked = link.format("http://a.net/z")
+    rows = [
+        (13, "http://rel.example/a/b", link.format("../c")), (1, "http://rel.example/c", blocked),
+        (2, "http://q.example/a/b", link.format("?x=1")), (3, "http://q.example/a/b?x=1", blocked),
+        (4, "http://o.example/a", '<base href="http://base.example/d/e">' + link.format("f")), (5, "http://base.example/d/f", blocked),
+        (6, "http://n.example/a", link.format("b?x=1&#38;y=&#x7a;&amp;w=&#233;")), (7, "http://n.example/b?x=1&y=z&w=é", blocked),
+        (8, "http://d.example/a/b/", link.format("./../../../g/.")), (9, "http://d.example/g/", blocked),
+    ]
+    assert {r.verdict for r in verdicts(spark, [(*r, "", "") for r in rows]).values()} == {"block"}
+
+
 def test_a_long_chain_of_redirects(spark):
     rows = [(k, f"http://h{k}.example/", f'<meta http-equiv=refresh content="0;url=http://h{k + 1}.example/">', "", "") for k in range(120)]
     rows.append((120, "http://h120.example/", '<link rel=canonical href="http://end.net/">', "", ""))
