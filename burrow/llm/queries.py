@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from burrow.llm import bm25, bpe, extraction, fertility, forest_join, packing, quality, secret_scan, toxicity, url_filter
+from burrow.llm import (
+    bm25, bpe, extraction, fertility, forest_join, item_search, packing, quality, resampling, secret_scan, token_counts, toxicity, url_filter,
+)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +145,71 @@ def op5_url_filter(spark, sf_dir):
 @query("op3_jaccard_join")
 def op3_jaccard_join(spark, sf_dir):
     return forest_join.linked(table(spark, sf_dir, "documents"))
+
+
+_ITEM_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op11_reversed_search",
+    f"""
+WITH terms AS (SELECT place, doc_id, unnest({_ITEM_TERMS}) AS term FROM (SELECT row_number() OVER () AS place, doc_id, text FROM documents)),
+  tf AS (SELECT place, doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+  len AS (SELECT place, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY place),
+  whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM len),
+  asked AS (SELECT DISTINCT item_id, unnest({_ITEM_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+  df AS (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM asked) GROUP BY term),
+  weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM df, whole),
+  marks AS (SELECT place, 100 - 90 + (90 * n * docs) // length AS m FROM len, whole),
+  scores AS (SELECT item_id, place, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+             FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN marks USING (place) WHERE doc_id IS NOT NULL GROUP BY ALL),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
+)
+def op11_reversed_search(spark, sf_dir):
+    return item_search.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_CRC_TABLE = "[" + ", ".join(str(resampling.crc_of_byte(b)) for b in range(256)) + "]"
+
+
+def _features_sql(name: str, rows: str) -> str:
+    """CTEs ending in ``name``: place, bucket and number of each feature."""
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    runs = " UNION ALL ".join(
+        f"SELECT place, unnest(list_transform(range(1, len(words) - {k - 2}), lambda i: array_to_string(words[i:i + {k - 1}], ' '))) AS run FROM {name}_words"
+        for k in (1, 2, 3)
+    )
+    return f"""{name}_words AS (SELECT place, {words} AS words FROM {rows}),
+  {name}_runs AS MATERIALIZED (SELECT place, run, count(*) AS n FROM ({runs}) GROUP BY ALL),
+  {name}_crc AS MATERIALIZED (SELECT run, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+      list_transform(range(0, len(hex(encode(run))) // 2), lambda i: CAST('0x' || substr(hex(encode(run)), 2 * i + 1, 2) AS BIGINT))),
+      lambda c, b: xor(crcs[CAST(xor(c, b) & 255 AS INTEGER) + 1], c >> 8))) % 10000 AS bucket
+      FROM (SELECT DISTINCT run FROM {name}_runs), (SELECT CAST({_CRC_TABLE} AS BIGINT[]) AS crcs)),
+  {name} AS MATERIALIZED (SELECT place, bucket, n FROM {name}_runs JOIN {name}_crc USING (run))"""
+
+
+@query(
+    "op12_importance_resampling",
+    f"""
+WITH placed AS MATERIALIZED (SELECT row_number() OVER () AS place, doc_id, text FROM documents),
+  items AS MATERIALIZED (SELECT row_number() OVER () AS place, text FROM benchmark),
+  {_features_sql("f", "placed")}, {_features_sql("g", "items")},
+  s AS (SELECT bucket, sum(n) AS s FROM f GROUP BY bucket), t AS (SELECT bucket, sum(n) AS t FROM g GROUP BY bucket),
+  whole AS (SELECT coalesce((SELECT sum(s) FROM s), 0) AS all_s, coalesce((SELECT sum(t) FROM t), 0) AS all_t),
+  gains AS (SELECT s.bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (all_s + 10000) / ((CAST(s AS DOUBLE) + 1) * (all_t + 10000)))) AS BIGINT) AS gain
+            FROM s LEFT JOIN t USING (bucket), whole),
+  sums AS (SELECT place, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM f JOIN gains USING (bucket) GROUP BY place),
+  scored AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(words) AS n_words,
+      coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+      FROM placed JOIN f_words USING (place) LEFT JOIN sums USING (place)),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS may FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * may // 100 THEN place END AS rank FROM ranked""",
+)
+def op12_importance_resampling(spark, sf_dir):
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_token_counts")
+def op13_token_counts(spark, sf_dir):
+    return token_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
