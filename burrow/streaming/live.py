@@ -1,92 +1,237 @@
 """Live forms of path detection and trace windows over a stream of frames.
 
-State per session is a few numbers (or one window of values). Frames of one
-micro-batch are put in order; a frame at or before the last one handled is late
-and dropped. One session is one recording, so its rate is that of its camera.
+Frames carry an event time and may arrive late, up to ``delay``. A session's
+frames wait in a list state until the watermark has passed them; a timer then
+hands them on in frame order, in a run bounded by what arrives within the delay
+and one micro-batch. What the run leads to is a few numbers of value state for
+paths, and two monotonic queues of at most ``size`` entries for windows, so the
+state of a session doesn't grow with its length. A second timer forgets a
+session that has had no frame for ``idle``.
+
+Frames behind the watermark, and frames at or before the last one handed on,
+are dropped; of repeated frames the first counts. A row without a frame number
+is a heartbeat: it only moves the time on, which lets the last frames of a
+recording out. One session is one recording, so its rate is that of its camera.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from burrow.operators.paths import matches
 
 PATHS = "session_id {key}, path_id bigint, start_frame bigint, end_frame bigint"
 WINDOW = "session_id {key}, frame_number bigint, value double, y_low double, y_high double"
 
-
-def _ordered(batches: Iterator[pd.DataFrame], after: int) -> pd.DataFrame:
-    rows = pd.concat(list(batches), ignore_index=True)
-    rows = rows[rows["frame_number"] > after].sort_values("frame_number")
-    return rows.drop_duplicates("frame_number")
-
-
-def live_transitions(frames: DataFrame, start_column: str, start_value, end_column: str, end_value) -> DataFrame:
-    """Start→end paths as their ends arrive; the same paths as the batch operator."""
-    key = dict(frames.dtypes)["session_id"]
-    events = frames.select(
-        "session_id",
-        "frame_number",
-        matches(start_column, start_value).alias("s"),
-        matches(end_column, end_value).alias("e"),
-    ).where("s or e")
-
-    def follow(session, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, opened, count = state.get if state.exists else (-1, -1, 0)
-        rows = _ordered(batches, last)
-        found = []
-        for frame, s, e in zip(rows["frame_number"], rows["s"], rows["e"]):
+#: Lists and timers of a session are kept by this state store.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FOREVER = 1 << 62
+
+
+class InOrder(StatefulProcessor):
+    """Hands the frames of a session on in order, once their time has passed.
+
+    A subclass keeps its own state and says in ``follow`` what a run of ordered
+    frames gives. ``columns`` are what it reads of a frame.
+    """
+
+    columns: list[str]
+    kinds: str
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"frame bigint, at bigint, {self.kinds}")
+        #: Last frame handed on, greatest event time, next time a frame is due.
+        self.clock = handle.getValueState("clock", "last bigint, latest bigint, due bigint")
+        self.open()
+
+    def _clock(self) -> tuple[int, int, int]:
+        found = self.clock.get()
+        return tuple(found) if found is not None else (-FOREVER, -FOREVER, FOREVER)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, latest, due = before = self._clock()
+        for batch in rows:
+            batch = batch[batch["frame_number"].notna() & batch["at"].notna()]
+            batch = batch[batch["frame_number"] > last]
+            if batch.empty:
+                continue
+            times = batch["at"].astype("int64").tolist()
+            frames = batch["frame_number"].astype("int64").tolist()
+            values = batch[self.columns].astype(object).where(batch[self.columns].notna(), None)
+            self.waiting.appendList(list(zip(frames, times, *[values[c].tolist() for c in self.columns])))
+            latest, due = max(latest, *times), min(due, *times)
+        if due < before[2]:
+            self.handle.registerTimer(due)
+        if (last, latest, due) != before:
+            self.clock.update((last, latest, due))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        last, latest, due = self._clock()
+        if due <= passed:
+            rows = list(self.waiting.get())
+            left = [r for r in rows if r[1] > passed]
+            run = []
+            for row in sorted((r for r in rows if r[1] <= passed), key=lambda r: r[:2]):
+                if row[0] > last:
+                    run.append(row)
+                    last = row[0]
+            due = min((r[1] for r in left), default=FOREVER)
+            if left:
+                self.waiting.put(left)
+                self.handle.registerTimer(due)
+            else:
+                self.waiting.clear()
+                if self.idle_ms is not None:
+                    self.handle.registerTimer(latest + self.idle_ms)
+            self.clock.update((last, latest, due))
+            if run:
+                yield self.follow(key[0], run)
+        elif self.idle_ms is not None and due == FOREVER and latest + self.idle_ms <= passed:
+            self.clock.clear()
+            self.forget()
+
+    def open(self) -> None:
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        raise NotImplementedError
+
+    def follow(self, session, run: list[tuple]) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class Paths(InOrder):
+    """One open start, or none: the machine of the batch operator."""
+
+    columns = ["s", "e"]
+    kinds = "s boolean, e boolean"
+
+    def open(self) -> None:
+        self.machine = self.handle.getValueState("machine", "opened bigint, paths bigint")
+
+    def forget(self) -> None:
+        self.machine.clear()
+
+    def follow(self, session, run):
+        found = self.machine.get()
+        opened, count = found if found is not None else (-1, 0)
+        ends = []
+        for frame, _, start, end in run:
             if opened < 0:
-                opened = int(frame) if s else -1
-            elif e:
-                found.append((session[0], count, opened, int(frame)))
+                opened = frame if start else -1
+            elif end:
+                ends.append((session, count, opened, frame))
                 opened, count = -1, count + 1
-        if len(rows):
-            last = int(rows["frame_number"].iloc[-1])
-        state.update((last, opened, count))
-        yield pd.DataFrame(found, columns=["session_id", "path_id", "start_frame", "end_frame"])
-
-    return events.groupBy("session_id").applyInPandasWithState(
-        follow,
-        PATHS.format(key=key),
-        "last bigint, opened bigint, paths bigint",
-        "append",
-        GroupStateTimeout.NoTimeout,
+        self.machine.update((opened, count))
+        return pd.DataFrame(ends, columns=["session_id", "path_id", "start_frame", "end_frame"])
+
+
+class Range(InOrder):
+    """Least and greatest value of the last ``size`` frames.
+
+    Each queue holds the values that can still become the extreme of a window,
+    with the number of their frame, so a frame costs constant time on average.
+    """
+
+    columns = ["value"]
+    kinds = "value double"
+
+    def __init__(self, idle_ms: int | None, size: int, margin: float):
+        super().__init__(idle_ms)
+        self.size, self.margin = size, margin
+
+    def open(self) -> None:
+        entry = "nth bigint, value double"
+        self.count = self.handle.getValueState("count", "frames bigint")
+        self.lows = self.handle.getListState("lows", entry)
+        self.highs = self.handle.getListState("highs", entry)
+
+    def forget(self) -> None:
+        for state in (self.count, self.lows, self.highs):
+            state.clear()
+
+    def follow(self, session, run):
+        found = self.count.get()
+        n = found[0] if found is not None else 0
+        queues = [(self.lows, deque(map(tuple, self.lows.get())), 1), (self.highs, deque(map(tuple, self.highs.get())), -1)]
+        ends = np.full((2, len(run)), np.nan)
+        for k, (_, _, value) in enumerate(run):
+            for side, (_, queue, sign) in enumerate(queues):
+                while queue and queue[0][0] <= n - self.size:
+                    queue.popleft()
+                if value is not None:
+                    while queue and sign * queue[-1][1] >= sign * value:
+                        queue.pop()
+                    queue.append((n, value))
+                if queue:
+                    ends[side, k] = queue[0][1]
+            n += 1
+        for state, queue, _ in queues:
+            state.put(list(queue)) if queue else state.clear()
+        self.count.update((n,))
+        low, high = ends
+        pad = np.where(low != high, (high - low) * self.margin, 1.0)
+        out = {"frame_number": [r[0] for r in run], "value": [np.nan if r[2] is None else r[2] for r in run]}
+        out = pd.DataFrame(out | {"y_low": low - pad, "y_high": high + pad})
+        out.insert(0, "session_id", session)
+        return out
+
+
+def _milliseconds(span: str | None) -> int | None:
+    return None if span is None else int(pd.Timedelta(span).total_seconds() * 1000)
+
+
+def _followed(rows: DataFrame, time: str, processor: InOrder, output: str) -> DataFrame:
+    """``rows`` has session_id, frame_number, the time and the processor's columns."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    timed = rows.withColumn("at", F.unix_millis(F.col(time)))
+    key = dict(rows.dtypes)["session_id"]
+    return timed.groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=output.format(key=key), outputMode="append", timeMode="EventTime"
     )
 
 
-def live_window(frames: DataFrame, column: str, size: int = 150, margin: float = 0.1) -> DataFrame:
-    """Value and vertical range of the last ``size`` frames at every frame."""
-    key = dict(frames.dtypes)["session_id"]
-    rows = frames.select("session_id", "frame_number", F.col(column).cast("double").alias("value"))
-
-    def follow(session, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, kept = state.get if state.exists else (-1, [])
-        new = _ordered(batches, last)
-        past = np.array([np.nan if v is None else v for v in kept], dtype=float)
-        series = pd.Series(np.concatenate([past, new["value"].to_numpy(dtype=float)]))
-        span = series.rolling(size, min_periods=1)
-        low, high = span.min(), span.max()
-        pad = np.where(low != high, (high - low) * margin, 1.0)
-        out = pd.DataFrame({"value": series, "y_low": low - pad, "y_high": high + pad}).iloc[len(past):]
-        out.insert(0, "frame_number", new["frame_number"].to_numpy())
-        out.insert(0, "session_id", session[0])
-        if len(new):
-            last = int(new["frame_number"].iloc[-1])
-        tail = [None if np.isnan(v) else float(v) for v in series.iloc[-(size - 1):]] if size > 1 else []
-        state.update((last, tail))
-        yield out
-
-    return rows.groupBy("session_id").applyInPandasWithState(
-        follow,
-        WINDOW.format(key=key),
-        "last bigint, kept array<double>",
-        "append",
-        GroupStateTimeout.NoTimeout,
+def live_transitions(
+    frames: DataFrame, start_column: str, start_value, end_column: str, end_value,
+    time: str = "ts", delay: str = "10 seconds", idle: str | None = None,
+) -> DataFrame:
+    """Start→end paths as their ends pass; the same paths as the batch operator.
+
+    With ``idle`` a session without frames for that long is over: a later frame
+    of it begins a new one, whose paths are numbered from 0.
+    """
+    # The time is read by the filter, so that heartbeats reach the watermark.
+    beat = F.col("frame_number").isNull() & F.col(time).isNotNull()
+    events = (
+        frames.withWatermark(time, delay)
+        .select(
+            "session_id", "frame_number", time, matches(start_column, start_value).alias("s"), matches(end_column, end_value).alias("e")
+        )
+        .where(F.col("s") | F.col("e") | beat)
     )
+    return _followed(events, time, Paths(_milliseconds(idle)), PATHS)
+
+
+def live_window(
+    frames: DataFrame, column: str, size: int = 150, margin: float = 0.1,
+    time: str = "ts", delay: str = "10 seconds", idle: str | None = None,
+) -> DataFrame:
+    """Value and vertical range of the last ``size`` frames at every frame."""
+    rows = frames.withWatermark(time, delay).select("session_id", "frame_number", time, F.col(column).cast("double").alias("value"))
+    return _followed(rows, time, Range(_milliseconds(idle), size, margin), WINDOW)

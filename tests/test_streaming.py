@@ -1,28 +1,47 @@
 import random
+from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from burrow.operators import paths as P
 from burrow.operators import series as S
 from burrow.streaming import live
 
-SCHEMA = "session_id string, frame_number bigint, state string, v double"
+SCHEMA = "session_id string, frame_number bigint, ts timestamp, state string, v double"
+START = datetime(2024, 5, 1)
 
 
-def recording(spark, tmp_path, n=120):
-    """Frames in three files; the stream reads them in that order."""
-    rng = random.Random(3)
-    rows = [
-        (s, i, rng.choice(["a", "b", "-", "-"]), None if rng.random() < 0.1 else rng.random())
+def at(second):
+    return START + timedelta(seconds=second)
+
+
+def frames_of(n=120, seed=3):
+    rng = random.Random(seed)
+    return [
+        (s, i, at(i), rng.choice(["a", "b", "-", "-", None]), None if rng.random() < 0.1 else rng.random())
         for s in ("x", "y")
         for i in range(n)
     ]
-    for part in range(3):
-        chosen = [r for r in rows if r[1] * 3 // n == part]
-        rng.shuffle(chosen)
-        spark.createDataFrame(chosen, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    return spark.createDataFrame(rows, SCHEMA), stream
+
+
+def written(spark, folder, batches):
+    """One file per batch, in that order."""
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def dealt(rows, batches, late):
+    """Rows by arrival, up to ``late`` seconds after their time; then a heartbeat."""
+    rng = random.Random(8)
+    last = max(r[1] for r in rows) + 1
+    parts = [[] for _ in range(batches)]
+    for row in rows:
+        parts[min(batches - 1, int((row[1] + rng.random() * late) * batches / last))].append(row)
+    for part in parts:
+        rng.shuffle(part)
+    return [*parts, [("x", None, at(last + 1_000), None, None)]]
 
 
 def drained(spark, df, name, tmp_path):
@@ -31,25 +50,66 @@ def drained(spark, df, name, tmp_path):
         .option("checkpointLocation", str(tmp_path / f"ck_{name}")).start()
     )
     query.processAllAvailable()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     query.stop()
-    return spark.table(name)
+    return spark.table(name), states
+
+
+def cells(df):
+    rounded = [F.round(F.nanvl(F.col(c), F.lit(None).cast("double")), 9).alias(c) for c in ("y_low", "y_high")]
+    return sorted(map(str, df.select("session_id", "frame_number", *rounded).collect()))
+
+
+def found(df):
+    return sorted(map(tuple, df.select("session_id", "path_id", "start_frame", "end_frame").collect()))
+
+
+def test_late_rows_over_many_batches_give_the_batch_result(spark, tmp_path):
+    rows = frames_of()
+    batch = spark.createDataFrame(rows, SCHEMA)
+    stream = written(spark, tmp_path / "in", dealt(rows, 8, late=15))
+    paths = live.live_transitions(stream, "state", "a", "state", "b", delay="30 seconds")
+    got, states = drained(spark, paths, "live_paths", tmp_path)
+    assert found(got) == found(P.transitions(batch, "state", "a", "state", "b")) and len(states) >= 8
+    window = live.live_window(stream, "v", 7, delay="30 seconds")
+    got, states = drained(spark, window, "live_window", tmp_path)
+    assert cells(got) == cells(S.trace_window(batch, "v", "frame_number", 7))
+
 
+def test_state_does_not_grow_with_the_session(spark, tmp_path):
+    """Frames within the delay wait; nothing else is kept but the queues and clocks."""
+    few, many = ([f for f in frames_of(n) if f[0] == "x"] for n in (60, 200))
+    most = []
+    for name, rows in (("few", few), ("many", many)):
+        stream = written(spark, tmp_path / name, dealt(rows, len(rows) // 20, late=5))
+        _, states = drained(spark, live.live_window(stream, "v", 7, delay="25 seconds"), f"window_{name}", tmp_path)
+        most.append(max(states))
+    assert most[1] <= most[0] + 5
 
-def test_live_transitions_equal_batch(spark, tmp_path):
-    batch, stream = recording(spark, tmp_path)
-    got = drained(spark, live.live_transitions(stream, "state", "a", "state", "b"), "live_paths", tmp_path)
-    want = P.transitions(batch, "state", "a", "state", "b")
-    columns = ["session_id", "path_id", "start_frame", "end_frame"]
-    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
 
+def test_rows_behind_the_watermark_are_dropped_and_repeats_count_once(spark, tmp_path):
+    rows = [("x", i, at(i), "a" if i == 2 else "b" if i == 8 else "-", 1.0 * i) for i in range(10)]
+    beats = [[("y", None, at(t), None, None)] for t in (51, 52, 900)]
+    batches = [rows[:5], [*rows[6:], rows[6]], [("x", 50, at(50), "-", 50.0)], *beats[:2], [rows[5]], [("x", 60, at(60), "-", None)]]
+    stream = written(spark, tmp_path / "in", [*batches, beats[2]])
+    got, _ = drained(spark, live.live_window(stream, "v", 3, delay="10 seconds"), "late_window", tmp_path)
+    kept = [0, 1, 2, 3, 4, 6, 7, 8, 9, 50, 60]
+    assert sorted(r.frame_number for r in got.collect()) == kept
+    assert {r.frame_number: (r.y_low, r.y_high) for r in got.collect()}[9] == pytest.approx((6.8, 9.2))
+    got, _ = drained(spark, live.live_transitions(stream, "state", "a", "state", "b", delay="10 seconds"), "late_paths", tmp_path)
+    assert found(got) == [("x", 0, 2, 8)]
 
-def test_live_window_equals_batch(spark, tmp_path):
-    batch, stream = recording(spark, tmp_path, 60)
-    got = drained(spark, live.live_window(stream, "v", 7), "live_window", tmp_path)
-    want = S.trace_window(batch, "v", "frame_number", 7)
 
-    def rows(df):
-        cells = [F.round(F.nanvl(F.col(c), F.lit(None).cast("double")), 9).alias(c) for c in ("y_low", "y_high")]
-        return sorted(map(str, df.select("session_id", "frame_number", *cells).collect()))
+def test_an_idle_session_is_forgotten(spark, tmp_path):
+    def marks(start):
+        return [("x", start + i, at(start + i), s, 1.0) for i, s in enumerate("ab-a")]
 
-    assert rows(got) == rows(want)
+    beats = [[("y", None, at(t), None, None)] for t in (150, 160, 170, 900, 910)]
+    batches = [marks(0), *beats[:3], marks(200), *beats[3:]]
+    stream = written(spark, tmp_path / "in", batches)
+    followed = live.live_transitions(stream, "state", "a", "state", "b", delay="10 seconds", idle="60 seconds")
+    got, states = drained(spark, followed, "idle_paths", tmp_path)
+    # The start at frame 3 is forgotten; the frames from 200 on are numbered anew.
+    assert found(got) == [("x", 0, 0, 1), ("x", 0, 200, 201)] and states[-1] == 0
+    kept = live.live_transitions(stream, "state", "a", "state", "b", delay="10 seconds")
+    assert found(drained(spark, kept, "kept_paths", tmp_path)[0]) == [("x", 0, 0, 1), ("x", 1, 3, 201)]
