@@ -10,6 +10,7 @@ A region row has ``kind`` and the columns of its shape:
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,15 +126,14 @@ def inside_outline(edges: Column, x: Column, y: Column) -> Column:
     return (crossings % 2 == 1) | on_side
 
 
-def contains(x: Column, y: Column, at: str = "") -> Column:
+def contains(x: Column, y: Column, at: str | Callable[[str], Column] = "") -> Column:
     """Whether a measured region holds the point; its borders belong to it.
 
-    ``at`` prefixes the region's columns, for rows that hold two regions. The
-    bounding box is tested first, so the shape test runs on near points only.
+    ``at`` prefixes the region's columns, for rows that hold two regions, or
+    gives the column of a name, for regions in an array. The bounding box is
+    tested first, so the shape test runs on near points only.
     """
-    def col(name):
-        return F.col(at + name)
-
+    col = at if callable(at) else lambda name: F.col(at + name)
     cx, cy, a, b, angle = (col(c) for c in ("cx", "cy", "a", "b", "angle"))
     # The box of a hexagon or ellipse is computed with roundings of its own.
     slack = 1e-9
@@ -183,3 +183,21 @@ def distance(x: Column, y: Column) -> Column:
         hexagon=F.when(within, zero).otherwise(outline_distance(F.col("edges"), x, y)),
         ellipse=F.when(within, zero).otherwise(F.hypot(x - cx, y - cy)),
     )
+
+
+#: Directions, beside those of the axes, along which shapes are told apart.
+DIRECTIONS = tuple(math.pi * k / 8 for k in (1, 2, 3, 5, 6, 7))
+
+
+def reach(direction: float) -> tuple[Column, Column]:
+    """Least and greatest place of a measured region along a direction."""
+    dx, dy = math.cos(direction), math.sin(direction)
+    middle = f"(cx * {dx!r}D + cy * {dy!r}D)"
+    half = f"sqrt(power(a * (cos(angle) * {dx!r}D + sin(angle) * {dy!r}D), 2) + power(b * (cos(angle) * {dy!r}D - sin(angle) * {dx!r}D), 2))"
+    places = f"transform(edges, e -> e.x1 * {dx!r}D + e.y1 * {dy!r}D)"
+    low, high = (
+        F.expr(f"""CASE kind WHEN 'circle' THEN {middle} {sign} a WHEN 'ellipse' THEN {middle} {sign} {half}
+          WHEN 'rectangle' THEN {middle} + {pick}(0D, a * {dx!r}D) + {pick}(0D, b * {dy!r}D) ELSE {end}({places}) END""")
+        for sign, pick, end in (("-", "least", "array_min"), ("+", "greatest", "array_max"))
+    )
+    return low, high

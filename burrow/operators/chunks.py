@@ -78,22 +78,40 @@ def with_halo(
     after: int = 0,
     size: int = CHUNK_FRAMES,
 ) -> DataFrame:
-    """Copy border rows into the neighbouring chunks; ``_home`` marks originals.
+    """Copy border rows into the chunks that need them; ``_home`` marks originals.
 
-    Rows are numbered first and the chunks are cut by that number, so a halo of
-    n is n rows however large the gaps in ``order`` are. Windows up to
-    ``before`` rows back and ``after`` rows ahead are then exact per chunk.
+    A halo of n is n rows however large the gaps in ``order`` are: windows up to
+    ``before`` rows back and ``after`` rows ahead are exact per chunk. Rows stay
+    where they are; only the last ``before`` and first ``after`` rows of each
+    chunk are picked out, by a top-n that is bounded before its shuffle, and go
+    to the chunks that they are near enough to by the chunks' numbers of rows.
     """
-    counted = with_chunk(df, order, size).withColumn("_one", F.lit(1))
-    counted = running_sum(counted, keys, order, "_one", "_nth").drop("_one", CHUNK)
-    row = F.col("_nth") - 1
-    low = F.floor((row - after) / F.lit(size))
-    high = F.floor((row + before) / F.lit(size))
-    return (
-        counted.withColumn(CHUNK, F.explode(F.sequence(F.greatest(low, F.lit(0)), high)))
-        .withColumn("_home", F.col(CHUNK) == F.floor(row / F.lit(size)))
-        .drop("_nth")
-    )
+    home = with_chunk(df, order, size)
+    sizes = home.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    out = home.withColumn("_home", F.lit(True))
+    for reach, towards in ((before, 1), (after, -1)):
+        if reach:
+            out = out.unionByName(_borders(home, sizes, keys, order, reach, towards))
+    return out
+
+
+def _borders(home: DataFrame, sizes: DataFrame, keys: Sequence[str], order: str, reach: int, towards: int) -> DataFrame:
+    """Copies of the rows that chunks ahead (1) or behind (-1) reach back to."""
+    first = Window.partitionBy(*keys, CHUNK).orderBy(F.col(order) * -towards)
+    edge = home.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= reach)
+    # Every chunk but an empty one has a row, so ``reach`` chunks are enough. A
+    # chunk that the others part by r rows needs all but the last r of the reach.
+    ahead = Window.partitionBy(*keys).orderBy(F.col(CHUNK) * towards)
+    passed = F.sum("_n").over(ahead.rowsBetween(Window.unboundedPreceding, 0))
+    counted = sizes.withColumn("_passed", passed)
+    others = F.collect_list(F.struct(F.col(CHUNK).alias("chunk"), (F.col("_passed") - F.col("_n")).alias("before")))
+    targets = counted.withColumn("_to", others.over(ahead.rowsBetween(1, reach)))
+    near = F.filter("_to", lambda t: t["before"] - F.col("_passed") < reach)
+    targets = targets.select(*keys, CHUNK, "_passed", near.alias("_to")).where(F.size("_to") > 0)
+    copies = edge.join(targets, [*keys, CHUNK]).select("*", F.explode("_to").alias("_at"))
+    copies = copies.where(F.col("_at.before") - F.col("_passed") + F.col("_rank") <= reach)
+    columns = [F.col("_at.chunk").alias(CHUNK) if c == CHUNK else F.col(c) for c in home.columns]
+    return copies.select(*columns, F.lit(False).alias("_home"))
 
 
 def keep_home(df: DataFrame, drop_chunk: bool = True) -> DataFrame:

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burrow.functions import geometry as G
 from burrow.functions.projective import project
 from burrow.operators.skew import TARGET_ROWS, salted_join
+from burrow.session import materialise
 
 MAP = "map_id"
 CELL = ("_level", "_col", "_row")
 ELEMENT = ("element_type", "node_id", "u", "v")
 
 BROADCAST_BYTES = 64 << 20
+#: Regions of a cell that a point is tested against in its own row.
+CROWDED = 256
 ROW_BYTES = 250
 SIDE_BYTES = 48
 
@@ -53,29 +57,33 @@ def _extent() -> Column:
     return F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
 
 
-def grid_levels(regions: DataFrame) -> tuple[list[int], int]:
-    """Grid levels in use, and a bound on the bytes of the regions' cell rows.
+def grid_statistics(regions: DataFrame) -> tuple[list[int], int, int]:
+    """Grid levels in use, the bytes of the regions' cell rows, and the most
+    regions in one cell.
 
     There is one level per factor of four in region size, so only a few.
     """
-    sides = F.coalesce(F.size("edges"), F.lit(0))
+    sides = F.greatest(F.coalesce(F.size("edges"), F.lit(0)), F.lit(0))
     rows = (
-        regions.groupBy(_level_of(_extent()).alias("level"))
-        .agg(F.sum(4 * (F.lit(ROW_BYTES) + F.greatest(sides, F.lit(0)) * SIDE_BYTES)).alias("bytes"))
+        region_cells(regions.select(MAP, "edges", "x0", "y0", "x1", "y1"))
+        .groupBy(MAP, *CELL)
+        .agg(F.count("*").alias("n"), F.sum(F.lit(ROW_BYTES) + sides * SIDE_BYTES).alias("bytes"))
+        .groupBy("_level")
+        .agg(F.sum("bytes").alias("bytes"), F.max("n").alias("n"))
         .collect()
     )
-    return sorted(r.level for r in rows) or [0], sum(r.bytes for r in rows)
+    return sorted(r["_level"] for r in rows) or [0], sum(r.bytes for r in rows), max((r.n for r in rows), default=0)
 
 
 def _near_regions(
-    points: DataFrame, regions: DataFrame, x: str, y: str, target: int, broadcast_bytes: int
+    points: DataFrame, regions: DataFrame, x: str, y: str, target: int, broadcast_bytes: int, grid=None
 ) -> DataFrame:
     """Every point once per grid level, with the regions of its cell (or none).
 
     A small map is broadcast, so the points are not shuffled. Beyond the bound
     the cells are joined by shuffle, with cells full of points salted.
     """
-    used, size = grid_levels(regions)
+    used, size, _ = grid or grid_statistics(regions)
     probes = points.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in used])))
     level = F.col("_level")
     probes = probes.withColumns({"_col": _cell(F.col(x), level), "_row": _cell(F.col(y), level)})
@@ -107,24 +115,90 @@ def matching_regions(
 
 # -- conflict rules -----------------------------------------------------------
 
-def _node_first() -> Column:
-    return (F.col("element_type") != "node").cast("int")
-
-
-#: Each rule orders the matches of a point by its columns; the first one wins.
-#: A rule is a function of the point's coordinate columns.
-RULES: dict[str, Callable[[Column, Column], Sequence[Column]]] = {
-    "node_priority": lambda x, y: [_node_first()],
-    "edge_priority": lambda x, y: [-_node_first()],
-    "smallest_region": lambda x, y: [F.col("area"), _node_first()],
-    "largest_region": lambda x, y: [-F.col("area"), _node_first()],
-    "nearest_center": lambda x, y: [
-        F.hypot(x - F.col("center_x"), y - F.col("center_y")),
-        _node_first(),
-    ],
-    "first_found": lambda x, y: [_node_first()],
-    "raise_error": lambda x, y: [_node_first()],
+def _node_first(r) -> Column:
+    return (r["element_type"] != "node").cast("int")
+
+
+#: Each rule orders the matches of a point; the first one wins. A rule is a
+#: function of the point's coordinate columns and of the region's, by name.
+RULES: dict[str, Callable] = {
+    "node_priority": lambda x, y, r: [_node_first(r)],
+    "edge_priority": lambda x, y, r: [-_node_first(r)],
+    "smallest_region": lambda x, y, r: [r["area"], _node_first(r)],
+    "largest_region": lambda x, y, r: [-r["area"], _node_first(r)],
+    "nearest_center": lambda x, y, r: [F.hypot(x - r["center_x"], y - r["center_y"]), _node_first(r)],
+    "first_found": lambda x, y, r: [_node_first(r)],
+    "raise_error": lambda x, y, r: [_node_first(r)],
 }
+REGION = ("ord", "region_id", *ELEMENT, *[c for c in G.SHAPE if c != "points"], *G.MEASURES)
+
+
+def _ranked(order: Callable, x: Column, y: Column, region) -> Column:
+    """What a match is compared by, and the element it stands for."""
+    rank = [c.alias(f"_k{i}") for i, c in enumerate(order(x, y, region))]
+    return F.struct(*rank, *[region[c].alias(c) for c in ("ord", "node_id", "u", "v")])
+
+
+class _Row:
+    """The region's columns of a row, by name."""
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(name)
+
+
+def _won_in_rows(points: DataFrame, regions: DataFrame, order: Callable, x: str, y: str, used: list[int], most: int) -> DataFrame:
+    """``points`` with ``_won``, ``_n`` and ``_open``: whether a cell of the
+    point is crowded, so that its winner isn't known here.
+
+    A cell is one broadcast row with its regions as an array, one join per grid
+    level finds the point's cell of that level, and the winner is a minimum
+    inside the row: points are neither repeated nor shuffled.
+    """
+    cells = region_cells(regions.select(MAP, *REGION))
+    held = F.struct(*REGION)
+    if most > CROWDED:  # nothing of a crowded cell is collected but that it is one
+        few = F.count("*").over(Window.partitionBy(MAP, *CELL)) <= CROWDED
+        cells, held = cells.withColumn("_few", few), F.when(F.col("_few"), held)
+    else:
+        cells = cells.withColumn("_few", F.lit(True))
+    lists = cells.groupBy(MAP, *CELL).agg(F.collect_list(held).alias("_held"), F.bool_and("_few").alias("_few"))
+    lists = materialise(lists, "cells")
+    held, open_ = [], []
+    px, py = F.col(x), F.col(y)
+    for k, n in enumerate(used):
+        level = F.lit(n)
+        found = lists.where(F.col("_level") == n).select(
+            F.col(MAP).alias(f"_m{k}"), F.col("_col").alias(f"_c{k}"), F.col("_row").alias(f"_r{k}"),
+            F.col("_held").alias(f"_held{k}"), (~F.col("_few")).alias(f"_open{k}"),
+        )
+        here = (F.col(MAP) == F.col(f"_m{k}")) & (_cell(px, level) == F.col(f"_c{k}")) & (_cell(py, level) == F.col(f"_r{k}"))
+        points = points.join(F.broadcast(found), here, "left").drop(f"_m{k}", f"_c{k}", f"_r{k}")
+        held.append(F.filter(f"_held{k}", lambda r: G.contains(px, py, lambda c: r[c])))
+        open_.append(F.coalesce(f"_open{k}", F.lit(False)))
+    best = [F.array_min(F.transform(h, lambda r: _ranked(order, px, py, r))) for h in held]
+    none = F.lit(0)
+    return points.withColumns(
+        {
+            "_won": F.least(*best) if len(best) > 1 else best[0],
+            "_n": sum((F.greatest(F.coalesce(F.size(h), none), none) for h in held), none),
+            "_open": reduce(lambda a, b: a | b, open_),
+        }
+    ).drop(*[f"_held{k}" for k in range(len(used))], *[f"_open{k}" for k in range(len(used))])
+
+
+def _won_by_shuffle(
+    points: DataFrame, regions: DataFrame, keys: Sequence[str], order: Callable, x: str, y: str, target: int, broadcast_bytes: int, grid
+) -> DataFrame:
+    """The same for maps or cells of any size: matches are reduced where they
+    arise, before the shuffle on the point."""
+    near = _near_regions(points, regions, x, y, target, broadcast_bytes, grid)
+    px, py = F.col(x), F.col(y)
+    match = F.when(F.col("region_id").isNotNull() & G.contains(px, py), _ranked(order, px, py, _Row()))
+    return (
+        near.select(MAP, *keys, x, y, match.alias("_match"))
+        .groupBy(MAP, *keys, x, y)
+        .agg(F.min("_match").alias("_won"), F.count("_match").alias("_n"))
+    )
 
 
 def located(
@@ -140,23 +214,25 @@ def located(
 ) -> DataFrame:
     """One row per point with graph_node or the edge graph_u–graph_v.
 
-    ``keys`` identify a point. The winner is a minimum over its matches, so the
-    matches are reduced where they arise, before the shuffle on the point.
+    ``keys`` identify a point. Where a count shows that the map is small enough
+    to broadcast, a point meets the regions of its cells inside its row; points
+    of cells with more than ``CROWDED`` regions, and maps beyond the bound, go
+    the way over a join.
     """
     if isinstance(rule, str) and rule not in RULES:
         raise ValueError(f"unknown conflict rule {rule!r}, known: {sorted(RULES)}")
     order = RULES[rule] if isinstance(rule, str) else rule
     px, py = F.col(x), F.col(y)
-    near = _near_regions(points.select(MAP, *keys, x, y), regions, x, y, target, broadcast_bytes)
-    rank = [c.alias(f"_k{i}") for i, c in enumerate(order(px, py))]
-    match = F.when(
-        F.col("region_id").isNotNull() & G.contains(px, py), F.struct(*rank, "ord", "node_id", "u", "v")
-    )
-    won = (
-        near.select(MAP, *keys, x, y, match.alias("_match"))
-        .groupBy(MAP, *keys, x, y)
-        .agg(F.min("_match").alias("_won"), F.count("_match").alias("_n"))
-    )
+    asked = points.select(MAP, *keys, x, y)
+    used, size, most = grid = grid_statistics(regions)
+    by_shuffle = (regions, keys, order, x, y, target, broadcast_bytes, grid)
+    if size > broadcast_bytes:
+        won = _won_by_shuffle(asked, *by_shuffle)
+    else:
+        won = _won_in_rows(asked, regions, order, x, y, used, most)
+        if most > CROWDED:
+            rest = won.where("_open").drop("_won", "_n", "_open")
+            won = won.where("NOT _open").drop("_open").unionByName(_won_by_shuffle(rest, *by_shuffle))
     node = F.col("_won.node_id")
     if rule == "raise_error":
         # In a filter, so that it acts whichever columns are read.
@@ -294,8 +370,10 @@ def _box_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     Boxes meet in a cell of the coarser of their two levels. A pair is kept in
     the one cell that holds the lower corner of its common box.
     """
-    used = sorted({*grid_levels(left)[0], *grid_levels(right)[0]})
-    ladder = F.array(*[F.lit(n) for n in used])
+    used = {*grid_statistics(left)[0]}
+    if right is not left:
+        used |= {*grid_statistics(right)[0]}
+    ladder = F.array(*[F.lit(n) for n in sorted(used)])
 
     def cells(df: DataFrame, side: str) -> DataFrame:
         out = df.withColumn("_own", _level_of(_extent())).withColumn(
@@ -323,27 +401,40 @@ def _box_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 def overlapping_regions(regions: DataFrame, samples: int = 10) -> DataFrame:
     """Pairs of regions of a map that overlap.
 
-    Tested on a grid of samples×samples points over the common box, its
-    borders included.
+    Two regions overlap if a point of a grid of samples×samples over their
+    common box, its borders included, lies in both. Two rectangles always do.
+    Pairs that a line parts in one of the directions of ``G.DIRECTIONS`` can't,
+    and are told by comparing each region's reach, which is taken once per
+    region; only what is left is tested at the points, from the middle of the
+    box outwards, where most pairs meet.
     """
-    rows = regions.select(MAP, "ord", "region_id", *[c for c in G.SHAPE if c != "points"], *G.MEASURES)
+    reaches = {f"_{end}{k}": G.reach(d)[i] for k, d in enumerate(G.DIRECTIONS) for i, end in enumerate(("low", "high"))}
+    rows = regions.select(MAP, "ord", "region_id", *[c for c in G.SHAPE if c != "points"], *G.MEASURES).withColumns(reaches)
+    rows = materialise(rows, "reaches")
     pairs = _box_pairs(rows, rows).where(F.col("p.ord") < F.col("q.ord"))
-    # Few bytes but much work per pair: keep the pairs spread over all tasks.
-    tasks = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.repartition(tasks, "p.region_id", "q.region_id")
     p, q = F.col("p"), F.col("q")
-    left, right = F.greatest(p["x0"], q["x0"]), F.least(p["x1"], q["x1"])
-    low, high = F.greatest(p["y0"], q["y0"]), F.least(p["y1"], q["y1"])
+    sides = [(k, *pq) for k in range(len(G.DIRECTIONS)) for pq in ("pq", "qp")]
+    # Reaches are rounded, so a gap has to be wider than that.
+    parted = F.expr(" OR ".join(f"{a}._low{k} > {b}._high{k} + 1e-9D * (1 + abs({a}._low{k}) + abs({b}._high{k}))" for k, a, b in sides))
+    pairs = pairs.where(~F.coalesce(parted, F.lit(False)))
     last = samples - 1
 
-    def place(start: Column, stop: Column, i: Column) -> Column:
-        return F.when(i == last, stop).otherwise(start + (stop - start) / last * i)
-
-    def both(i: Column) -> Column:
-        x, y = place(left, right, F.floor(i / samples)), place(low, high, i % samples)
-        return G.contains(x, y, "p.") & G.contains(x, y, "q.")
+    def places(start: Column, stop: Column) -> Column:
+        step = (stop - start) / last
+        return F.transform(F.sequence(F.lit(0), F.lit(last)), lambda i: F.when(i == last, stop).otherwise(start + step * i))
 
-    return pairs.where(F.exists(F.sequence(F.lit(0), F.lit(samples * samples - 1)), both)).select(
+    xs = places(F.greatest(p["x0"], q["x0"]), F.least(p["x1"], q["x1"]))
+    ys = places(F.greatest(p["y0"], q["y0"]), F.least(p["y1"], q["y1"]))
+    order = sorted(range(samples * samples), key=lambda i: max(abs(i // samples - last / 2), abs(i % samples - last / 2)))
+    outwards = F.expr(f"array({', '.join(map(str, order))})")
+    # Few bytes but much work per pair: keep the pairs spread over all tasks. They
+    # are written with their places, which would else be taken anew for every point.
+    tasks = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = materialise(pairs.withColumns({"_xs": xs, "_ys": ys}).repartition(tasks, "p.region_id", "q.region_id"), "pairs")
+    spots = F.transform(outwards, lambda n: F.struct(F.get("_xs", F.floor(n / samples)).alias("x"), F.get("_ys", n % samples).alias("y")))
+    both = F.exists(spots, lambda at: G.contains(at["x"], at["y"], "p.") & G.contains(at["x"], at["y"], "q."))
+    rectangles = (p["kind"] == "rectangle") & (q["kind"] == "rectangle")
+    return pairs.where(rectangles | both).select(
         MAP, F.col("p.region_id").alias("region1"), F.col("q.region_id").alias("region2"), F.lit(1.0).alias("severity")
     )
 

@@ -172,7 +172,7 @@ def r8_first_found(spark, sf_dir):
 
 @query("u4_custom_rule", _located_sql("length(region_id), -ord"))
 def u4_custom_rule(spark, sf_dir):
-    return _place(spark, sf_dir, lambda x, y: [F.length("region_id"), -F.col("ord")])
+    return _place(spark, sf_dir, lambda x, y, r: [F.length(r["region_id"]), -r["ord"]])
 
 
 _ON_MAP = "spots AS (SELECT session_id, frame_number, bodypart, map_x AS x, map_y AS y FROM mapped)"

@@ -78,9 +78,11 @@ def test_matches_equal_brute_force(scene, args):
     assert got == want and len(got) > 500
 
 
-@pytest.mark.parametrize("args", [{}, {"broadcast_bytes": 0, "target": 20}])
-def test_rules_equal_brute_force(scene, args):
+@pytest.mark.parametrize("args", [{}, {"crowded": 3}, {"crowded": 0}, {"broadcast_bytes": 0, "target": 20}])
+def test_rules_equal_brute_force(scene, args, monkeypatch):
     rows, spots, points, regions = scene
+    args = dict(args)
+    monkeypatch.setattr(L, "CROWDED", args.pop("crowded", L.CROWDED))
     size = {r.ord: (r.area, r.center_x, r.center_y) for r in regions.collect()}
     orders = {
         "node_priority": lambda r, p: (r[10] != "node", r[1]),
@@ -105,6 +107,28 @@ def test_rules_equal_brute_force(scene, args):
             assert got[p[1]] == want, (rule, p)
 
 
+def test_small_maps_leave_the_points_where_they_are(scene, spark):
+    _, _, points, regions = scene
+    out = L.located(points, regions, ["id"], "nearest_center")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    used, _, most = L.grid_statistics(regions)
+    assert plan.count("BroadcastExchange") == len(used) and most <= L.CROWDED
+    assert " Exchange " not in plan and "Generate" not in plan
+
+
+def test_directions_bound_every_shape(spark):
+    rows = random_regions(random.Random(5))
+    regions = G.measured(table(spark, SCHEMA, rows))
+    ends = {f"{e}{k}": G.reach(d)[i] for k, d in enumerate(G.DIRECTIONS) for i, e in enumerate(("low", "high"))}
+    draw = random.Random(6)
+    for r in regions.withColumns(ends).collect():
+        spots = [(draw.uniform(r.x0, r.x1), draw.uniform(r.y0, r.y1)) for _ in range(300)]
+        held = [p for p in spots if inside(rows[r.ord], *p)]
+        for k, d in enumerate(G.DIRECTIONS):
+            places = [x * math.cos(d) + y * math.sin(d) for x, y in held]
+            assert all(r[f"low{k}"] - 1e-9 <= x <= r[f"high{k}"] + 1e-9 for x in places), (r.kind, d)
+
+
 def test_conflict_rules_golden(spark):
     node = region(0, "rectangle", None, 0, 0, 2, 2, node="n")
     edge = region(1, "polygon", [(0.5, 0.5), (1.5, 0.5), (1.5, 1.5), (0.5, 1.5)], edge=("a", "b"))
