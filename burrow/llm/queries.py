@@ -41,7 +41,7 @@ def op9_best_fit_packing(spark, sf_dir):
 def op10_quality_rules(spark, sf_dir):
     return fertility.judged(
         table(spark, sf_dir, "documents"),
-        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
         public_tokenizers.path("piece_bpe_32k.model"),
     )
 

@@ -175,4 +175,63 @@ def test_fertility_bands_reject_junk_of_common_and_rare_languages(spark, documen
 
 @pytest.mark.parametrize("raw, script", [("plain", "latin"), ("слово", "cyrillic"), ("日本語", "east_asian"), ("λόγος", "greek"), ("..", "none")])
 def test_scripts(raw, script):
-    assert fertility.script_of(raw.encode()) == script
+    assert fertility.script_of(np.bincount(np.frombuffer(raw.encode(), np.uint8), minlength=256)) == script
+
+
+def brute_measures(text):
+    """Characters per token, byte-fallback share and entropy of one text's words."""
+    import sentencepiece
+
+    library, pieces = Tokenizer.from_file(BYTE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    library.encode_special_tokens = True
+    words = (text or "").encode().split()
+    tokens = sum(len(library.encode(" " + w.decode(), add_special_tokens=False).ids) for w in words)
+    ids = Counter(i for w in words for i in pieces.encode(w.decode()))
+    total = sum(ids.values())
+    entropy = -sum(n / total * np.log2(n / total) for n in ids.values())
+    chars = sum(len(w.decode()) for w in words)
+    return tokens, chars / max(tokens, 1), sum(n for i, n in ids.items() if pieces.is_byte(i)) / max(total, 1), entropy
+
+
+@pytest.mark.parametrize("vocabulary", [BYTE, public_tokenizers.path("byte_bpe_50k.tiktoken")])
+def test_measures_equal_brute_force_in_batches(spark, odd, sample, vocabulary, monkeypatch):
+    rows = [(r.doc_id, r.text) for r in sample("documents").collect()][:60] + ODD
+    monkeypatch.setattr(fertility, "KNOWN", 500)  # the worker forgets between batches
+    words = fertility.Words(vocabulary, PIECE)
+    for size in (1, 7, 200):
+        got = []
+        for at in range(0, len(rows), size):
+            texts = [(t or "").encode() for _, t in rows[at : at + size]]
+            got += list(zip(*fertility.measures_of(texts, words), strict=True))
+        for (_, text), row in zip(rows, got, strict=True):
+            assert tuple(row[:5]) == brute_base(text)[:5]
+            assert tuple(row[5:9]) == pytest.approx(brute_measures(text))
+
+
+def test_kept_equals_brute_force(spark, sample):
+    """Bands of the commonest language from all of its documents' quartiles."""
+    docs = sample("documents").where("lang = 'en'")
+    judged = [r for r in fertility.judged(docs, BYTE, PIECE).collect()]
+    good = [r for r in judged if not r.base_failed]
+    sizes = {r.doc_id: int(np.log2(max(r.n_tokens, 1))) for r in good}
+    number = Counter(sizes.values())
+    checked = 0
+    for r in good:
+        if number[sizes[r.doc_id]] < fertility.ENOUGH:
+            continue
+        inside = True
+        for c in fertility.BANDED:
+            values = [round(x[c], fertility.DIGITS) for x in good if sizes[x.doc_id] == sizes[r.doc_id]]
+            low, mid, high = np.percentile(values, [25, 50, 75])
+            least = fertility.LEAST[c] * (1 if c == "fallback_share" else mid)
+            inside &= mid - max(4 * (mid - low), least) <= r[c] <= mid + max(4 * (high - mid), least)
+        assert r.kept == inside
+        checked += 1
+    assert checked > 30
+
+
+def test_a_language_has_bands_of_its_own_among_many(spark, documents):
+    rows = [(k, " ".join(f"w{(k * j) % 97}" for j in range(40)), f"l{k % 1100}") for k in range(1100)]
+    rows += [(5000 + k, " ".join(f"{'ab' * (j % 5 + 3)}{k}x{j}" for j in range(40)), "rare") for k in range(fertility.ENOUGH)]
+    got = fertility.judged(documents(rows), BYTE, PIECE).where("doc_id >= 5000").collect()
+    assert len(got) == fertility.ENOUGH and sum(r.kept for r in got) >= fertility.ENOUGH - 3
