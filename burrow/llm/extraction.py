@@ -9,14 +9,17 @@ comments in the markup, hidden elements, form controls) makes no blocks.
 
 White space inside a block becomes one space, and blocks are joined in page
 order by one space. Null and empty pages have an empty text. Unclosed and
-stray tags are taken as browsers take them, as far as blocks depend on it.
+stray tags are taken as browsers take them, as far as blocks depend on it;
+a comment, declaration or tag that the page doesn't end is not text.
 Rows with a repeated page_id are extracted one by one.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import random
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -84,42 +87,72 @@ class Block:
     label: bool
 
 
+@dataclasses.dataclass(frozen=True)
+class Open:
+    """An open element, and what its ancestors and it say of the text inside."""
+
+    tag: str = ""
+    unseen: bool = False
+    chrome_tag: bool = False
+    chrome_class: bool = False
+    article: bool = False
+    label: bool = False
+    heading: bool = False
+    item: bool = False
+    linked: bool = False
+
+
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+
+
 class Blocks(HTMLParser):
     """Flat text blocks of one page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple] = []  # (tag, unseen, chrome tag, chrome class, article, label)
+        self.open: list[Open] = []
+        self.times: Counter = Counter()  # of open tags
         self.data: list[str] = []
         self.linked = 0
 
+    def parse_html_declaration(self, i):
+        """Whatever follows ``<!`` is a comment to its end, as browsers take it."""
+        if self.rawdata.startswith("<!--", i):
+            return self.parse_comment(i)
+        end = self.rawdata.find(">", i + 2)
+        return end + 1 if end >= 0 else -1
+
+    def finish(self):
+        """The page ends here: a tag or comment that isn't closed is not text."""
+        if at := _MARKUP.search(self.rawdata):
+            self.rawdata = self.rawdata[: at.start()]
+        self.close()
+        self.flush()
+
+    def top(self) -> Open:
+        return self.open[-1] if self.open else Open()
+
     def flush(self):
         words = "".join(self.data).split()
         if words:
-            tags = [e[0] for e in self.open]
-            top = self.open[-1] if self.open else ("", False, False, False, False, False)
-            self.blocks.append(
-                Block(
-                    " ".join(words),
-                    len(words),
-                    min(self.linked, len(words)),
-                    *top[2:5],
-                    any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t in tags),
-                    "li" in tags,
-                    top[5],
-                )
-            )
+            top = self.top()
+            linked = min(self.linked, len(words))
+            flags = (top.chrome_tag, top.chrome_class, top.article, top.heading, top.item, top.label)
+            self.blocks.append(Block(" ".join(words), len(words), linked, *flags))
         self.data, self.linked = [], 0
 
     def _close(self, at: int):
+        self.times.subtract(e.tag for e in self.open[at:])
         del self.open[at:]
 
     def _last(self, tags, border=frozenset()) -> int:
+        if not any(self.times[t] for t in tags):
+            return -1
         for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] in tags:
+            if self.open[at].tag in tags:
                 return at
-            if self.open[at][0] in border:
+            if self.open[at].tag in border:
                 return -1
         return -1
 
@@ -139,8 +172,9 @@ class Blocks(HTMLParser):
         if tag in ("article", "main") and (at := self._last({"nav", "header"})) >= 0:
             self._close(at)  # menus don't hold the article; their end is missing
         values = {k: v or "" for k, v in attrs}
-        _, unseen, chrome_tag, chrome_class, article, label = self.open[-1] if self.open else ("", *[False] * 5)
+        up = self.top()
         names = f"{values.get('class', '')} {values.get('id', '')} {values.get('role', '')}"
+        chrome_tag, chrome_class, article = up.chrome_tag, up.chrome_class, up.article
         if tag not in ("html", "body"):
             main = tag in ("article", "main") or bool(_MAIN.search(names))
             chrome_class = chrome_class or bool(_CHROME.search(names)) and tag not in ("article", "main")
@@ -149,13 +183,16 @@ class Blocks(HTMLParser):
                 tag == "header" and not article
             )
         unseen = (
-            unseen
+            up.unseen
             or tag in _UNSEEN
             or "hidden" in values
             or values.get("aria-hidden", "").lower() == "true"
             or bool(_HIDING.search(values.get("style", "")))
         )
-        self.open.append((tag, unseen, chrome_tag, chrome_class, article, label or "data-main" in values))
+        label = (up.label or "data-main" in values) and "data-rest" not in values
+        here = (up.heading or tag in _HEADINGS, up.item or tag == "li", up.linked or tag == "a")
+        self.open.append(Open(tag, unseen, chrome_tag, chrome_class, article, label, *here))
+        self.times[tag] += 1
 
     def handle_endtag(self, tag):
         if tag not in _INLINE:
@@ -169,21 +206,22 @@ class Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data):
-        if self.open and self.open[-1][1]:
+        top = self.top()
+        if top.unseen:
             return
         self.data.append(data)
-        if any(e[0] == "a" for e in self.open):
+        if top.linked:
             self.linked += len(data.split())
 
 
+_MARKUP = re.compile(r"<[A-Za-z/!?]")
 _MARKED = re.compile(r"^(?:©|\(c\)\s|copyright\b|all rights reserved|advertisement$|share this|we use cookies)", re.I)
 
 
 def blocks_of(html: str) -> list[Block]:
     parser = Blocks()
     parser.feed(html)
-    parser.close()
-    parser.flush()
+    parser.finish()
     return parser.blocks
 
 
@@ -250,10 +288,75 @@ LABELLED = (
 )
 
 
+#: Sentences and names that pages are composed of; written for this library.
+SENTENCES = (
+    "The council voted on the new plan for the old town after a long evening.", "Nobody was hurt.", "It rained for three days.",
+    "A team of six people measured the depth of the lake from the northern shore to the dam.", "The reason is simple.",
+    "Prices rose again in the second half of the year, and most shops had to follow.", "They left early, before the road was closed.",
+    "In the museum next door one can see how the machine was built and what it was used for in its first years.",
+    "Die Arbeiten an der Brücke dauern länger als geplant, weil im Sommer Teile fehlten.", "Niemand war überrascht.",
+    "La maison a été vendue au printemps, et les nouveaux propriétaires veulent la garder comme elle est.", "Tout va bien.",
+    "Los vecinos se reunieron en la plaza para hablar de la escuela y de los árboles del parque.", "Nadie lo sabía.",
+    "Cut the apples into thin slices and lay them in rings on the dough.", "Serve warm.",
+)
+ASIDES = (
+    "Our editors pick the best stories of the week for you and send them each Sunday morning.", "Two for one until Friday in every branch.",
+    "By staying on this page you agree that small files are stored on your device, as our terms describe.", "Thanks, very useful!",
+    "I don't agree with the second point, because the figures are from before the change.", "Write a reply to this text here.",
+    "All texts on these pages belong to their authors and may be passed on only with their written leave.", "Shipping is free from forty.",
+    "Wir verwenden kleine Dateien, damit diese Seite besser läuft.", "Abonnez-vous à notre lettre pour ne rien manquer.",
+    "Company number 4711, registered office at the old harbour, managing director as named in the register.", "Please sign in to go on.",
+)
+NAMES = ("Home", "About us", "Contact", "Sports", "Weather today", "All recipes", "Imprint", "Help", "Shop", "Newest first", "Archive 2019", "Log in")
+_WRAPS = (
+    "<article data-main>{}</article>", "<main data-main>{}</main>", '<div id="content"><div data-main>{}</div></div>', "<div data-main>{}</div>",
+    '<section class="story" data-main>{}</section>', "<main><article data-main>{}</article></main>", '<div class="post-body" data-main>{}</div>',
+)
+_BESIDE = (
+    "<aside data-rest>{}</aside>", '<div class="comments" data-rest>{}</div>', '<div class="ad" data-rest>{}</div>', "<form data-rest>{}</form>",
+    '<div class="newsletter" data-rest>{}</div>', "<nav data-rest>{}</nav>", '<div class="cookie-notice" data-rest>{}</div>',
+    '<section id="related" data-rest>{}</section>', "<footer data-rest>{}</footer>",
+)
+
+
+def composed(draw: random.Random) -> str:
+    """A page drawn from the sentences: a main part with chrome inside and around it."""
+
+    def links(n):
+        return "<ul>" + "".join(f"<li><a href=x>{draw.choice(NAMES)}</a></li>" for _ in range(n)) + "</ul>"
+
+    def beside():
+        inner = draw.choice(("", "", links(draw.randint(2, 5))))
+        for _ in range(draw.randint(1, 3)):
+            inner += f"<p>{' '.join(draw.choice(ASIDES) for _ in range(draw.choice((1, 1, 2, 4))))}</p>"
+        return draw.choice(_BESIDE).format(inner)
+
+    def block():
+        text = " ".join(draw.choice(SENTENCES) for _ in range(draw.choice((1, 1, 2, 4))))
+        if draw.random() < 0.2:
+            words = text.split()
+            text = " ".join([words[0], f"<a href=x>{' '.join(words[1:3])}</a>", *words[3:]])
+        return draw.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<h2>{}</h2>")).format(text)
+
+    parts = [f"<h1>{draw.choice(SENTENCES)}</h1>"]
+    for _ in range(draw.randint(3, 8)):
+        parts.append(block())
+        if draw.random() < 0.25:
+            parts.append(beside())
+    page = [f"<header><a href=/>{draw.choice(NAMES)}</a></header>", f"<nav>{links(4)}</nav>", draw.choice(_WRAPS).format("".join(parts))]
+    page += [beside() for _ in range(draw.randint(1, 4))]
+    return "".join(page)
+
+
+#: Pages composed for the labelled table, beside the written ones.
+COMPOSED = 60
+
+
 def labelled(spark: SparkSession) -> DataFrame:
     """The labelled table: one row per block of the labelled pages."""
+    draw = random.Random(19)
     rows = []
-    for page in LABELLED:
+    for page in (*LABELLED, *[composed(draw) for _ in range(COMPOSED)]):
         blocks = blocks_of(page)
         rows += [(*f, float(b.label)) for f, b in zip(described(blocks), blocks, strict=True)]
     return spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*FEATURES, "label"]))

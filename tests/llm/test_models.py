@@ -100,11 +100,67 @@ def test_main_text(spark):
     assert by[3, None].text == by[3, "v"].text == "" and by[3, "v"].n_chars == 0 and len(got) == 5
 
 
-def test_the_tree_knows_its_labelled_pages(spark):
-    table = extraction.labelled(spark)
-    tree = trees.fitted(table, extraction.FEATURES, "label", 1, extraction.DEPTH)[0]
-    rows = table.collect()
-    assert all(trees.predict(tree, r) == r.label for r in rows) and 50 < len(rows) < 200
+def page_tree(spark):
+    return trees.fitted(extraction.labelled(spark), extraction.FEATURES, "label", 1, extraction.DEPTH)[0]
+
+
+def test_the_tree_tells_blocks_of_pages_it_has_not_seen(spark):
+    tree, draw = page_tree(spark), random.Random(77)
+    known = extraction.labelled(spark).collect()
+    assert sum(trees.predict(tree, r) == r.label for r in known) >= 0.97 * len(known)
+    hit = wrong = missed = 0
+    for _ in range(150):
+        blocks = extraction.blocks_of(extraction.composed(draw))
+        for block, features in zip(blocks, extraction.described(blocks), strict=True):
+            said = trees.predict(tree, features) > 0.5
+            hit, wrong, missed = hit + (said and block.label), wrong + (said and not block.label), missed + (block.label and not said)
+    assert hit / (hit + wrong) >= 0.95 and hit / (hit + missed) >= 0.95
+
+
+def texts_of(spark, *pages):
+    rows = [(k, f"u{k}", page) for k, page in enumerate(pages)]
+    got = extraction.extracted(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_markup_that_is_malformed_or_unclosed(spark):
+    main = "<article><p>The first of two sentences is here.</p><p>The second one follows it.{}</p></article>"
+    want = "The first of two sentences is here. The second one follows it."
+    ends = ("<![foo[ y", "<![ b", "<!-- c", " <b", "<!DOCTYPE x", "<?php echo 1 ?>", "<![CDATA[z]]>", "</>", "<!>", "<![if !IE]>", "<!ELEMENT br EMPTY>")
+    got = texts_of(spark, *[main.format(e) for e in ends])
+    assert [g.startswith(want) for g in got] == [True] * len(ends)
+    assert all("<" not in g for g in got) and got[2] == got[3] == want
+
+
+def test_chrome_inside_and_outside_the_article(spark):
+    text = "<p>The council voted on the new plan for the old town after a long evening in May.</p>"
+    inside = [
+        '<div class="comments"><p>I do not think that this is right, because the figures are older than the plan.</p></div>',
+        "<aside><p>Our editors pick the best stories of the week and send them each Sunday morning to you.</p></aside>",
+        "<form><p>Write your name and your address here to get our letter each week for free.</p></form>",
+        '<div class="advert"><p>Buy two lamps today and get the third lamp free of charge in all our shops.</p></div>',
+    ]
+    outside = [
+        "<footer><p>" + "Company number 4711, registered office at the old harbour, and so on as named there. " * 2 + "</p></footer>",
+        '<div class="cookie-bar"><p>By staying on this page you agree that small files are stored on your device, as our terms say.</p></div>',
+        "<nav>" + "".join(f"<a href={k}>Section number {k} of the page</a> " for k in range(8)) + "</nav>",
+    ]
+    want = "The council voted on the new plan for the old town after a long evening in May. " * 2
+    pages = [f"<article>{text}{x}{text}</article>" for x in inside] + [f"<article>{text}{text}</article>{x}" for x in outside]
+    assert texts_of(spark, *pages) == [want.strip()] * len(pages)
+
+
+def test_depth_costs_linear_time():
+    import time
+
+    def seconds(depth):
+        start = time.process_time()
+        blocks = extraction.blocks_of("<div>x " * depth + "</b>" * depth + "<a href=y>" * depth + "z")
+        assert len(blocks) >= depth
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(16_000) < 12 * max(seconds(4_000), 0.05)
 
 
 def test_pages_of_the_given_table(spark, sample):
