@@ -2,8 +2,8 @@
 
 A candidate is what follows a word like ``password =``, a private key from its
 first line to its last (or to the end of its base64 lines), or a run of token
-characters with a digit or a change to upper case in it. Its length,
-character transitions and classes, dictionary coverage, place in a path or
+characters with a digit or a change to upper case in it, of any length. Its
+length, character transitions and classes, dictionary coverage, place in a path or
 address and neighbouring words go to a random forest, fitted on labelled
 findings that ``findings`` builds from written templates. Candidates, features
 and votes are arrays of a document's row, made by DataFrame expressions, so
@@ -27,12 +27,12 @@ NEAR = 48
 MASK = "[secret]"
 
 _NAME = r"(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)"
-_ASSIGNED = rf"(?i:{_NAME}[a-z_-]{{0,16}}[\"']?\s*+(?::=|=>|[:=])\s*+[\"']?)"
-_TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9]|[A-Za-z+/_=-]{0,64}[a-z][A-Z])[A-Za-z0-9+/_=-]{16,}+"
-_HEADER = "[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_ASSIGNED = rf"(?i:{_NAME}[a-z_-]*+[\"']?\s*+(?::=|=>|[:=])\s*+[\"']?)"
+_TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9]|[A-Za-z+/_=-]*?[a-z][A-Z])[A-Za-z0-9+/_=-]{16,}+"
+_HEADER = "[A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----"
 _KEY = (
-    rf"-----BEGIN {_HEADER}(?:[^-]*+(?:-(?!----)[^-]*+){{0,40}}+-----END {_HEADER}"
-    r"|(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/]++={0,2}+(?=[ \t\r]*+(?:\n|\z))){0,600}+)"
+    rf"-----BEGIN {_HEADER}(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END {_HEADER}"
+    r"|(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/]++={0,2}+(?=[ \t\r]*+(?:\n|\z)))*+)"
 )
 PATTERN = rf"{_KEY}|{_ASSIGNED}[^\s\"']{{8,}}+|{_TOKEN}"
 
@@ -57,6 +57,8 @@ FEATURES = [
     "longest_run",
     "prefixed",
     "dictionary",
+    "camel",
+    "consonants",
     "path",
     "named",
     "benign",
@@ -90,6 +92,10 @@ def _described(match: Column, before: Column, after: Column) -> Column:
         "longest_run": _flag(value, r"(.)\1{3,}|0123|1234|2345|3456|4567|5678|6789|abcd"),
         "prefixed": _flag(value, _PREFIXES),
         "dictionary": _share(value, rf"(?i){_DICTIONARY}", size),
+        # Names are joined from words: long runs of small letters behind a capital,
+        # and hardly a row of consonants that can't be spoken.
+        "camel": _share(value, r"[A-Z]?[a-z]{3,}", size),
+        "consonants": _share(value, r"(?i)[bcdfghjklmnpqrstvwxz]{4,}", size),
         "path": F.greatest(_flag(value, r"/[^/]*/|\.[a-z]{2,4}$"), _flag(lead, r"(://|www\.)\S*$|[/\\]$|\S/\S*$"), _flag(after, r"^(\.[a-z]{2,5}\b|/)")),
         "named": _flag(lead, rf"({_NAMED})\W{{0,6}}\w{{0,12}}\W{{0,6}}$"),
         "benign": _flag(lead, _BENIGN),
@@ -140,7 +146,11 @@ TEMPLATES = (
     (1, "-----BEGIN RSA PRIVATE KEY-----\n{body64}\n{body64}\n{body64}\n{body20}==\n-----END RSA PRIVATE KEY-----"),
     (1, "-----BEGIN PRIVATE KEY-----\n{body64}\n{body64}\n{body40}"),
     (1, "key file holds {letters40} inside"),
+    (1, "the deploy key is {letters32} and stays"),
+    (1, "the file holds {letters48}"),
     (1, "sent {letters24} to the server"),
+    (1, "sent {mixed76} to the server"),
+    (1, "the string {letters70}1 opens it"),
     (1, "api_key   =>   '{letters20}'"),
     (1, "password      = {letters12}"),
     (1, "secret := {mixed14}"),
@@ -173,7 +183,30 @@ TEMPLATES = (
     (0, "a page on The-History-Of-Northern-Rivers"),
     (0, "password   =>   required by the server"),
     (0, "token := identifier of the session"),
+    (0, "call {camel3} here"),
+    (0, "use {camel4} here"),
+    (0, "the class {Camel3} and its parent"),
+    (0, "{Camel4}; is declared above"),
+    (0, "see {camel5} in the file"),
+    (0, "in {camel4}{digits1} of the module"),
+    (0, "a page on {kebab5}"),
+    (0, "the file {snake4}_{digits4}"),
+    (0, "module {snake5} and {snake4}"),
+    (0, "watch https://www.example.com/{letters20} today"),
+    (0, "watch https://video.example.org/watch/{mixed16} today"),
+    (0, "at http://files.example.net/{letters8}/{mixed22} since then"),
+    (0, "see https://example.org/{kebab5}-{digits6}"),
+    (0, "token: {camel3}()"),
+    (0, "password = {camel3}"),
 )
+#: Common words that names in code and files are joined from.
+WORDS = (
+    "get set add find make load save read write open close send parse build check start stop user name file list item page text "
+    "node tree table column index value count total state event handler element elements factory context request response provider "
+    "service client manager session buffer stream query result error message config option string number date time first last "
+    "next random access network local remote default abstract public north river house green summer market window letter garden "
+    "history music winter train station mountain report annual meeting minutes very long variable tag"
+).split()
 COPIES = 24
 _LETTERS = {
     "hex": "0123456789abcdef",
@@ -187,22 +220,33 @@ _LETTERS = {
 }
 
 
-def findings(spark: SparkSession) -> DataFrame:
+_JOINED = {
+    "camel": lambda words: words[0] + "".join(w.title() for w in words[1:]),
+    "Camel": lambda words: "".join(w.title() for w in words),
+    "kebab": "-".join,
+    "snake": "_".join,
+}
+
+
+def findings(spark: SparkSession, seed: int = 11) -> DataFrame:
     """``label, text``: every template with COPIES sets of drawn values."""
+    import json
     import random
     import re
 
-    draw = random.Random(11)
+    draw = random.Random(seed)
 
     def filled(found):
+        if found[1] in _JOINED:
+            return _JOINED[found[1]]([draw.choice(WORDS) for _ in range(int(found[2]))])
         letters = _LETTERS[found[1]]
         return "".join(draw.choice(letters) for _ in range(int(found[2])))
 
     rows = [
         (label, re.sub(r"\{([a-zA-Z]+)(\d+)\}", filled, template)) for label, template in TEMPLATES for _ in range(COPIES)
     ]
-    structs = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(text).alias("text")) for label, text in rows])
-    return spark.range(1, numPartitions=1).select(F.inline(structs))
+    whole = F.lit(json.dumps([{"label": label, "text": text} for label, text in rows]))
+    return spark.range(1, numPartitions=1).select(F.inline(F.from_json(whole, "array<struct<label int, text string>>")))
 
 
 def forest(spark: SparkSession) -> list:

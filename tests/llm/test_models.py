@@ -258,6 +258,44 @@ def test_whole_keys_and_aligned_values_are_masked(spark, documents):
     }
 
 
+def test_names_paths_and_addresses_are_no_secrets(spark, documents):
+    clean = [
+        "use getElementsByTagName here", "int MyVeryLongVariableName; is declared", "see https://www.example.com/xYzAbCdEfGhIjKlMnOp for more",
+        "in DefaultAnnotationHandlerMapping and beanFactoryPostProcessor", "at /usr/share/doc/northern-rivers-2019/readme", "call setCurrentUserSession()",
+    ]
+    docs = documents(list(enumerate(clean)))
+    assert [r.text for r in secret_scan.masked(docs).orderBy("doc_id").collect()] == clean
+
+
+def test_secrets_of_any_length_are_masked_whole(spark, documents):
+    draw = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    body = "\n".join("".join(draw.choice(letters + "0123456789+/") for _ in range(64)) for _ in range(900))
+    dashed = "\n".join("Proc-Type: 4,ENCRYPTED-" + "".join(draw.choice(letters) for _ in range(9)) for _ in range(60))
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    late = "".join(draw.choice("bcdfghjklmnpqrstvwxz") for _ in range(76)) + "".join(draw.choice(letters + "0123456789") for _ in range(40))
+    rows = [
+        (1, f"a\n{head}\n{body}\n{tail}\nb"), (2, f"a\n{head}\n{dashed}\n{tail}\nb"), (3, f"a\n{head}\n{body}\n\nb"),
+        (4, f"it holds {late} inside"), (5, "password_of_the_second_database_user = 'kX9mQ2vT7bLw'"),
+    ]
+    got = {r.doc_id: r.text for r in secret_scan.masked(documents(rows)).collect()}
+    assert got == {
+        1: "a\n[secret]\nb", 2: "a\n[secret]\nb", 3: "a\n[secret]\n\nb", 4: "it holds [secret] inside",
+        5: "password_of_the_second_database_user = '[secret]'",
+    }
+
+
+def test_precision_and_recall_on_findings_drawn_anew(spark):
+    trees_ = secret_scan.forest(spark)
+    held = secret_scan.findings(spark, seed=99).withColumn("doc_id", F.col("label"))
+    rows = secret_scan.scanned(held, trees_)
+    found = rows.agg(
+        F.count_if(F.col("is_secret") & (F.col("doc_id") == 1)).alias("hit"), F.count_if(F.col("is_secret")).alias("said"),
+        F.count_if(F.col("doc_id") == 1).alias("true"),
+    ).first()
+    assert found.hit / found.said >= 0.96 and found.hit / found["true"] >= 0.96
+
+
 def test_the_forest_knows_its_findings(spark):
     rows = secret_scan.scanned(secret_scan.findings(spark).withColumn("doc_id", F.col("label")))
     right = rows.where(F.col("is_secret") == (F.col("doc_id") == 1)).count()
