@@ -93,8 +93,8 @@ def _described(match: Column, before: Column, after: Column) -> Column:
         "prefixed": _flag(value, _PREFIXES),
         "dictionary": _share(value, rf"(?i){_DICTIONARY}", size),
         # Names are joined from words: long runs of small letters behind a capital,
-        # and hardly a row of consonants that can't be spoken.
-        "camel": _share(value, r"[A-Z]?[a-z]{3,}", size),
+        # (hex has no letter beyond f), and hardly a row of consonants.
+        "camel": _share(value, r"[A-Z]?(?=[a-z]*[g-z])[a-z]{3,}", size),
         "consonants": _share(value, r"(?i)[bcdfghjklmnpqrstvwxz]{4,}", size),
         "path": F.greatest(_flag(value, r"/[^/]*/|\.[a-z]{2,4}$"), _flag(lead, r"(://|www\.)\S*$|[/\\]$|\S/\S*$"), _flag(after, r"^(\.[a-z]{2,5}\b|/)")),
         "named": _flag(lead, rf"({_NAMED})\W{{0,6}}\w{{0,12}}\W{{0,6}}$"),
