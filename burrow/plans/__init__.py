@@ -6,6 +6,7 @@ from burrow.plans import (  # noqa: F401
     place_queries,
     source_queries,
     file_queries,
+    session_queries,
     scale_queries,
 )
 from burrow.plans.registry import ORACLES, QUERIES  # noqa: F401
