@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burrow.llm.common import scan
-from burrow.llm.trees import fitted, predict
+from burrow.llm.trees import fitted, once, predict
 
 DEPTH = 6
 
@@ -364,7 +364,8 @@ def labelled(spark: SparkSession) -> DataFrame:
 
 def extracted(pages: DataFrame, keep=("page_id", "url")) -> DataFrame:
     """``keep``, the main ``text`` of every page, and ``n_chars``."""
-    tree = fitted(labelled(pages.sparkSession), FEATURES, "label", 1, DEPTH)[0]
+    spark = pages.sparkSession
+    tree = once(spark, "main text", lambda: fitted(labelled(spark), FEATURES, "label", 1, DEPTH))[0]
 
     def prepare():
         def one(raw: bytes) -> str:

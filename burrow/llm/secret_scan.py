@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burrow.llm.trees import as_column, fitted
+from burrow.llm.trees import as_column, fitted, once
 
 TREES, DEPTH = 21, 6
 THRESHOLD = 0.5
@@ -257,7 +257,8 @@ def forest(spark: SparkSession) -> list:
 
 def with_votes(docs: DataFrame, keep: list[str], trees: list | None = None) -> DataFrame:
     """``with_candidates`` and ``_burrow_scores``: the share of trees for each."""
-    trees = forest(docs.sparkSession) if trees is None else trees
+    spark = docs.sparkSession
+    trees = once(spark, "secrets", lambda: forest(spark)) if trees is None else trees
 
     def score(found):
         votes = [as_column(t, lambda k: found[FEATURES[k]]) for t in trees]

@@ -10,7 +10,7 @@ import re
 
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SPLIT = re.compile(r"If \(feature (\d+) <= (\S+)\)")
@@ -44,6 +44,17 @@ def fitted(table: DataFrame, features: list[str], label: str, trees: int, depth:
     return rules_of(RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", **settings).fit(rows))
 
 
+_made: dict[tuple[str, str], list] = {}
+
+
+def once(spark: SparkSession, name: str, make) -> list:
+    """What ``make`` fits to a fixed table, fitted once in an application."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
 def as_column(tree, value) -> Column:
     """The tree's prediction; ``value`` gives the column of a feature."""
     if isinstance(tree, float):
