@@ -72,17 +72,17 @@ _TOP_K = 10
 @query(
     "op1_bm25_top_k",
     f"""
-WITH words AS (SELECT doc_id, text, unnest(regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-/:-@\\[-`{{-\\x7f]+')) AS word
-               FROM (SELECT DISTINCT doc_id, text FROM documents)),
-  tf AS (SELECT doc_id, text, word, count(*) AS n FROM words GROUP BY ALL),
-  len AS (SELECT doc_id, text, sum(n) AS length FROM tf GROUP BY ALL),
+WITH words AS (SELECT place, doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-/:-@\\[-`{{-\\x7f]+')) AS word
+               FROM (SELECT row_number() OVER () AS place, doc_id, text FROM documents)),
+  tf AS (SELECT place, doc_id, word, count(*) AS n FROM words GROUP BY ALL),
+  len AS (SELECT place, sum(n) AS length FROM tf GROUP BY ALL),
   whole AS (SELECT (SELECT count(*) FROM documents) AS docs, (SELECT sum(length) FROM len) AS length),
   df AS (SELECT word, count(*) AS n FROM tf GROUP BY word),
-  q AS (SELECT doc_id AS query_id, word, ln((docs - df.n + 0.5) / (df.n + 0.5) + 1) AS idf
+  q AS (SELECT DISTINCT doc_id AS query_id, word, ln((docs - df.n + 0.5) / (df.n + 0.5) + 1) AS idf
         FROM tf JOIN df USING (word), whole WHERE doc_id % 100 = 0),
-  gains AS (SELECT query_id, tf.doc_id, CAST(round(idf * (tf.n * 2.2 / (tf.n + 1.2 * (0.25 + 0.75 * len.length / (whole.length / docs)))) * 1000000) AS BIGINT) AS gain
-            FROM q JOIN tf USING (word) JOIN len USING (doc_id, text), whole),
-  best AS (SELECT query_id, doc_id, sum(gain) AS units FROM gains GROUP BY ALL),
+  gains AS (SELECT query_id, place, tf.doc_id, CAST(round(idf * (tf.n * 2.2 / (tf.n + 1.2 * (0.25 + 0.75 * len.length / (whole.length / docs)))) * 1000000) AS BIGINT) AS gain
+            FROM q JOIN tf USING (word) JOIN len USING (place), whole),
+  best AS (SELECT query_id, place, doc_id, sum(gain) AS units FROM gains GROUP BY ALL),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY units DESC, doc_id) AS rank FROM best)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(units AS DOUBLE) / 1000000 AS score FROM ranked WHERE rank <= {_TOP_K}""",
 )
