@@ -421,6 +421,79 @@ def path_nodes(pairs: DataFrame, reached: DataFrame, edges: DataFrame | None = N
     return _union(done)
 
 
+def _tight(reached: DataFrame, edges: DataFrame, weight: str | None, directed: bool) -> DataFrame:
+    """(graph_id, source, u, v, weight): the arcs that lie on a shortest path.
+
+    Such an arc takes the distance of its tail to exactly that of its head; the
+    lightest of parallel arcs is the only one that can.
+    """
+    arcs = edges if directed else both_ways(edges)
+    least = F.min(weight) if weight else F.lit(1)
+    arcs = arcs.groupBy(GRAPH, "u", "v").agg(least.alias("_w")).where("u <> v")
+    tails = reached.select(GRAPH, "source", F.col("node").alias("u"), F.col("distance").alias("_du"))
+    heads = reached.select(GRAPH, "source", F.col("node").alias("v"), F.col("distance").alias("_dv"))
+    met = arcs.join(tails, [GRAPH, "u"]).join(heads, [GRAPH, "source", "v"])
+    return met.where(F.col("_dv") == F.col("_du") + F.col("_w")).select(GRAPH, "source", "u", "v", F.col("_w").alias("weight"))
+
+
+def all_shortest_paths(
+    pairs: DataFrame, reached: DataFrame, edges: DataFrame, weight: str | None = None, directed: bool = False, target: int = TARGET_ROWS
+) -> DataFrame:
+    """Every shortest path to the asked targets, as (graph_id, source, target, path).
+
+    ``reached`` is what ``shortest_paths`` or ``weighted_paths`` found on the
+    same edges, with the same ``weight`` and ``directed``. Paths are simple: where
+    edges of weight zero tie, a path still meets no node twice, and ends at its
+    source's first place. A round of joins lengthens all paths by a step, along
+    arcs laid out by their heads with salts for heads of very many.
+    """
+    tight = _tight(reached, edges, weight, directed)
+    # One group of arcs for each search; a step goes from a head to its tails.
+    search = F.struct(GRAPH, "source")
+    laid = _Arcs(tight.select(search.alias(GRAPH), F.col("v").alias("u"), F.col("u").alias("v")), target)
+    met = reached.select(GRAPH, "source", F.col("node").alias("target"))
+    asked = pairs.select(GRAPH, "source", "target").distinct().join(met, [GRAPH, "source", "target"])
+    open_ = asked.select(search.alias(GRAPH), F.col("target").alias("u"), F.array("target").alias("path"))
+    rounds = []
+    while True:
+        open_ = materialise(open_, "paths")
+        home = F.col("u") == F.col(f"{GRAPH}.source")
+        rounds.append(open_.where(home).select(f"{GRAPH}.*", F.element_at("path", -1).alias("target"), "path"))
+        more = open_.where(~home)
+        if more.isEmpty():
+            return _union(rounds).select(GRAPH, "source", "target", "path")
+        onward = laid.step(more).where(~F.array_contains("path", F.col("v")))
+        open_ = onward.select(GRAPH, F.col("v").alias("u"), F.concat(F.array("v"), "path").alias("path"))
+
+
+def shortest_path_counts(
+    reached: DataFrame, edges: DataFrame, weight: str | None = None, directed: bool = False, target: int = TARGET_ROWS
+) -> DataFrame:
+    """(graph_id, source, node, paths): the number of shortest paths, unlisted.
+
+    Counts are passed on along the shortest arcs, a step of all paths a round, and
+    summed over the rounds. Edges of weight zero are refused, because paths along
+    them may go round in circles.
+    """
+    tight = materialise(_tight(reached, edges, weight, directed), "tight")
+    if not tight.where("weight <= 0").isEmpty():
+        raise ValueError("paths over edges of weight zero can't be counted")
+    search = F.struct(GRAPH, "source")
+    laid = _Arcs(tight.select(search.alias(GRAPH), "u", "v"), target)
+    one = F.lit(1).cast("decimal(38,0)")
+    here = reached.where("node = source").select(search.alias(GRAPH), F.col("node").alias("u"), one.alias("paths"))
+    rounds = []
+    while True:
+        here = materialise(here, "counts")
+        if here.isEmpty():
+            break
+        rounds.append(here)
+        total = F.sum("paths").cast("decimal(38,0)").alias("paths")
+        here = laid.step(here).groupBy(GRAPH, F.col("v").alias("_v")).agg(total).withColumnRenamed("_v", "u")
+    total = F.sum("paths").cast("decimal(38,0)").alias("paths")
+    return _union(rounds).groupBy(GRAPH, "u").agg(total).select(f"{GRAPH}.*", F.col("u").alias("node"), "paths")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Component of every node, named by its smallest node id.
 

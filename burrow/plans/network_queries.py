@@ -398,6 +398,62 @@ def g7_walk_efficiency(spark, sf_dir):
     return rounded(out.select("session_id", "efficiency"), 6, "efficiency")
 
 
+# -- every shortest path of a directed, weighted graph: regions to order priorities -
+
+_SUPPLY = """supply AS (
+  SELECT 'R' || n_regionkey AS u, 'N' || n_nationkey AS v, 1.0 AS weight FROM nation
+  UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey, 1.0 + c_custkey % 3 FROM customer
+  UNION ALL SELECT 'C' || o_custkey, 'B' || left(o_orderpriority, 1), min(1.0 + o_orderkey % 4) FROM orders GROUP BY 1, 2),
+ways AS (SELECT a.u AS source, c.v AS target, [a.u, b.u, c.u, c.v] AS path, a.weight + b.weight + c.weight AS length
+  FROM supply a JOIN supply b ON b.u = a.v JOIN supply c ON c.u = b.v),
+least AS (SELECT source, target, min(length) AS length FROM ways GROUP BY ALL)"""
+
+
+def _supply(spark, sf_dir):
+    nations, customers, orders = (table(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
+
+    def name(letter, column):
+        return F.concat(F.lit(letter), column)
+
+    first = nations.select(name("R", "n_regionkey").alias("u"), name("N", "n_nationkey").alias("v"), F.lit(1.0).alias("weight"))
+    second = customers.select(name("N", "c_nationkey"), name("C", "c_custkey"), 1.0 + F.col("c_custkey") % 3)
+    third = orders.select(name("C", "o_custkey"), name("B", F.substring("o_orderpriority", 1, 1)), 1.0 + F.col("o_orderkey") % 4)
+    edges = first.union(second).union(third).groupBy("u", "v").agg(F.min("weight").alias("weight"))
+    edges = edges.select(g0().alias("graph_id"), "u", "v", "weight")
+    sources = table(spark, sf_dir, "region").select(g0().alias("graph_id"), name("R", "r_regionkey").alias("source"))
+    ends = orders.select(g0().alias("graph_id"), name("B", F.substring("o_orderpriority", 1, 1)).alias("target")).distinct()
+    return edges, sources, sources.join(ends, "graph_id")
+
+
+def _listed(paths):
+    return paths.select("source", "target", F.array_join("path", ">").alias("path"))
+
+
+@query("g4_all_weighted_paths", f"""WITH {_SUPPLY}
+SELECT source, target, array_to_string(path, '>') AS path FROM ways JOIN least USING (source, target, length)""")
+def g4_all_weighted_paths(spark, sf_dir):
+    edges, sources, pairs = _supply(spark, sf_dir)
+    reached = GR.weighted_paths(edges, sources, directed=True)
+    return _listed(GR.all_shortest_paths(pairs, reached, edges, "weight", directed=True))
+
+
+@query("g4_all_directed_paths", f"WITH {_SUPPLY} SELECT source, target, array_to_string(path, '>') AS path FROM ways")
+def g4_all_directed_paths(spark, sf_dir):
+    edges, sources, pairs = _supply(spark, sf_dir)
+    reached = GR.shortest_paths(edges, sources, directed=True)
+    return _listed(GR.all_shortest_paths(pairs, reached, edges, directed=True))
+
+
+@query("g4_weighted_path_counts", f"""WITH {_SUPPLY}
+SELECT source, target, CAST(count(*) AS BIGINT) AS paths FROM ways JOIN least USING (source, target, length) GROUP BY ALL""")
+def g4_weighted_path_counts(spark, sf_dir):
+    edges, sources, pairs = _supply(spark, sf_dir)
+    reached = GR.weighted_paths(edges, sources, directed=True)
+    counts = GR.shortest_path_counts(reached, edges, "weight", directed=True).withColumnRenamed("node", "target")
+    asked = pairs.join(counts, ["graph_id", "source", "target"])
+    return asked.select("source", "target", F.col("paths").cast("bigint").alias("paths"))
+
+
 # -- route efficiency: nodes 0 to 9 in a row, route from 0 to 3 --------------------
 
 def _route(spark, sf_dir) -> list[int]:

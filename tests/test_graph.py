@@ -107,6 +107,62 @@ def test_all_shortest_paths(spark):
     assert {r.target: r.length for r in GR.path_lengths(pairs, reached).collect()} == {"e": 3.0, "y": float("inf"), "a": 0.0}
 
 
+def simple_shortest(arcs, source, target):
+    """Every simple path of least weight, by looking at all simple paths."""
+    best, found = None, []
+
+    def walk(node, path, length):
+        nonlocal best, found
+        if best is not None and length > best:
+            return
+        if node == target:
+            if best is None or length < best:
+                best, found = length, []
+            found.append(path)
+            return
+        for v, w in arcs.get(node, {}).items():
+            if v not in path:
+                walk(v, [*path, v], length + w)
+
+    walk(source, [source], 0.0)
+    return sorted(found)
+
+
+@pytest.mark.parametrize("directed, weight, target", [(True, "weight", 2_000_000), (False, "weight", 2), (True, None, 2), (False, None, 2_000_000)])
+def test_every_shortest_path_equals_brute_force(spark, directed, weight, target):
+    rng = random.Random(31)
+    rows = [("g", *map(str, rng.sample(range(9), 2)), float(rng.choice([1, 2]))) for _ in range(36)]
+    rows += [(g, u, v, w + 1) for g, u, v, w in rows[:4]] + [("g", "x", "y", 1.0)]  # heavier parallel edges, a part of its own
+    arcs = defaultdict(dict)
+    for _, u, v, w in rows:
+        for a, b in ((u, v),) if directed else ((u, v), (v, u)):
+            arcs[a][b] = min(arcs[a].get(b, 9.0), w) if weight else 1.0
+    edges = table(spark, EDGES, rows)
+    sources = table(spark, "graph_id string, source string", [("g", "0"), ("g", "1")])
+    pairs = table(spark, "graph_id string, source string, target string", [("g", s, t) for s in "01" for t in "012345678y"])
+    reached = GR.weighted_paths(edges, sources, directed=directed) if weight else GR.shortest_paths(edges, sources, directed=directed)
+    got = defaultdict(list)
+    for r in GR.all_shortest_paths(pairs, reached, edges, weight, directed, target).collect():
+        got[r.source, r.target].append(r.path)
+    counts = {(r.source, r.node): int(r.paths) for r in GR.shortest_path_counts(reached, edges, weight, directed, target).collect()}
+    for s in "01":
+        for t in "012345678y":
+            want = simple_shortest(arcs, s, t)
+            assert sorted(got[s, t]) == want and counts.get((s, t), 0) == len(want), (s, t)
+    assert max(map(len, got.values())) > 1
+
+
+def test_paths_over_edges_of_weight_zero_are_simple(spark):
+    rows = [("g", "a", "b", 0.0), ("g", "b", "c", 0.0), ("g", "a", "c", 0.0), ("g", "c", "d", 1.0), ("g", "b", "d", 1.0)]
+    edges = table(spark, EDGES, rows)
+    reached = GR.weighted_paths(edges, table(spark, "graph_id string, source string", [("g", "a")]))
+    pairs = table(spark, "graph_id string, source string, target string", [("g", "a", "d"), ("g", "a", "a")])
+    found = sorted("".join(r.path) for r in GR.all_shortest_paths(pairs, reached, edges, "weight").collect())
+    assert found == ["a", "abcd", "abd", "acbd", "acd"]
+    with pytest.raises(ValueError):
+        GR.shortest_path_counts(reached, edges, "weight")
+
+
 def test_search_ends_at_its_targets(spark):
     edges = table(spark, EDGES, [("g", str(i), str(i + 1), 1.0) for i in range(8)])
     source = table(spark, "graph_id string, source string", [("g", "0")])
