@@ -9,7 +9,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_keep_what_they_should(spark):
@@ -24,7 +24,7 @@ def test_stages_keep_what_they_should(spark):
         elif name == "quality_rules":
             import public_tokenizers as p
 
-            judged = fertility.judged(before, p.path("byte_bpe_50k.json"), p.path("piece_bpe_32k.model"))
+            judged = fertility.judged(before, p.path("byte_bpe_50k.tiktoken"), p.path("piece_bpe_32k.model"))
             dropped = {r.doc_id for r in judged.where("NOT kept").collect()}
         elif name == "jaccard_join":
             dropped = {r.doc_id for r in forest_join.linked(before).where("doc_id <> class_id").collect()}
