@@ -46,14 +46,15 @@ def route_scores(
     strikes = max_strikes if strike_levels and max_strikes > 0 else 0
     seen = P.sequence_in_path(frames, paths, column, keys=keys, chunk_frames=chunk_frames)
     if isinstance(route, DataFrame):
-        # A node's first place on the route wins.
-        spots = route.where("pos IS NOT NULL").groupBy(*keys, F.col("node").cast("string").alias("_node"))
-        spots = spots.agg(F.min("pos").cast("int").alias("_spot"))
-        lasts = route.groupBy(*keys).agg(F.coalesce(F.max("pos").cast("int"), F.lit(-1)).alias("_last"))
-        seen = seen.withColumn("_node", F.col("value").cast("string")).join(spots, [*keys, "_node"], "left")
-        seen = seen.join(lasts, keys, "left").withColumn("_last", F.coalesce("_last", F.lit(-1)))
-        paths = paths.join(lasts, keys, "left").withColumn("_last", F.coalesce("_last", F.lit(-1)))
-        spot = F.coalesce("_spot", F.lit(-1))
+        # A route is short: one map per key, joined once. A node's first place wins.
+        nodes = route.groupBy(*keys, F.col("node").cast("string").alias("_node")).agg(F.min("pos").alias("_spot"), F.max("pos").alias("_top"))
+        entry = F.when(F.col("_spot").isNotNull() & F.col("_node").isNotNull(), F.struct("_node", F.col("_spot").cast("int")))
+        routes = nodes.groupBy(*keys).agg(
+            F.map_from_entries(F.collect_list(entry)).alias("_route"), F.coalesce(F.max("_top").cast("int"), F.lit(-1)).alias("_last")
+        )
+        seen = seen.join(routes, keys, "left").withColumn("_last", F.coalesce("_last", F.lit(-1)))
+        paths = paths.join(routes.drop("_route"), keys, "left").withColumn("_last", F.coalesce("_last", F.lit(-1)))
+        spot = F.coalesce(F.try_element_at("_route", F.col("value").cast("string")), F.lit(-1))
     else:
         spot = F.lit(-1)
         # Read backwards, so that a value's first place on the route wins.
