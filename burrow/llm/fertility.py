@@ -54,7 +54,7 @@ DIGITS = 3
 #: Rows of the band table that are broadcast at most.
 BROADCAST_ROWS = 200_000
 #: Words a worker remembers before it starts anew, between two batches.
-KNOWN = 300_000
+KNOWN = 150_000
 #: The band of a whole group, beside those of its length classes 0 to 63.
 WHOLE, CLASSES = -1, 64
 MIN_WORDS = 10

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
 
+import pyarrow as pa
+
 #: Words a worker remembers before it starts anew; bounds its memory.
 KNOWN_WORDS = 500_000
 
@@ -46,9 +49,12 @@ _kept: list = [None, None]
 
 def kept(key: tuple, make):
     """What ``make`` gives, kept by the worker from task to task until it needs
-    something else: one at a time, so that operators don't add up."""
+    something else: one at a time, so that operators don't add up. What the last
+    one leaves goes back to the system before the next one is made."""
     if _kept[0] != key:
         _kept[:] = [None, None]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _kept[:] = [key, make()]
     return _kept[1]
 
