@@ -99,24 +99,50 @@ def s16_walks_round_trip(spark, sf_dir):
     return back.select("target", F.array_join("path", ">").alias("path"))
 
 
-_SOURCES = [{"source": "frames", "pattern": r"\.parquet$"}, {"source": "film", "pattern": r"\.avi$"}]
+# A session is the orders of 25 customers; each status is a source with files of its
+# own format, which some sessions lack.
+_FORMATS = {"F": ("frames", "parquet", 4), "O": ("notes", "json", 3), "P": ("plan", "csv", 5)}
+_SOURCES = [{"source": source, "pattern": rf"\.{ending.upper()}$"} for source, ending, _ in _FORMATS.values()]
+_THERE = "kinds AS (SELECT DISTINCT o_custkey // 25 AS slot, o_orderstatus AS status FROM orders),\nthere AS (" + " UNION ALL ".join(
+    f"SELECT slot, '{source}' AS source FROM kinds WHERE status = '{status}' AND slot % {lacks} <> 0"
+    for status, (source, _, lacks) in _FORMATS.items()
+) + f"""),
+asked AS (SELECT slot, s.source FROM (SELECT DISTINCT slot FROM there), (VALUES {', '.join(f"('{x[0]}')" for x in _FORMATS.values())}) s(source))"""
 
 
 def _matched(spark, sf_dir):
     folder = _folder(spark, "sessions")
-    one = table(spark, sf_dir, "nation").select(F.concat(F.lit("session_"), "n_nationkey").alias("session"), "n_name", "n_regionkey")
-    one.repartition("session").write.partitionBy("session").parquet(folder)
+    orders = table(spark, sf_dir, "orders").select(
+        F.floor(F.col("o_custkey") / 25).alias("_slot"), F.col("o_orderstatus").alias("_status"), "o_orderkey", "o_totalprice"
+    )
+    for status, (_, ending, lacks) in _FORMATS.items():
+        rows = orders.where((F.col("_status") == status) & (F.col("_slot") % lacks != 0))
+        rows = rows.select(F.concat(F.lit("session_"), "_slot").alias("session"), "o_orderkey", "o_totalprice")
+        rows.repartition("session").write.mode("append").partitionBy("session").format(ending).save(folder)
     files = catalogue.files_under(spark, folder)
     return catalogue.matched_sources(catalogue.sessions_of(files), files, _SOURCES)
 
 
-@query("s2_matched_sources", """
-SELECT 'session=session_' || n_nationkey AS session_id, source, CAST(source = 'frames' AS BIGINT) AS found_count, source = 'frames' AS valid,
-  CASE source WHEN 'frames' THEN '' ELSE 'nothing found for film' END AS message FROM nation, (VALUES ('frames'), ('film')) s(source)""")
+@query("s2_matched_sources", f"""
+WITH {_THERE}
+SELECT 'session=session_' || a.slot AS session_id, a.source, CAST(t.slot IS NOT NULL AS BIGINT) AS found_count, t.slot IS NOT NULL AS valid,
+  CASE WHEN t.slot IS NOT NULL THEN '' ELSE 'nothing found for ' || a.source END AS message
+FROM asked a LEFT JOIN there t ON t.slot = a.slot AND t.source = a.source""")
 def s2_matched_sources(spark, sf_dir):
     return _matched(spark, sf_dir).select("session_id", "source", "found_count", "valid", "message")
 
 
-@query("s3_availability", "SELECT 'session=session_' || n_nationkey AS session_id, false AS valid, 'film' AS missing FROM nation")
+@query("s3_availability", f"""
+WITH {_THERE}
+SELECT 'session=session_' || a.slot AS session_id, bool_and(t.slot IS NOT NULL) AS valid,
+  coalesce(string_agg(a.source, ',' ORDER BY a.source) FILTER (WHERE t.slot IS NULL), '') AS missing
+FROM asked a LEFT JOIN there t ON t.slot = a.slot AND t.source = a.source GROUP BY a.slot""")
 def s3_availability(spark, sf_dir):
     return catalogue.availability(_matched(spark, sf_dir)).withColumn("missing", F.array_join("missing", ","))
+
+
+@query("s3_availability_totals", f"""
+WITH {_THERE}, per AS (SELECT a.slot, bool_and(t.slot IS NOT NULL) AS valid FROM asked a LEFT JOIN there t ON t.slot = a.slot AND t.source = a.source GROUP BY a.slot)
+SELECT count(*) AS sessions, count(*) FILTER (WHERE valid) AS valid_sessions, round(avg(CASE WHEN valid THEN 100.0 ELSE 0.0 END), 6) AS valid_rate FROM per""")
+def s3_availability_totals(spark, sf_dir):
+    return rounded(catalogue.availability_totals(catalogue.availability(_matched(spark, sf_dir))), 6, "valid_rate")
