@@ -1,13 +1,15 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 Every distinct set of five-word shingles gets a signature for each of
-``TREES`` sorted prefix tries. Sets that share a prefix of a trie are
-candidates; they are tied to the first set of their trie node, never paired
-with each other. The prefix starts at the longest length whose expected recall
-at the threshold itself is ``START`` and is shortened until the estimated
-recall reaches ``TARGET``: a link found by a shared prefix stands for one over
-the expected recall at its similarity, so that links whose texts never became
-candidates are counted too. Candidates that hang together are
+``TREES`` sorted prefix tries. Sets that share a prefix of a trie are compared
+inside their trie node by all values of their signatures, in blocks of bounded
+size; those that agree too little for the threshold (a chance of ``LOST`` at
+the threshold itself) are no candidates, so texts that merely share a passage
+don't hang together. The prefix starts at the longest length whose expected
+recall at the threshold itself is ``START`` and is shortened until the
+estimated recall reaches ``TARGET``: a link found by a shared prefix stands for
+one over the expected recall at its similarity, so that links whose texts never
+became candidates are counted too. Candidates that hang together are
 compared exactly, in blocks of bounded size: a group too large for one task is
 cut into blocks, and every pair of its blocks is a task. Tasks hand on sums of
 links and spanning ties, not pairs.
@@ -21,11 +23,12 @@ id link to nothing. Rows that repeat an id are documents of their own.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +42,10 @@ SHINGLE = 5
 THRESHOLD = Fraction(4, 5)
 TREES, LEVELS = 16, 8  # a level is two bytes of a path
 START, TARGET = 0.9999, 0.999
+#: Chance that two signatures of texts at the threshold agree too little.
+LOST = 1e-9
+#: Sets of one block of a trie node.
+NODE_ROWS = 4_000
 #: Shingles of one block of a candidate group.
 BLOCK_SHINGLES = 400_000
 #: Texts of one block of a candidate group: short ones have few shingles.
@@ -112,52 +119,105 @@ def first_depth(threshold: Fraction = THRESHOLD) -> int:
     return next((d for d in range(LEVELS, 1, -1) if expected_recall(d, float(threshold)) >= START), 1)
 
 
-def _ties(batches, depth: int):
-    """Rows sorted by (tree, path): ties every set to the first of its trie
-    node, and gives the first and last node of the partition."""
-    first = last = head = None
-    for batch in batches:
-        keys = [b"%c%b" % (t, p[: 2 * depth]) for t, p in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True)]
-        nodes = batch.column(2).to_pylist()
-        u, v = [], []
-        for key, node in zip(keys, nodes, strict=True):
-            if key != last:
-                last, head = key, node
-                first = first or (key, node)
-            elif node != head:
-                u.append(node)
-                v.append(head)
-        yield _tie_rows(u, v)
-    if first:
-        yield _tie_rows([first[1]], [head], [(TaskContext.get().partitionId(), first[0], last)])
-
-
-def _tie_rows(u, v, borders=None):
-    at, first, last = zip(*borders, strict=True) if borders else ([None] * len(u),) * 3
-    return pa.RecordBatch.from_arrays(
-        [pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(at, pa.int32()), pa.array(first, pa.binary()), pa.array(last, pa.binary())],
-        names=["u", "v", "at", "first", "last"],
-    )
+def least_agreement(threshold: Fraction = THRESHOLD) -> int:
+    """The most equal values that two signatures at the threshold have, but for
+    a chance of LOST: each value agrees with the chance of the similarity."""
+    t, n = float(threshold), TREES * LEVELS
+    below = itertools.accumulate(math.comb(n, k) * t**k * (1 - t) ** (n - k) for k in range(n + 1))
+    return sum(1 for chance in below if chance <= LOST)
 
 
-def candidates(sets: DataFrame, depth: int) -> DataFrame:
-    """``u, v``: sets tied to the first set of a trie node of ``depth``."""
+def _shared(batches, depth: int):
+    """Rows sorted by (tree, path): trie node and set, where a trie node has
+    several sets or may go on in a neighbouring partition."""
+    last = lone = None
+    for batch in batches:
+        at, nodes = [], []
+        keys = (b"%c%b" % (t, p[: 2 * depth]) for t, p in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True))
+        for row in zip(keys, batch.column(2).to_pylist(), strict=True):
+            if row[0] != last and last is not None:
+                last, lone = row[0], row
+                continue
+            for key, node in filter(None, (lone, row)):
+                at.append(key)
+                nodes.append(node)
+            last, lone = row[0], None
+        yield _binary_rows(at=at, _node=nodes)
+    if lone:
+        yield _binary_rows(at=[lone[0]], _node=[lone[1]])
+
+
+def _binary_rows(**columns):
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns.values()], names=list(columns))
+
+
+def _runs(batches, keys: int):
+    """The rows of each run of equal first ``keys`` columns, as lists of the
+    other columns."""
+    held, now = [], None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != now and held:
+                yield held
+                held = []
+            now = row[:keys]
+            held.append(row[keys:])
+    if held:
+        yield held
+
+
+def _tied(rows: list[tuple[bytes, bytes]], least: int) -> list[tuple[bytes, bytes]]:
+    """(set, first set of those it hangs together with) over pairs whose
+    signatures have ``least`` equal values. What has been reached is not
+    compared again, so many near copies take one comparison each."""
+    values = np.frombuffer(b"".join(s for _, s in rows), np.uint16).reshape(len(rows), -1)
+    rest, left, ties = np.arange(len(rows)), values, []
+    while len(rest) > 1:
+        head, todo = rest[0], [rest[0]]
+        rest, left = rest[1:], left[1:]
+        while todo and len(rest):
+            near = np.count_nonzero(left == values[todo.pop()], axis=1) >= least
+            if near.any():
+                found = rest[near]
+                todo.extend(found)
+                ties += [(rows[k][0], rows[head][0]) for k in found]
+                rest, left = rest[~near], left[~near]
+    return ties
+
+
+def candidates(sets: DataFrame, depth: int, threshold: Fraction = THRESHOLD, node_rows: int = NODE_ROWS) -> DataFrame:
+    """``u, v``: ties between sets that share a trie node of ``depth`` and whose
+    signatures agree. A trie node of more than ``node_rows`` sets is cut into
+    blocks, and every pair of its blocks is compared by itself."""
+    least = least_agreement(threshold)
     rows = sets.select(F.posexplode("_paths").alias("tree", "path"), "_node")
-    ties = materialise(
+    shared = materialise(
         rows.repartitionByRange("tree", "path", "_node")
         .sortWithinPartitions("tree", "path", "_node")
-        .mapInArrow(lambda b: _ties(b, depth), "u binary, v binary, at int, first binary, last binary"),
-        "ties",
+        .mapInArrow(lambda b: _shared(b, depth), "at binary, _node binary"),
+        "shared",
     )
-    # A node that goes on in the next partition: one row per partition.
-    order = Window.orderBy("at")
-    borders = (
-        ties.where("at IS NOT NULL")
-        .withColumns({"before": F.lag("last").over(order), "head": F.lag("v").over(order)})
-        .where("before = first")
-        .select("u", F.col("head").alias("v"))
+    several = (
+        shared.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        .select("at", F.ceil(F.col("n") / node_rows).cast("int").alias("blocks"))
+    )
+    signatures = sets.select("_node", F.concat(*[F.col("_paths")[k] for k in range(TREES)]).alias("signature"))
+    block = F.pmod(F.xxhash64("_node"), "blocks").cast("int")
+    dealt = (
+        shared.join(several, "at").join(signatures, "_node")
+        .select("*", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("at", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "_node", "signature")
+    )
+
+    def compare(batches):
+        for run in _runs(batches, 3):
+            ties = _tied(run, least)
+            if ties:
+                yield _binary_rows(u=[t[0] for t in ties], v=[t[1] for t in ties])
+
+    return (
+        dealt.repartition("at", "i", "j").sortWithinPartitions("at", "i", "j").mapInArrow(compare, "u binary, v binary").distinct()
     )
-    return ties.where("at IS NULL").select("u", "v").unionByName(borders)
 
 
 def _verified(batches, depth: int, threshold: Fraction):
@@ -257,7 +317,7 @@ def block_counts(members: DataFrame, block_shingles: int = BLOCK_SHINGLES, block
 
 def _links(docs: DataFrame, sets: DataFrame, depth: int, threshold: Fraction, block_shingles: int) -> DataFrame:
     """Verified links of every set, as sums and spanning ties."""
-    groups = materialise(components(candidates(sets, depth)).withColumnsRenamed({"u": "_node", "component": "group"}), "groups")
+    groups = materialise(components(candidates(sets, depth, threshold)).withColumnsRenamed({"u": "_node", "component": "group"}), "groups")
     members = sets.join(groups, "_node")
     blocks = block_counts(members, block_shingles)
     wanted = members.join(blocks, "group").select("doc_id", "_text", "_node", "_paths", "copies", "group", "blocks")

@@ -5,6 +5,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,7 +193,7 @@ def test_blocks_of_short_texts_are_bounded(spark):
     assert peak < 150 << 20
 
 
-def test_runs_over_partition_borders(spark, documents):
+def test_trie_nodes_over_partition_borders(spark, documents):
     rows = [(i, "one and the same long text for all of them " + ("x " if i % 2 else "y ")) for i in range(60)]
     marks = forest_join.signed(documents(rows)).where("_node IS NOT NULL").withColumnRenamed("_text", "t")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -201,6 +202,71 @@ def test_runs_over_partition_borders(spark, documents):
         assert ties.where("u = v").count() == 0
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # One trie node in three partitions, a lone set at either end of one.
+    parts = [[(b"aa", 1), (b"ab", 2)], [(b"ab", 3)], [(b"ab", 4), (b"ac", 5), (b"ad", 6), (b"ad", 7), (b"ae", 8)]]
+    got = []
+    for part in parts:
+        table = pa.RecordBatch.from_arrays(
+            [pa.array([0] * len(part)), pa.array([p for p, _ in part], pa.binary()), pa.array([b"%d" % n for _, n in part], pa.binary())],
+            names=["tree", "path", "_node"],
+        )
+        # Every row a batch of its own.
+        batches = (table.slice(k, 1) for k in range(table.num_rows))
+        got += [r["_node"] for out in forest_join._shared(batches, 1) for r in out.to_pylist()]
+    assert sorted(got) == [b"1", b"2", b"3", b"4", b"6", b"7", b"8"]
+
+
+def test_signatures_at_the_threshold_agree():
+    least = forest_join.least_agreement()
+    assert 60 < least < 80
+    assert forest_join.least_agreement(Fraction(9, 10)) > least > forest_join.least_agreement(Fraction(1, 2))
+    draw = random.Random(9)
+    for _ in range(3000):
+        one, two = (np.frombuffer(b"".join(forest_join.paths(s)), np.uint16) for s in pair_at_the_threshold(draw))
+        assert (one == two).sum() >= least
+
+
+def sharing_a_passage(many, words, common, seed):
+    draw = random.Random(seed)
+    passage = [f"p{k}" for k in range(common)]
+    return [(i, " ".join(passage + [f"{draw.getrandbits(40):x}" for _ in range(words - common)])) for i in range(many)]
+
+
+def test_texts_that_share_a_passage_make_no_group(documents):
+    # A third of 300 words in common: a similarity of about 0.2 everywhere.
+    rows = sharing_a_passage(1000, 300, 100, 11)
+    sets = forest_join.signed(documents(rows)).withColumn("copies", F.lit(1)).persist()
+    depth = forest_join.first_depth()
+    trie_nodes = sets.select(F.posexplode("_paths").alias("tree", "path"), "_node").groupBy(
+        "tree", F.substring("path", 1, 2 * depth)
+    ).count()
+    assert trie_nodes.agg(F.max("count")).first()[0] > 5
+    assert forest_join.candidates(sets, depth).count() == 0
+    # A low threshold asks for such pairs, and cut trie nodes find the same groups.
+    low = Fraction(1, 10)
+    whole, cut = (
+        Counter(map(tuple, components(forest_join.candidates(sets, depth, low, n)).collect())) for n in (4000, 7)
+    )
+    assert whole == cut and whole
+
+
+def test_recall_of_near_copies(documents):
+    # Pairs of 0.80 to 0.85 in a crowd that shares a passage.
+    rows, pairs = sharing_a_passage(300, 200, 60, 12), []
+    draw = random.Random(13)
+    for k in range(300):
+        words = rows[k][1].split()
+        # A word in the middle changed costs five shingles of 196 on each side.
+        for at in draw.choice([(70, 80, 90, 100), (70, 90, 110), (120, 150, 180)]):
+            words[at] = f"n{draw.getrandbits(40):x}"
+        rows.append((1000 + k, " ".join(words)))
+        pairs.append((k, 1000 + k))
+    got = {r.doc_id: r.class_id for r in forest_join.linked(documents(rows)).collect()}
+    want = {i: (c, n) for i, c, n in brute_links(rows)}
+    close = [(a, b) for a, b in pairs if want[b][0] == a]
+    assert len(close) == 300
+    assert sum(got[b] == a for a, b in close) >= 0.99 * len(close)
+    assert all(got[i] == i for i, (c, n) in want.items() if not n)
 
 
 def test_components(spark):
