@@ -16,6 +16,9 @@ from pyspark.sql.types import StructField, StructType
 RAW = "_burrow_raw"
 #: Documents handled at once inside a task.
 SLICE = 512
+#: Rows of a batch on its way to Python and back: two slices of documents.
+BATCH = 2 * SLICE
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def raw_text(column: str = "text") -> Column:
@@ -23,6 +26,16 @@ def raw_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def small_batches(frame: DataFrame) -> DataFrame:
+    """Lets the session send at most ``BATCH`` rows at once, because rows hold
+    whole texts; neither the JVM nor a worker has to hold more of them. A
+    smaller setting stays."""
+    conf = frame.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_SETTING)) <= BATCH:
+        conf.set(_BATCH_SETTING, str(BATCH))
+    return frame
+
+
 def scan(
     docs: DataFrame,
     keep: list[str],
@@ -36,7 +49,7 @@ def scan(
     to one array per field, or to (arrays, mask) where the mask drops rows.
     Rows stay in their partition.
     """
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], raw_text(text).alias(RAW))
+    source = small_batches(docs).select(*[F.col(f"`{c}`") for c in keep], raw_text(text).alias(RAW))
     kept = [docs.schema[c] for c in keep]
     names = [*keep, *[f.name for f in fields]]
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burrow.llm.common import labels_of, raw_text, remainder, scan
+from burrow.llm.common import labels_of, raw_text, remainder, scan, small_batches
 from burrow.llm.quality import isotonic
 from burrow.llm.tokens import KnownWords
 from burrow.session import materialise
@@ -117,7 +117,7 @@ def _samples(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
             some = some.orderBy(F.xxhash64(F.lit(1), "doc_id")).limit(bound)
             chosen = some if chosen is None else chosen.unionByName(some)
     # At most 4 * bound ids of eight bytes.
-    found = docs.select("doc_id", raw_text().alias("raw")).join(F.broadcast(chosen), "doc_id")
+    found = small_batches(docs).select("doc_id", raw_text().alias("raw")).join(F.broadcast(chosen), "doc_id")
 
     def marked(batches):
         for batch in batches:

@@ -5,10 +5,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from burrow.llm import bpe, fertility, packing
+from burrow.llm import bpe, common, fertility, packing
 from burrow.llm.tokens import library_words
 from tests.llm.conftest import ODD
 
@@ -235,3 +238,22 @@ def test_a_language_has_bands_of_its_own_among_many(spark, documents):
     rows += [(5000 + k, " ".join(f"{'ab' * (j % 5 + 3)}{k}x{j}" for j in range(40)), "rare") for k in range(fertility.ENOUGH)]
     got = fertility.judged(documents(rows), BYTE, PIECE).where("doc_id >= 5000").collect()
     assert len(got) == fertility.ENOUGH and sum(r.kept for r in got) >= fertility.ENOUGH - 3
+
+
+def test_batches_are_small_and_smaller_settings_stay(spark, documents):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    rows = documents([(k, "a b c") for k in range(3000)]).coalesce(1)
+
+    def largest():
+        kind = T.StructField("n", T.LongType())
+        seen = common.scan(rows, [], [kind], lambda: lambda texts: [pa.array([len(texts)] * len(texts))])
+        return seen.agg(F.max("n"), F.count("n")).first()
+
+    try:
+        for value, after in (("10000", str(common.BATCH)), ("0", str(common.BATCH)), ("100", "100")):
+            spark.conf.set(key, value)
+            assert tuple(largest()) == (min(common.SLICE, int(after)), 3000)
+            assert spark.conf.get(key) == after
+    finally:
+        spark.conf.set(key, before)
