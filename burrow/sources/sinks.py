@@ -43,15 +43,18 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 def write_frames(frames: DataFrame, path: str, chunk_frames: int = CHUNK_FRAMES) -> None:
     """Frame table in a folder per session, in frame order within files.
 
-    Rows are spread by session and chunk, so a long session is written by many
-    tasks and a short one by one.
+    Rows are dealt by ranges of (session, chunk), so a long session is written by
+    many tasks and a short one by one, as one file unless a range ends in it.
+    Each task commits its own files, or the driver would move them one by one.
     """
+    ranges = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
         frames.transform(with_chunk, "frame_number", chunk_frames)
-        .repartition("session_id", CHUNK)
+        .repartitionByRange(ranges, "session_id", CHUNK)
         .sortWithinPartitions("session_id", "frame_number")
         .drop(CHUNK)
         .write.partitionBy("session_id")
+        .option("mapreduce.fileoutputcommitter.algorithm.version", "2")
         .parquet(path)
     )
 

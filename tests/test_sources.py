@@ -271,6 +271,19 @@ def test_frames_and_walks_written(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "w" / "statistics")).first().success_rate == 1.0
 
 
+def test_short_sessions_are_one_file(spark, tmp_path):
+    n = F.col("id")
+    frames = spark.range(2_000).select((n % 50).alias("session_id"), F.floor(n / 50).alias("frame_number"))
+    sinks.write_frames(frames, str(tmp_path / "f"), chunk_frames=8)
+    files = [len(list(folder.glob("*.parquet"))) for folder in (tmp_path / "f").glob("session_id=*")]
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(files) == 50 and sum(files) <= 50 + ranges - 1
+    assert spark.read.parquet(str(tmp_path / "f")).distinct().count() == 2_000
+    one = spark.range(2_000).select(F.lit(0).alias("session_id"), n.alias("frame_number"))
+    sinks.write_frames(one, str(tmp_path / "g"), chunk_frames=8)
+    assert len(list((tmp_path / "g" / "session_id=0").glob("*.parquet"))) > 1
+
+
 def test_builder_mismatches(spark):
     stored = spark.createDataFrame([("a", "tree", {"height": "3"}), ("b", "tree", {"height": "3"}), ("c", "tree", {"height": "3"})], "map_id string, builder string, params map<string,string>")
     now = spark.createDataFrame([("a", "star", {"n": "4"}), ("b", "tree", {"height": "4"}), ("c", "tree", {"height": "3"})], "map_id string, builder string, params map<string,string>")
