@@ -17,9 +17,9 @@ from burrow.sources import sinks, tables
 
 @query("s1_natural_session_order", "SELECT 'session_' || c_custkey AS session_id, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer")
 def s1_natural_session_order(spark, sf_dir):
-    names = table(spark, sf_dir, "customer").select(F.concat(F.lit("session_"), "c_custkey").alias("session_id"), F.lit(0).alias("_all"))
+    names = table(spark, sf_dir, "customer").select(F.concat(F.lit("session_"), "c_custkey").alias("session_id"))
     order = [F.to_json(F.array(M.natural_key("session_id"))), F.col("session_id")]
-    return with_ordinal(names, ["_all"], order, "pos").drop("_all")
+    return with_ordinal(names, [], order, "pos")
 
 
 @query("s4_long_pose", with_ctes("pose") + """

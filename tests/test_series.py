@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from burrow.functions import angles as A
+from burrow.operators import chunks
 from burrow.operators import frames as FR
 from burrow.operators import metrics as M
 from burrow.operators import series as S
@@ -127,6 +128,25 @@ def test_ordinals_of_a_hot_key(spark):
         assert sorted(got[key]) == [(n, *w) for n, w in enumerate(want)]
 
 
+@pytest.mark.parametrize("target, spread", [(2_000, True), (1 << 20, False)])
+def test_ordinals_write_hot_keys_only(spark, monkeypatch, target, spread):
+    rows = [("hot", i % 7, i) for i in range(3000)] + [(k, -i, i) for k in ("a", "b", None) for i in range(50)]
+    df = table(spark, "k string, t int, id bigint", rows).repartition(5)
+    written = []
+    kept = chunks.materialise
+    monkeypatch.setattr(chunks, "materialise", lambda d, label: written.extend([label, d.select("k").distinct().count()]) or kept(d, label))
+    out = with_ordinal(df, ["k"], ["t", "id"], "n", target=target)
+    assert written == (["ordered", 1] if spread else [])
+    if not spread:
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.k, []).append((r.n, r.t, r.id))
+    assert {k: sorted(v) for k, v in got.items()} == {
+        key: [(n, *w) for n, w in enumerate(sorted((t, i) for k, t, i in rows if k == key))] for key in ("hot", "a", "b", None)
+    }
+
+
 def test_salted_join_keeps_every_row(spark):
     big = table(spark, "k string, i bigint", [("hot", i) for i in range(500)] + [("b", 1), ("lonely", 2)])
     small = table(spark, "k string, w int", [("hot", 1), ("hot", 2), ("b", 3)])
