@@ -186,6 +186,31 @@ def _won_in_rows(points: DataFrame, regions: DataFrame, order: Callable, x: str,
     ).drop(*[f"_held{k}" for k in range(len(used))], *[f"_open{k}" for k in range(len(used))])
 
 
+def _won_by_map(
+    points: DataFrame, regions: DataFrame, keys: Sequence[str], order: Callable, x: str, y: str, target: int, most: int
+) -> DataFrame:
+    """The same for any number of maps: a map of at most ``CROWDED`` regions is
+    one row with its regions as an array, which its points are sent to once."""
+    held = F.struct(*REGION)
+    lists = regions.select(MAP, *REGION)
+    if most > CROWDED:  # nothing of a crowded map is collected but that it is one
+        few = F.count("*").over(Window.partitionBy(MAP)) <= CROWDED
+        lists, held = lists.withColumn("_few", few), F.when(F.col("_few"), held)
+    else:
+        lists = lists.withColumn("_few", F.lit(True))
+    lists = lists.groupBy(MAP).agg(F.collect_list(held).alias("_held"), (~F.bool_and("_few")).alias("_open"))
+    met = salted_join(points, lists, [MAP], [c for c in (*keys, x, y) if c != MAP], "left", target)
+    px, py = F.col(x), F.col(y)
+    met = met.withColumn("_hits", F.filter("_held", lambda r: G.contains(px, py, lambda c: r[c]))).drop("_held")
+    return met.withColumns(
+        {
+            "_won": F.array_min(F.transform("_hits", lambda r: _ranked(order, px, py, r))),
+            "_n": F.greatest(F.coalesce(F.size("_hits"), F.lit(0)), F.lit(0)),
+            "_open": F.coalesce("_open", F.lit(False)),
+        }
+    ).drop("_hits")
+
+
 def _won_by_shuffle(
     points: DataFrame, regions: DataFrame, keys: Sequence[str], order: Callable, x: str, y: str, target: int, broadcast_bytes: int, grid
 ) -> DataFrame:
@@ -214,10 +239,10 @@ def located(
 ) -> DataFrame:
     """One row per point with graph_node or the edge graph_u–graph_v.
 
-    ``keys`` identify a point. Where a count shows that the map is small enough
-    to broadcast, a point meets the regions of its cells inside its row; points
-    of cells with more than ``CROWDED`` regions, and maps beyond the bound, go
-    the way over a join.
+    ``keys`` identify a point. Where a count shows that the maps are small enough
+    to broadcast, a point meets the regions of its cells inside its row; beyond
+    the bound it meets those of its map, after one shuffle. Only points of cells
+    or maps with more than ``CROWDED`` regions are repeated per grid level.
     """
     if isinstance(rule, str) and rule not in RULES:
         raise ValueError(f"unknown conflict rule {rule!r}, known: {sorted(RULES)}")
@@ -227,12 +252,13 @@ def located(
     used, size, most = grid = grid_statistics(regions)
     by_shuffle = (regions, keys, order, x, y, target, broadcast_bytes, grid)
     if size > broadcast_bytes:
-        won = _won_by_shuffle(asked, *by_shuffle)
+        most = regions.groupBy(MAP).count().agg(F.max("count")).first()[0] or 0
+        won = _won_by_map(asked, regions, keys, order, x, y, target, most)
     else:
         won = _won_in_rows(asked, regions, order, x, y, used, most)
-        if most > CROWDED:
-            rest = won.where("_open").drop("_won", "_n", "_open")
-            won = won.where("NOT _open").drop("_open").unionByName(_won_by_shuffle(rest, *by_shuffle))
+    if most > CROWDED:
+        rest = won.where("_open").drop("_won", "_n", "_open")
+        won = won.where("NOT _open").drop("_open").unionByName(_won_by_shuffle(rest, *by_shuffle))
     node = F.col("_won.node_id")
     if rule == "raise_error":
         # In a filter, so that it acts whichever columns are read.

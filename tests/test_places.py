@@ -116,6 +116,22 @@ def test_small_maps_leave_the_points_where_they_are(scene, spark):
     assert " Exchange " not in plan and "Generate" not in plan
 
 
+def test_points_of_many_maps_are_sent_once(scene, spark):
+    _, _, points, regions = scene
+    out = L.located(points, regions, ["id"], "nearest_center", broadcast_bytes=0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # not once per grid level
+
+
+@pytest.mark.parametrize("crowded, target", [(3, 1 << 20), (1 << 20, 20)])
+def test_maps_beyond_the_bound_win_alike(scene, spark, monkeypatch, crowded, target):
+    _, _, points, regions = scene
+    want = sorted(map(str, L.located(points, regions, ["id"], "smallest_region").collect()))
+    monkeypatch.setattr(L, "CROWDED", crowded)
+    got = L.located(points, regions, ["id"], "smallest_region", target=target, broadcast_bytes=0)
+    assert sorted(map(str, got.collect())) == want
+
+
 def test_directions_bound_every_shape(spark):
     rows = random_regions(random.Random(5))
     regions = G.measured(table(spark, SCHEMA, rows))
