@@ -35,7 +35,8 @@ def _arrivals(spark, sf_dir) -> str:
         folder = f"{work_folder(spark)}/live-in-{uuid.uuid4().hex}"
         slot = F.least(F.floor((F.col("_arrival") - span.low) * SLICES / F.greatest(F.lit(span.high - span.low), F.lit(1))), F.lit(SLICES - 1))
         for k in range(SLICES):  # the stream reads files by their time of writing
-            arrived.where(slot == k).drop("_arrival").write.mode("append").parquet(folder)
+            # As many files as a batch reads at most, so that the batches don't grow with the input.
+            arrived.where(slot == k).drop("_arrival").coalesce(FILES).write.mode("append").parquet(folder)
         late = F.lit(span.last) + F.expr("INTERVAL 60 DAYS")
         beat = arrived.limit(1).withColumns({"frame_number": F.lit(None).cast("bigint"), "ts": late}).drop("_arrival")
         beat.write.mode("append").parquet(folder)

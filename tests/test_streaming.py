@@ -1,11 +1,13 @@
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from burrow.operators import paths as P
 from burrow.operators import series as S
+from burrow.plans import live_queries
 from burrow.streaming import live
 
 SCHEMA = "session_id string, frame_number bigint, ts timestamp, state string, v double"
@@ -113,3 +115,11 @@ def test_an_idle_session_is_forgotten(spark, tmp_path):
     assert found(got) == [("x", 0, 0, 1), ("x", 0, 200, 201)] and states[-1] == 0
     kept = live.live_transitions(stream, "state", "a", "state", "b", delay="10 seconds")
     assert found(drained(spark, kept, "kept_paths", tmp_path)[0]) == [("x", 0, 0, 1), ("x", 1, 3, 201)]
+
+
+def test_a_batch_reads_a_slice(spark, monkeypatch):
+    monkeypatch.setattr(live_queries, "FILES", 2)
+    monkeypatch.setattr(live_queries, "_folders", {})
+    folder = Path(live_queries._arrivals(spark, "/root/testdata/sf0.001").removeprefix("file:"))
+    assert len(list(folder.glob("*.parquet"))) <= 2 * live_queries.SLICES + 1
+    assert spark.read.parquet(str(folder)).where("frame_number IS NOT NULL").count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
