@@ -1,4 +1,5 @@
 import heapq
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -107,6 +108,32 @@ def test_all_shortest_paths(spark):
     assert {r.target: r.length for r in GR.path_lengths(pairs, reached).collect()} == {"e": 3.0, "y": float("inf"), "a": 0.0}
 
 
+def test_listed_paths_are_written_as_beginnings_only(spark, monkeypatch):
+    """Layers of three nodes, each linked to all of the next: 3 to the power of the distance paths."""
+    layers = [["s"], *[[f"{i}{c}" for c in "abc"] for i in range(4)], ["t"], ["far"]]
+    edges = table(spark, EDGES, [("g", u, v, 1.0) for a, b in zip(layers, layers[1:]) for u in a for v in b])
+    reached = GR.shortest_paths(edges, table(spark, "graph_id string, source string", [("g", "s")]))
+    pairs = table(spark, "graph_id string, source string, target string", [("g", "s", n) for n in ("t", "2b", "s", "none")])
+    sizes = []
+    kept = GR.materialise
+
+    def counted(df, label):
+        out = kept(df, label)
+        if label == "paths":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(GR, "materialise", counted)
+    got = {}
+    for r in GR.path_nodes(pairs, reached, edges).collect():
+        got.setdefault(r.target, []).append("".join(r.path))
+    ways = ["s" + "".join(w) for w in itertools.product(*layers[1:5])]
+    assert sorted(got["t"]) == sorted(w + "t" for w in ways)
+    assert sorted(got["2b"]) == sorted("s" + "".join(w) + "2b" for w in itertools.product(*layers[1:3]))
+    assert got["s"] == ["s"] and set(got) == {"t", "2b", "s"}
+    assert sizes == [1, 3, 9, 27, 81]
+
+
 def simple_shortest(arcs, source, target):
     """Every simple path of least weight, by looking at all simple paths."""
     best, found = None, []
