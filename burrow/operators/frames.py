@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from burrow.functions import angles as A
 from burrow.functions.projective import inverse, project
-from burrow.operators.chunks import CHUNK_FRAMES, chunk_window, keep_home, with_halo
+from burrow.operators.chunks import CHUNK_FRAMES, chunk_window, keep_home, same_keys, with_halo
 from burrow.operators.skew import salted_join
+from burrow.session import materialise
 
 LIKELIHOOD = 0.3
 KEYS = ("session_id",)
@@ -177,14 +178,26 @@ def mean_over_units(traces: DataFrame, function: str = "mean", keys: Sequence[st
 def modulated_footprints(frames: DataFrame, traces: DataFrame, contours: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Contour and activity of every unit in every frame; no activity counts as 0.
 
-    Each frame meets the contours of its own session; long sessions are salted.
+    Each frame meets the units of its own session; long sessions are salted. Only
+    frames are joined by shuffle, with their active units as an array: pairs of a
+    frame and a unit arise behind that, and get their contour where they arise.
     """
     keys = list(keys)
-    grown = salted_join(frames.select(*keys, FRAME), contours.select(*keys, "unit_id", "contour"), keys, [FRAME])
-    activity = traces.select(*keys, FRAME, "unit_id", F.col("c").alias("activity"))
-    return grown.join(activity, [*keys, FRAME, "unit_id"], "left").withColumn(
-        "activity", F.coalesce("activity", F.lit(0.0))
+    contours = materialise(contours.select(*keys, "unit_id", "contour"), "contours")
+    # In structs, because lists leave out a bare NULL.
+    listed = F.transform(F.collect_list(F.struct("unit_id")), lambda s: s["unit_id"])
+    units = contours.groupBy(*keys).agg(F.array_distinct(listed).alias("_units"))
+    entry = F.struct("unit_id", F.coalesce("c", F.lit(0.0)).alias("activity"))
+    active = traces.where("unit_id IS NOT NULL").groupBy(*keys, FRAME).agg(F.collect_list(entry).alias("_active"))
+    grown = salted_join(frames.select(*keys, FRAME).join(active, [*keys, FRAME], "left"), units, keys, [FRAME])
+    seen = F.coalesce("_active", F.array().cast(active.schema["_active"].dataType))
+    silent = F.transform(
+        F.array_except("_units", F.transform(seen, lambda s: s["unit_id"])),
+        lambda u: F.struct(u.alias("unit_id"), F.lit(0.0).alias("activity")),
     )
+    pairs = grown.select(*keys, FRAME, F.inline(F.concat(seen, silent)))
+    met = pairs.alias("a").join(contours.alias("b"), same_keys([*keys, "unit_id"]))
+    return met.select(*[f"a.{k}" for k in keys], f"a.{FRAME}", "a.unit_id", "contour", "activity")
 
 
 def footprint_mask(footprints: DataFrame, percentile: float = 50.0, keys: Sequence[str] = KEYS) -> DataFrame:

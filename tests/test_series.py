@@ -247,3 +247,27 @@ def test_rows_not_frames_are_counted_over_gaps(spark, chunk):
     turned = {r.frame_number: r.unwrapped for r in S.unwrap(df.withColumn("a", F.col("x") * 170), "a", "frame_number", chunk_frames=chunk).collect()}
     for a, b in zip(at, at[1:]):
         assert abs(turned[b] - turned[a]) <= 180
+
+
+def test_every_unit_in_every_frame_without_a_shuffle_of_pairs(spark):
+    frames = table(spark, "session_id string, frame_number bigint", [("a", 0), ("a", 1), ("a", 1), ("a", None), ("b", 0), ("c", 0), (None, 0)])
+    traces = table(
+        spark,
+        "session_id string, unit_id bigint, frame_number bigint, c double",
+        [("a", 1, 0, 0.5), ("a", 1, 0, 0.7), ("a", 2, 1, None), ("a", 9, 0, 0.1), ("a", None, 0, 0.4), ("b", 1, 1, 0.3), (None, 1, 0, 0.2)],
+    )
+    contours = table(
+        spark, "session_id string, unit_id bigint, contour array<int>", [("a", 1, [1]), ("a", 1, [2]), ("a", 2, None), ("a", None, [3]), ("b", 1, []), (None, 1, [4])]
+    )
+    out = FR.modulated_footprints(frames, traces, contours)
+    assert out.columns == ["session_id", "frame_number", "unit_id", "contour", "activity"]
+    want = []
+    for s, f in [tuple(r) for r in frames.collect()]:
+        for t, u, ring in [tuple(r) for r in contours.collect()]:
+            if s is not None and s == t:
+                met = [c for a, v, n, c in traces.collect() if (a, v, n) == (s, u, f) and None not in (u, f)]
+                want += [(s, f, u, ring, c or 0.0) for c in met or [None]]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if " Exchange " in line]
+    assert dealt and not any("frame_number" in line and "unit_id" in line for line in dealt)
