@@ -190,7 +190,10 @@ def _won_by_map(
     points: DataFrame, regions: DataFrame, keys: Sequence[str], order: Callable, x: str, y: str, target: int, most: int
 ) -> DataFrame:
     """The same for any number of maps: a map of at most ``CROWDED`` regions is
-    one row with its regions as an array, which its points are sent to once."""
+    one row with its regions as an array, which its points are sent to once.
+
+    A task looks its maps up in memory, so the points aren't sorted.
+    """
     held = F.struct(*REGION)
     lists = regions.select(MAP, *REGION)
     if most > CROWDED:  # nothing of a crowded map is collected but that it is one
@@ -199,7 +202,7 @@ def _won_by_map(
     else:
         lists = lists.withColumn("_few", F.lit(True))
     lists = lists.groupBy(MAP).agg(F.collect_list(held).alias("_held"), (~F.bool_and("_few")).alias("_open"))
-    met = salted_join(points, lists, [MAP], [c for c in (*keys, x, y) if c != MAP], "left", target)
+    met = salted_join(points, lists, [MAP], [c for c in (*keys, x, y) if c != MAP], "left", target, hashed=True)
     px, py = F.col(x), F.col(y)
     met = met.withColumn("_hits", F.filter("_held", lambda r: G.contains(px, py, lambda c: r[c]))).drop("_held")
     return met.withColumns(

@@ -123,6 +123,14 @@ def test_points_of_many_maps_are_sent_once(scene, spark):
     assert "Generate" not in plan  # not once per grid level
 
 
+@pytest.mark.parametrize("target", [1 << 20, 20])
+def test_points_of_many_maps_are_not_sorted(scene, spark, target):
+    _, _, points, regions = scene
+    out = L.located(points, regions, ["id"], "smallest_region", target=target, broadcast_bytes=0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 @pytest.mark.parametrize("crowded, target", [(3, 1 << 20), (1 << 20, 20)])
 def test_maps_beyond_the_bound_win_alike(scene, spark, monkeypatch, crowded, target):
     _, _, points, regions = scene
