@@ -112,13 +112,17 @@ asked AS (SELECT slot, s.source FROM (SELECT DISTINCT slot FROM there), (VALUES
 
 def _matched(spark, sf_dir):
     folder = _folder(spark, "sessions")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     orders = table(spark, sf_dir, "orders").select(
         F.floor(F.col("o_custkey") / 25).alias("_slot"), F.col("o_orderstatus").alias("_status"), "o_orderkey", "o_totalprice"
     )
     for status, (_, ending, lacks) in _FORMATS.items():
         rows = orders.where((F.col("_status") == status) & (F.col("_slot") % lacks != 0))
         rows = rows.select(F.concat(F.lit("session_"), "_slot").alias("session"), "o_orderkey", "o_totalprice")
-        rows.repartition("session").write.mode("append").partitionBy("session").format(ending).save(folder)
+        # A task makes and commits its own files: a number of tasks that follows from the few
+        # bytes of a session would leave thousands of files to each, and the driver would move them singly.
+        files = rows.repartition(parts, "session").write.mode("append").partitionBy("session").format(ending)
+        files.option("mapreduce.fileoutputcommitter.algorithm.version", "2").save(folder)
     files = catalogue.files_under(spark, folder)
     return catalogue.matched_sources(catalogue.sessions_of(files), files, _SOURCES)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burrow.operators.metrics import natural_key
+from burrow.session import materialise
 
 # Folder names under an experiment root that are not sessions.
 NOT_SESSIONS = (
@@ -20,7 +21,8 @@ def files_under(spark: SparkSession, root: str) -> DataFrame:
     """(folder, entry, path, length, modificationTime) of every file below ``root``.
 
     ``entry`` is the file or sub-folder directly in ``folder``. File contents
-    are not read.
+    are not read. The list is made once and kept as a table, because whoever
+    reads it again would ask for every file's status again.
     """
     files = (
         spark.read.format("binaryFile")
@@ -31,9 +33,10 @@ def files_under(spark: SparkSession, root: str) -> DataFrame:
     base = root.rstrip("/").split("://")[-1].split(":")[-1]
     inner = F.substring_index(F.col("path"), base + "/", -1)
     parts = F.split(inner, "/")
-    return files.withColumns({"_parts": parts}).where(F.size("_parts") >= 2).select(
+    found = files.withColumns({"_parts": parts}).where(F.size("_parts") >= 2).select(
         F.col("_parts")[0].alias("folder"), F.col("_parts")[1].alias("entry"), "path", "length", "modificationTime"
     )
+    return materialise(found, "files")
 
 
 def folders_under(spark: SparkSession, root: str) -> DataFrame:

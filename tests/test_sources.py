@@ -346,3 +346,8 @@ def test_data_sources(spark):
     schema = "session_id string, frame_number bigint, x double, _home boolean, near double"
     got = {r.frame_number: r.near for r in hooks.per_chunk(df, summed, schema, halo=1, chunk_frames=4).collect()}
     assert got == {i * 3: float(sum(j for j in (i - 1, i, i + 1) if 0 <= j < 20)) for i in range(20)}
+
+
+def test_the_list_of_files_is_made_once(spark, experiment):
+    files = C.files_under(spark, experiment)
+    assert files.count() == 8 and not any(experiment in f for f in files.inputFiles())
