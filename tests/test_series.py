@@ -147,6 +147,27 @@ def test_ordinals_write_hot_keys_only(spark, monkeypatch, target, spread):
     }
 
 
+@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("most, parts", [(100, 33), (1 << 20, 4)])
+def test_ordinals_are_dealt_to_tasks_by_rows(spark, monkeypatch, most, parts, hot):
+    written = []
+    kept = chunks.materialise
+    monkeypatch.setattr(chunks, "TASK_ROWS", most)
+    monkeypatch.setattr(chunks, "materialise", lambda d, label: written.append(d.rdd.getNumPartitions()) or kept(d, label))
+    rows = [(0 if hot and i > 300 else i % 60, -i, i) for i in range(3300)]
+    out = with_ordinal(table(spark, "k int, t int, id bigint", rows), ["k"], ["t", "id"], "n", target=1000)
+    if hot:
+        assert written == [parts]
+    else:
+        assert written == [] and out.rdd.getNumPartitions() == parts
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.k, []).append((r.n, r.t, r.id))
+    assert {k: sorted(v) for k, v in got.items()} == {
+        key: [(n, *w) for n, w in enumerate(sorted((t, i) for k, t, i in rows if k == key))] for key in range(60)
+    }
+
+
 def test_salted_join_keeps_every_row(spark):
     big = table(spark, "k string, i bigint", [("hot", i) for i in range(500)] + [("b", 1), ("lonely", 2)])
     small = table(spark, "k string, w int", [("hot", 1), ("hot", 2), ("b", 3)])
