@@ -117,6 +117,26 @@ def test_an_idle_session_is_forgotten(spark, tmp_path):
     assert found(drained(spark, kept, "kept_paths", tmp_path)[0]) == [("x", 0, 0, 1), ("x", 1, 3, 201)]
 
 
+def test_state_is_kept_by_group_whatever_the_number_of_sessions(spark, tmp_path):
+    """Numbers beyond 2^53 and a session without an id stay what they are next to null frame numbers."""
+    big = 2**60 + 1
+    ids = [None, *(str(big + i) for i in range(150))]
+    rows = [(s, big + k, at(k), mark, float(k)) for s in ids for k, mark in enumerate("a-ba")]
+    late = [(s, big + 4, at(4), "b", None) for s in ids[::3]]
+    stream = written(spark, tmp_path / "in", [rows, [*late, ("x", None, at(20), None, None)], [("x", None, at(900), None, None)]])
+    stream = stream.withColumn("session_id", F.col("session_id").try_cast("bigint"))
+    got, states = drained(spark, live.live_transitions(stream, "state", "a", "state", "b", delay="10 seconds", groups=3), "grouped_paths", tmp_path)
+    want = {(s and int(s), 0, big, big + 2) for s in ids} | {(s and int(s), 1, big + 3, big + 4) for s in ids[::3]}
+    found_rows = [tuple(r) for r in got.collect()]
+    assert set(found_rows) == want and len(found_rows) == len(want)
+    assert got.schema["session_id"].dataType.simpleString() == "bigint" and max(states) <= 3 * 8
+    window = live.live_window(stream, "v", 2, delay="10 seconds", groups=3)
+    got, states = drained(spark, window, "grouped_window", tmp_path)
+    ends = {(r.session_id, r.frame_number - big): (r.y_low, r.y_high) for r in got.collect()}
+    assert len(ends) == 4 * len(ids) + len(late) and max(states) <= 3 * 8
+    assert ends[None, 2] == pytest.approx((0.9, 2.1)) and ends[big + 149, 0] == (-1.0, 1.0) and ends[big + 2, 4] == (2.0, 4.0)
+
+
 def test_a_batch_reads_a_slice(spark, monkeypatch):
     monkeypatch.setattr(live_queries, "FILES", 2)
     monkeypatch.setattr(live_queries, "_folders", {})
