@@ -3,6 +3,7 @@ import random
 import tracemalloc
 from collections import Counter
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +84,31 @@ def test_pruning_keeps_the_best(spark):
         assert sorted(zip(-units, ids, strict=True)) == best
 
 
+def test_queries_are_sent_in_blocks_and_a_task_hands_on_k_a_query(spark, documents, monkeypatch):
+    draw = random.Random(4)
+    rows = [(i, " ".join(draw.choices(WORDS, k=draw.randint(1, 30)))) for i in range(200)]
+    docs = documents(rows)
+    sent = []
+    made = bm25.Asked.__init__
+    monkeypatch.setattr(bm25.Asked, "__init__", lambda self, table: made(self, table) or sent.append(len(self.numbers)))
+    asked = [r for r in rows if r[0] % 10 == 0]
+    got = ranking(bm25.top_k(docs, docs.where("doc_id % 10 = 0"), 3, 300, postings=60))
+    assert got == brute_top(rows, asked, 3) and len(sent) > 3 and max(sent) < sum(sent)
+    monkeypatch.setattr(bm25, "QUERIES", 12)
+    assert ranking(bm25.top_k(docs, docs.where("doc_id % 10 = 0"), 3, 300, postings=60)) == got
+    words = sorted({w for _, t in asked for w in bm25.words_of(t.encode())})
+    terms = [[{"word": w, "idf": 1.0 + words.index(w) % 3} for w in sorted(set(bm25.words_of(t.encode())))] for _, t in asked]
+    kind = pa.list_(pa.struct([("word", pa.binary()), ("idf", pa.float64())]))
+    table = pa.table({"doc_id": [i for i, _ in asked], "query_text": [0] * len(asked), "terms": pa.array(terms, kind)})
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "raw": [t.encode() for _, t in rows]})
+    found = [
+        Counter(zip(*[c.to_pylist() for c in part.columns], strict=True))
+        for words in (100, 10**6)
+        for part in bm25._searched(iter([batch]), [SimpleNamespace(value=bm25.Asked(table))], 3, 15.0, words)
+    ]
+    assert len(found) == 2 and found[0] == found[1] and sum(found[0].values()) == 3 * len(asked)
+
+
 def brute_links(rows, threshold=Fraction(4, 5)):
     sets = []
     for i, text in rows:
