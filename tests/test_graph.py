@@ -134,6 +134,35 @@ def test_listed_paths_are_written_as_beginnings_only(spark, monkeypatch):
     assert sizes == [1, 3, 9, 27, 81]
 
 
+@pytest.mark.parametrize("sent", (0, GR.BROADCAST_ROWS))
+def test_edges_are_stored_once_and_few_nodes_go_to_them(spark, monkeypatch, sent):
+    monkeypatch.setattr(GR, "BROADCAST_ROWS", sent)
+    pairs = [("a", "b"), ("c", "a"), ("b", "d"), ("d", "c"), ("d", "e"), ("e", "f"), ("x", "y")]
+    odd = [("d", "d"), ("b", "a"), ("a", "b"), ("e", "d")]
+    stored, kept = {}, GR.materialise
+
+    def counted(df, label):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        out = kept(df, label)
+        stored.setdefault(label, []).append((out.count(), plan))
+        return out
+
+    monkeypatch.setattr(GR, "materialise", counted)
+    start = table(spark, "graph_id string, source string", [("g", "a")])
+    for simple, given in ((True, pairs), (False, pairs + odd)):
+        stored.clear()
+        edges = table(spark, EDGES, [("g", *e, 1.0) for e in given])
+        reached = GR.shortest_paths(edges, start, simple=simple)
+        assert {r.node: (r.distance, r.parent) for r in reached.collect()} == {
+            "a": (0, None), "b": (1, "a"), "c": (1, "a"), "d": (2, "b"), "e": (3, "d"), "f": (4, "e")
+        }
+        asked = table(spark, "graph_id string, source string, target string", [("g", "a", n) for n in "dfy"])
+        paths = sorted("".join(r.path) for r in GR.path_nodes(asked, reached, edges).collect())
+        assert paths == ["abd", "abdef", "acd", "acdef"]
+        assert stored["arcs"][0][0] == len(set(given)) and ("Exchange" in stored["arcs"][0][1]) != simple
+        assert stored["links"][0][0] == 6
+
+
 def simple_shortest(arcs, source, target):
     """Every simple path of least weight, by looking at all simple paths."""
     best, found = None, []
