@@ -284,6 +284,44 @@ def test_short_sessions_are_one_file(spark, tmp_path):
     assert len(list((tmp_path / "g" / "session_id=0").glob("*.parquet"))) > 1
 
 
+def test_frames_are_written_as_spark_would_without_its_writer(spark, tmp_path, monkeypatch):
+    """Odd names of sessions, and a session over many batches; no file of Hadoop's, so no process for each."""
+    odd = ["a b", "é/ü", "50%", 'x="1"', "[k]^{z}", "c:\\d", "#?*'", "\x01\x7f", "", None, "long"]
+    n = F.col("id")
+    rows = spark.range(11 * 40).select(
+        F.element_at(F.array(*map(F.lit, odd)), (n % 11 + 1).cast("int")).alias("session_id"),
+        F.floor(n / 11).alias("frame_number"),
+        F.when(n % 3 > 0, n / 7).alias("x"),
+        F.timestamp_micros(n * 1_000_001).alias("ts"),
+        F.array(n, n + 1).alias("units"),
+        (n / 3).cast("decimal(12,4)").alias("cost"),
+        F.lit(None).cast("string").alias("note"),
+    )
+    more = spark.range(3_000).select(F.lit("long").alias("session_id"), (n + 100).alias("frame_number"))
+    rows = rows.unionByName(more, allowMissingColumns=True)
+    monkeypatch.setattr(sinks, "ROWS_AT_ONCE", 700)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        sinks.write_frames(rows, str(tmp_path / "ours"), chunk_frames=1 << 20)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(sinks, "_local_folder", lambda spark, path: None)
+    sinks.write_frames(rows, str(tmp_path / "spark"), chunk_frames=1 << 20)
+    ours, theirs = (spark.read.parquet(str(tmp_path / k)) for k in ("ours", "spark"))
+    assert ours.schema.simpleString() == theirs.schema.simpleString()
+    assert ours.exceptAll(theirs).isEmpty() and theirs.exceptAll(ours).isEmpty() and ours.count() == 3_440
+    names = [sorted(x.name for x in (tmp_path / k).glob("session_id=*")) for k in ("ours", "spark")]
+    assert names[0] == names[1] and len(names[0]) == 10
+    files = [x.name for x in (tmp_path / "ours").rglob("*") if x.is_file()]
+    assert all(x == "_SUCCESS" or x.startswith("part-") for x in files)
+    for one in (tmp_path / "ours" / "session_id=long").glob("*.parquet"):
+        frames = spark.read.parquet(str(one)).select("frame_number").toArrow().column(0).to_pylist()
+        assert frames == sorted(frames)
+    with pytest.raises(FileExistsError):
+        monkeypatch.undo()
+        sinks.write_frames(rows, str(tmp_path / "ours"))
+
+
 def test_builder_mismatches(spark):
     stored = spark.createDataFrame([("a", "tree", {"height": "3"}), ("b", "tree", {"height": "3"}), ("c", "tree", {"height": "3"})], "map_id string, builder string, params map<string,string>")
     now = spark.createDataFrame([("a", "star", {"n": "4"}), ("b", "tree", {"height": "4"}), ("c", "tree", {"height": "3"})], "map_id string, builder string, params map<string,string>")
